@@ -5,5 +5,150 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from geochunk.operators import nested
+from geochunk.operators.elements import all_live_tags, live, located
+from geochunk.operators.hierarchy import hierarchies
+from geochunk.operators.hotkeys import first_tile, salted_aggregate
+from geochunk.operators.orphans import orphan_cascade
+from geochunk.operators.proximity import near_pairs, points_in_regions
+from geochunk.session import load, materialize
+
+
+# --- nested records ---------------------------------------------------------------------------------------------------
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row per child of any element of any upload."""
+    flat = nested.flatten_records(load(spark, d, "uploads"), "upload_id", "payload", ("tag", "nd", "member"))
+    return nested.children(flat, "upload_id")
+
+
+def p3_elements(spark: SparkSession, d: str) -> DataFrame:
+    """The table of elements, each once per upload."""
+    flat = nested.flatten_records(load(spark, d, "uploads"), "upload_id", "payload", ("element",))
+    return nested.table(flat, "upload_id", "element").drop("pos").distinct()
+
+
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """The table of members with their roles."""
+    flat = nested.flatten_records(load(spark, d, "uploads"), "upload_id", "payload", ("member",))
+    return nested.table(flat, "upload_id", "member").distinct()
+
+
+# --- places -----------------------------------------------------------------------------------------------------------
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Located nodes at most 5 m apart, and the zones that hold located nodes."""
+    points = materialize(located(load(spark, d, "nodes")), "located")
+    near = near_pairs(points, 5.0).select(F.lit("near").alias("rel"), F.col("id_a").alias("key_a"), F.col("id_b").alias("key_b"))
+    zones = points_in_regions(points, load(spark, d, "zones")).select(
+        F.lit("zone").alias("rel"), F.col("zone_id").cast("long").alias("key_a"), F.col("id").alias("key_b")
+    )
+    return near.unionByName(zones)
+
+
+# --- hot keys ---------------------------------------------------------------------------------------------------------
+
+
+def _tag_keys(spark: SparkSession, d: str) -> DataFrame:
+    """(tag_key, kind, id) of live elements, and a row with a null key for each that has any tag."""
+    e = all_live_tags(load(spark, d, "nodes"), load(spark, d, "ways"), load(spark, d, "relations")).where(F.size("tags") > 0)
+    keys = F.concat(F.map_keys("tags"), F.array(F.lit(None).cast("string")))
+    return e.select("kind", "id", F.explode(keys).alias("tag_key"))
+
+
+def _node_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return first_tile(located(load(spark, d, "nodes")), load(spark, d, "tiles"))
+
+
+def _hot(rows: DataFrame, key: str) -> DataFrame:
+    return salted_aggregate(rows, [key], ["id"], {"n": F.count("*")}, {"n": F.sum("n")})
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Tag keys held by at least 5 % of the live elements with any tag; tiles with at least 5 % of the located nodes."""
+    keys = materialize(_hot(materialize(_tag_keys(spark, d), "tag-keys"), "tag_key"), "per-key")
+    tiles = materialize(_hot(materialize(_node_tiles(spark, d).select("id", "tile_id"), "node-tiles"), "tile_id"), "per-tile")
+    tagged, nodes = keys.where("tag_key is null").select(F.col("n").alias("all")), tiles.agg(F.sum("n").alias("all"))
+    hot = lambda t, total, name, key: t.where(F.col(key).isNotNull()).join(F.broadcast(total), F.col("n") * 20 >= F.col("all")).select(F.lit(name).alias("dim"), F.col(key).cast("string").alias("hot_key"))
+    return hot(keys, tagged, "tag_key", "tag_key").unionByName(hot(tiles, nodes, "tile", "tile_id"))
+
+
+def p5_tag_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Per tag key: elements, elements by kind, smallest and largest id."""
+    rows = materialize(_tag_keys(spark, d).where("tag_key is not null"), "tag-keys")
+    kinds = {f"n_{k}": F.count_if(F.col("kind") == k) for k in "nwr"}
+    part = {"n_elements": F.count("*"), **kinds, "min_id": F.min("id"), "max_id": F.max("id")}
+    merge = {"n_elements": F.sum("n_elements"), **{c: F.sum(c) for c in kinds}, "min_id": F.min("min_id"), "max_id": F.max("max_id")}
+    return salted_aggregate(rows, ["tag_key"], ["id"], part, merge)
+
+
+def p5_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Per tile: located nodes and their extent."""
+    rows = materialize(_node_tiles(spark, d), "node-tiles")
+    part = {"n_nodes": F.count("*"), "west": F.min("lon"), "east": F.max("lon"), "south": F.min("lat"), "north": F.max("lat")}
+    merge = {"n_nodes": F.sum("n_nodes"), "west": F.min("west"), "east": F.max("east"), "south": F.min("south"), "north": F.max("north")}
+    return salted_aggregate(rows, ["tile_id"], ["id"], part, merge)
+
+
+# --- orphans ----------------------------------------------------------------------------------------------------------
+
+
+def _cascade(spark: SparkSession, d: str) -> DataFrame:
+    return orphan_cascade(load(spark, d, "nodes"), load(spark, d, "ways"), load(spark, d, "relations"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The direct orphans of the cascade."""
+    return _cascade(spark, d).where("orphan = 'direct'").select("src_table", "month_key", "src_id", "ref_type", "ref_id", "ref_state")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Direct and inherited orphans per table, month and state: references, and rows that hold them."""
+    by = ["src_table", "month_key", "orphan", "ref_state"]
+    rows = _cascade(spark, d).groupBy(*by, "src_id").agg(F.count("*").alias("n"))
+    return rows.groupBy(*by).agg(F.sum("n").alias("n_refs"), F.count("*").alias("n_rows"))
+
+
+# --- hierarchies ------------------------------------------------------------------------------------------------------
+
+
+def relation_links(relations: DataFrame) -> DataFrame:
+    """(parent, child) of live relations naming live relations."""
+    r = materialize(live(relations, ["members"]), "live-relations")
+    refs = F.array_distinct(F.transform(F.filter("members", lambda m: (m["type"] == "relation") & m["ref"].isNotNull()), lambda m: m["ref"]))
+    links = r.select(F.col("id").alias("parent"), F.explode(refs).alias("child"))
+    return links.join(r.select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every downward path of every root, and the relations on cycles."""
+    h = hierarchies(relation_links(load(spark, d, "relations")))
+    path = F.array_join(F.col("path").cast("array<string>"), ">")
+    return h.select("kind", "root_id", F.col("node_id").alias("relation_id"), F.col("depth").alias("tree_depth"), path.alias("id_path"))
+
+
+def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Per relation on some path: how many distinct relations lie below it, and how deep."""
+    h = hierarchies(relation_links(load(spark, d, "relations"))).where("kind = 'path'")
+    pairs = h.select("node_id", F.posexplode("path").alias("pos", "ancestor_id"), "depth")
+    pairs = pairs.groupBy("ancestor_id", "node_id").agg(F.max(F.col("depth") - F.col("pos")).alias("below"))
+    return pairs.groupBy("ancestor_id").agg((F.count("*") - 1).alias("n_descendants"), F.max("below").alias("height"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_elements": p3_elements,
+    "p3_members": p3_members,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_tag_keys": p5_tag_keys,
+    "p5_tiles": p5_tiles,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
+    "p7_found": p7_found,
+    "p7_descendants": p7_descendants,
+}
