@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geochunk.llm.encoding import fit, garbled_documents
+from geochunk.llm.mixing import mix_sources, shares_reached
+from geochunk.llm.packing import fill_containers
 from geochunk.llm.pairs import cooccurrence
 from geochunk.llm.terms import term_frequencies
+from geochunk.llm.tokens import token_counts
 from geochunk.operators.elements import all_live_tags, with_terms
 from geochunk.session import load
 
@@ -47,9 +51,53 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or piece of one, for each container size."""
+    return fill_containers(token_counts(load(spark, d, "documents")), load(spark, d, "containers"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per container size: containers used, the least that could do, and the share of room used."""
+    c = p8_containers(spark, d).groupBy("capacity_tokens").agg(F.sum("n_tokens").alias("n_tokens"), (F.max("container_no") + 1).alias("n_containers"))
+    least = F.ceil(F.col("n_tokens") / F.col("capacity_tokens"))
+    return c.select("capacity_tokens", "n_tokens", "n_containers", least.alias("least"), (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("filled"))
+
+
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(token_counts(load(spark, d, "documents"), ("doc_id", "source")), load(spark, d, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture, by slot."""
+    return _mixture(spark, d)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return shares_reached(_mixture(spark, d), load(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents some of whose text was decoded wrongly."""
+    docs = load(spark, d, "documents")
+    return garbled_documents(docs, fit(docs), restore=False).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Those documents with their encoding pairs and the text as far as it can be had back."""
+    docs = load(spark, d, "documents")
+    return garbled_documents(docs, fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_frequencies": p1_frequencies,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
