@@ -22,8 +22,10 @@ def point(lon: Column, lat: Column) -> Column:
 
 
 def missing_point(ref: Column) -> Column:
-    """The stand-in position of an unresolved node: its id above MISSING_BASE, read as two 32-bit halves."""
-    v = F.lit(MISSING_BASE) + ref
+    """The stand-in position of an unresolved node: its id above MISSING_BASE, read as two 32-bit halves.
+
+    Of a negative id the lower 56 bits are taken, so that it too stands beyond every real longitude."""
+    v = F.lit(MISSING_BASE) + ref.bitwiseAND((1 << 56) - 1)
     low = v.bitwiseAND(0xFFFFFFFF)
     return point(F.shiftright(v, 32), F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low))
 
@@ -274,3 +276,10 @@ def polygons_udf(outer: pa.Array, inner: pa.Array) -> pa.Array:
 def turn_lines_udf(from_: pa.Array, via: pa.Array, to: pa.Array) -> pa.Array:
     rows = zip(from_.to_pylist(), via.to_pylist(), to.to_pylist())
     return pa.array([[_dicts(x) for x in turn_lines(*map(_points, r))] for r in rows], pa.list_(_LINE))
+
+
+@F.arrow_udf(LINES)
+def assemble_rings_udf(lines: pa.Array) -> pa.Array:
+    """Closed rings of each row's lines; null where they don't close."""
+    rings = (assemble_rings(_points(x)) for x in lines.to_pylist())
+    return pa.array([None if r is None else [_dicts(x) for x in r] for r in rings], pa.list_(_LINE))

@@ -8,69 +8,92 @@ from pyspark.sql import functions as F
 from geochunk.config import Rule, Rules
 from geochunk.functions.geometry import is_closed, open_ring
 
-_MATCHES = "array<struct<key_ord:int,prefix_ord:int>>"
+#: A match is key ordinal * _STEP + prefix ordinal; so matches sort by key, then by prefix.
+_STEP = 1000
+_MATCHES = "array<int>"
+
+
+def _text(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _array(words) -> Column:
+    """A literal array; written as SQL, since a literal a call costs far more."""
+    return F.expr(f"array({', '.join(map(_text, words))})") if words else F.array().cast("array<string>")
+
+
+def _among(column: str, words) -> Column:
+    return F.expr(f"{column} IN ({', '.join(map(_text, words))})") if words else F.lit(False)
+
+
+def _lookup(words: dict[str, int]) -> Column:
+    return F.expr(f"map({', '.join(f'{_text(k)}, {v}' for k, v in words.items())})")
 
 
 def matches(df: DataFrame, tags: str, rules: tuple[Rule, ...], prefixes: tuple[str, ...], out: str, one_element: bool) -> DataFrame:
-    """Adds ``out``: for each rule that a tag matches, in rule order, (key_ord, prefix_ord) with the first prefix.
+    """Adds ``out``: for each rule that a tag matches, in rule order, the match with the first prefix.
 
     Tags are filtered by a hashed set of all prefixed keys first, so the few that can match are looked up alone.
     """
-    place = {p + r.key: (i, j) for i, r in reversed(list(enumerate(rules))) for j, p in reversed(list(enumerate(prefixes)))}
+    place = {p + r.key: i * _STEP + j for i, r in reversed(list(enumerate(rules))) for j, p in reversed(list(enumerate(prefixes)))}
     if not place:
         return df.withColumn(out, F.array().cast(_MATCHES))
-    spelt = F.create_map(*(x for k, (i, j) in place.items() for x in (F.lit(k), F.struct(F.lit(i).alias("key_ord"), F.lit(j).alias("prefix_ord")))))
-    hit = F.filter(F.map_keys(tags), lambda k: k.isin(*place))
-    df = df.withColumn("_hits", F.array_sort(F.transform(hit, lambda k: F.element_at(spelt, k))))
-    first = F.filter("_hits", lambda m, i: (i == 0) | (F.get("_hits", i - 1)["key_ord"] != m["key_ord"]))
+    listed = ", ".join(map(_text, place))
+    df = df.withColumn("_hits", F.expr(f"filter(map_keys({tags}), k -> k IN ({listed}))"))
+    spelt = _lookup(place)
+    df = df.withColumn("_hits", F.when(F.size("_hits") > 0, F.array_sort(F.transform("_hits", lambda k: F.element_at(spelt, k)))).otherwise(F.array().cast(_MATCHES)))
+    first = F.filter("_hits", lambda m, i: (i == 0) | (_key_ord(F.get("_hits", i - 1)) != _key_ord(m)))
     return df.withColumn(out, F.slice(first, 1, 1) if one_element else first).drop("_hits")
 
 
-def _names(rules: tuple[Rule, ...], prefixes: tuple[str, ...]):
-    keys, pre = F.array(*(F.lit(r.key) for r in rules)), F.array(*map(F.lit, prefixes))
-    key = lambda m: F.get(keys, m["key_ord"])
-    return key, lambda m: F.get(pre, m["prefix_ord"])
+def _key_ord(m: Column) -> Column:
+    return F.floor(m / _STEP).cast("int")
 
 
-def rewritten(tags: Column, found: Column, rules: tuple[Rule, ...], prefixes: tuple[str, ...]) -> Column:
-    """Tags after the lifecycle rewrites of ``found``: ``pfx:key=v`` becomes ``key=v`` and ``lifecycle=pfx``, the last
-    rewrite giving the lifecycle."""
+def rewrite(df: DataFrame, found: Column, rules: tuple[Rule, ...], prefixes: tuple[str, ...]) -> DataFrame:
+    """``df`` with tags after the lifecycle rewrites of ``found``: ``pfx:key=v`` becomes ``key=v`` and ``lifecycle=pfx``,
+    the last rewrite giving the lifecycle."""
     if not rules:
-        return tags
-    key, prefix = _names(rules, prefixes)
-    moved = F.filter(found, lambda m: m["prefix_ord"] > 0)
-    gone = F.concat(F.transform(moved, lambda m: F.concat(prefix(m), key(m))), F.transform(moved, key), F.array(F.lit("lifecycle")))
-    kept = F.map_filter(tags, lambda k, v: ~F.array_contains(gone, k))
-    put = F.map_from_entries(F.transform(moved, lambda m: F.struct(key(m), F.element_at(tags, F.concat(prefix(m), key(m))))))
-    last = F.rtrim(prefix(F.element_at(moved, -1)), F.lit(":"))
-    return F.when(F.size(moved) == 0, tags).otherwise(F.map_concat(kept, put, F.create_map(F.lit("lifecycle"), last)))
+        return df
+    df = df.withColumn("_moved", F.filter(found, lambda m: m % _STEP > 0))
+    keys, pre = _array([r.key for r in rules]), _array(prefixes)
+    names = F.transform("_moved", lambda m: F.struct(F.get(keys, _key_ord(m)).alias("key"), F.get(pre, m % _STEP).alias("prefix")))
+    df = df.withColumn("_moved", F.when(F.size("_moved") > 0, names))
+    gone = F.concat(F.transform("_moved", lambda n: F.concat(n["prefix"], n["key"])), F.transform("_moved", lambda n: n["key"]), F.array(F.lit("lifecycle")))
+    df = df.withColumn("_gone", gone)
+    kept = F.map_filter("tags", lambda k, v: ~F.array_contains("_gone", k))
+    put = F.map_from_entries(F.transform("_moved", lambda n: F.struct(n["key"], F.element_at("tags", F.concat(n["prefix"], n["key"])))))
+    last = F.rtrim(F.element_at("_moved", -1)["prefix"], F.lit(":"))
+    new = F.map_concat(kept, put, F.create_map(F.lit("lifecycle"), last))
+    return df.withColumn("tags", F.when(F.col("_moved").isNull(), F.col("tags")).otherwise(new)).drop("_moved", "_gone")
 
 
 def is_area_match(m: Column, tags: Column, rules: tuple[Rule, ...]) -> Column:
     """Whether a match makes a closed way an area: area=yes or no decide, else the rule, turned round by its exceptions
     (which look at the plain key only)."""
-    key, _ = _names(rules, ("",))
+    key = F.get(_array([r.key for r in rules]), _key_ord(m))
     odd = [r.key + "=" + v for r in rules for v in r.exceptions]
-    exception = F.coalesce(F.concat(key(m), F.lit("="), F.element_at(tags, key(m))).isin(*odd), F.lit(False)) if odd else F.lit(False)
-    flagged = [i for i, r in enumerate(rules) if r.is_area]
+    exception = F.coalesce(F.array_contains(_array(odd), F.concat(key, F.lit("="), F.element_at(tags, key))), F.lit(False))
+    flagged = F.expr(f"array({', '.join(str(i) for i, r in enumerate(rules) if r.is_area)})").cast(_MATCHES)
     area = F.coalesce(F.element_at(tags, "area"), F.lit(""))
-    return F.when(area == "yes", True).when(area == "no", False).otherwise((m["key_ord"].isin(*flagged) if flagged else F.lit(False)) != exception)
+    return F.when(area == "yes", True).when(area == "no", False).otherwise(F.array_contains(flagged, _key_ord(m)) != exception)
 
 
 def _blocks(df: DataFrame, kind: str, found: str, rules: tuple[Rule, ...], prefixes: tuple[str, ...]) -> DataFrame:
     """One row per match (or one for the ``other`` block) with block_key, slice_value, key_ord, value_ord and new tags."""
-    values = {r.key + "=" + v: (i, n) for i, r in enumerate(rules) for n, v in enumerate(r.area_values if kind == "A" else r.values)}
-    df = df.withColumn("tags", rewritten(F.col("tags"), F.col(found), rules, prefixes))
-    ords = F.transform(found, lambda m: m["key_ord"])
+    values = {r.key + "=" + v: n for r in rules for n, v in enumerate(r.area_values if kind == "A" else r.values)}
+    df = rewrite(df, F.col(found), rules, prefixes)
+    ords = F.transform(found, _key_ord)
     df = df.withColumn("key_ord", F.explode(F.when(F.size(found) > 0, ords).otherwise(F.array(F.lit(len(rules))))))
-    keys = F.array(*(F.lit(r.key) for r in rules), F.lit(""))
-    df = df.withColumn("block_key", F.get(keys, F.col("key_ord")))
-    value = F.element_at("tags", F.col("block_key"))
-    full = F.concat("block_key", F.lit("="), value)
-    listed = F.coalesce(full.isin(*values), F.lit(False)) & (F.col("key_ord") < len(rules)) if values else F.lit(False)
-    order = F.create_map(*(x for k, (_, n) in values.items() for x in (F.lit(k), F.lit(n)))) if values else None
+    df = df.withColumn("block_key", F.get(_array([*(r.key for r in rules), ""]), F.col("key_ord"))).drop(found)
+    value = F.when(F.col("key_ord") < len(rules), F.element_at("tags", F.col("block_key")))
     last = F.lit(1 << 30)
-    return df.withColumn("slice_value", F.when(listed, value).otherwise("")).withColumn("value_ord", F.when(listed, F.element_at(order, full)).otherwise(last) if values else last).drop(found)
+    if not values:
+        return df.withColumn("slice_value", F.lit("")).withColumn("value_ord", last)
+    df = df.withColumn("_v", F.concat("block_key", F.lit("="), value))
+    df = df.withColumn("_listed", F.coalesce(_among("_v", values), F.lit(False)))
+    df = df.withColumn("slice_value", F.when(F.col("_listed"), value).otherwise(""))
+    return df.withColumn("value_ord", F.when(F.col("_listed"), F.element_at(_lookup(values), F.col("_v"))).otherwise(last)).drop("_v", "_listed")
 
 
 def classify(elements: DataFrame, rules: Rules, one_element: bool = False) -> DataFrame:
@@ -97,10 +120,10 @@ def classify(elements: DataFrame, rules: Rules, one_element: bool = False) -> Da
     areas = areas.withColumn("type", F.lit("A")).withColumn("pts", open_ring("pts")).drop("_m")
     areas = _blocks(areas, "A", "_a", w, pre)
 
-    first_line = F.get(F.filter("_m", lambda m: ~F.array_contains("_a", m)), F.lit(0))["key_ord"]
+    first_line = _key_ord(F.get(F.array_except("_m", "_a"), F.lit(0)))
     lines = ways.where((F.size("_m") > F.size("_a")) | none & ~other_area)
-    so_far = F.filter("_a", lambda m: m["key_ord"] < first_line)
-    lines = lines.withColumn("tags", rewritten(F.col("tags"), F.when(none, F.array().cast(_MATCHES)).otherwise(so_far), w, pre)).drop("_m", "_a")
+    lines = lines.withColumn("_a", F.when(none, F.array().cast(_MATCHES)).otherwise(F.filter("_a", lambda m: _key_ord(m) < first_line)))
+    lines = rewrite(lines, F.col("_a"), w, pre).drop("_m", "_a")
     lines = _blocks(matches(lines, "tags", w, pre, "_m", one_element), "W", "_m", w, pre)
     out = areas.unionByName(lines)
     for p in plain:

@@ -78,8 +78,9 @@ def assign_tiles(elements: DataFrame, grids: Sequence[Grid], tiles: DataFrame) -
     """
     n = tiles.count()
     box = envelope(F.col("pts"), F.coalesce(F.col("holes"), F.array().cast(elements.schema["holes"].dataType)))
-    raw = F.when((F.col("type") != "C") & (box[2] < NOWHERE), raw_tile(grids, *box))
-    e = elements.withColumn("_raw", raw)
+    e = elements.withColumns(dict(zip(("_x0", "_y0", "_x1", "_y1"), box)))
+    raw = F.when((F.col("type") != "C") & (F.col("_x1") < NOWHERE), raw_tile(grids, *map(F.col, ("_x0", "_y0", "_x1", "_y1"))))
+    e = e.withColumn("_raw", raw).drop("_x0", "_y0", "_x1", "_y1")
     j = e.join(broadcast_checked(tiles.select(F.col("raw_id").alias("_raw"), "tile_id")), "_raw", "left").drop("_raw")
     empty = (F.col("type") != "C") & (F.size("pts") == 0)
     return j.withColumn("chunk_id", F.when(empty, F.lit(0)).otherwise(F.coalesce("tile_id", F.lit(n))).cast("int")).drop("tile_id")

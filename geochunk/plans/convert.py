@@ -27,7 +27,7 @@ def convert(data: Dataset, options: Options = Options()) -> tuple[DataFrame, Dat
     grids = default_tiles(options.tiles)
     nodes, ways, relations = (preserve(clean(t), options.preserve) for t in (data.nodes, data.ways, data.relations))
     tiles = materialize(data_tiles(spark, nodes, grids), "tiles")
-    placed = assign_tiles(all_elements(nodes, ways, relations), grids, tiles)
+    placed = materialize(assign_tiles(all_elements(nodes, ways, relations), grids, tiles), "elements")  # each type is read apart below
     rows = classify(placed, default_rules(options.rules), options.one_element)
     shell, holes = oriented(F.col("pts"), F.col("holes"), options.orientation == "exact")
     is_area = F.col("type") == "A"

@@ -1,5 +1,291 @@
-"""DuckDB SQL for the queries of geochunk.plans.queries."""
+"""DuckDB SQL for the queries of geochunk.plans.queries: the same results by other means (plain joins over whole tables)."""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from geochunk.config import Rules, default_rules, default_tiles
+from geochunk.operators.elements import DISCARDABLE
+
+
+def _q(word: str) -> str:
+    return "'" + word.replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    cell = lambda v: _q(v) if isinstance(v, str) else str(v).lower()
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({names}))"
+
+
+_DISCARD = ", ".join(map(_q, DISCARDABLE))
+
+
+def _current(table: str) -> str:
+    return f"(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST, loaded_at ASC NULLS LAST) AS rn FROM {table} WHERE id IS NOT NULL) WHERE rn = 1)"
+
+
+def live(table: str) -> str:
+    return f"(SELECT * FROM {_current(table)} WHERE visible)"
+
+
+LOCATED = f"(SELECT id, lon, lat FROM {live('nodes')} WHERE lon BETWEEN -1800000000 AND 1800000000 AND lat BETWEEN -900000000 AND 900000000 AND NOT (lon = 0 AND lat = 0))"
+
+_ALL = (("n", "nodes"), ("w", "ways"), ("r", "relations"))
+
+
+def _each(select: str) -> str:
+    return " UNION ALL ".join(f"({select.format(kind=k, table=live(t))})" for k, t in _ALL)
+
+
+def tag_rows(table: str, keep_discardable: bool = False) -> str:
+    """(id, k, v) of the live elements of a table; null values are ''."""
+    where = "" if keep_discardable else f" WHERE e.key NOT IN ({_DISCARD})"
+    return f"(SELECT id, e.key AS k, coalesce(e.value, '') AS v FROM (SELECT id, unnest(map_entries(tags)) AS e FROM {live(table)}){where})"
+
+
+#: Common tables of the reference's operators.
+_BASE = f"""
+cn AS (SELECT * FROM {live("nodes")}), cw AS (SELECT * FROM {live("ways")}), cr AS (SELECT * FROM {live("relations")}),
+nt AS {tag_rows("nodes")}, wt AS {tag_rows("ways")}, rt AS {tag_rows("relations")},
+pos AS (SELECT id, lon, lat FROM cn WHERE lon IS NOT NULL AND lat IS NOT NULL),
+refs AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY place) AS place, ref FROM
+  (SELECT id, unnest(nds) AS ref, generate_subscripts(nds, 1) AS place FROM cw) WHERE ref IS NOT NULL),
+pts AS (SELECT r.id, r.place, CASE WHEN p.id IS NULL OR p.lon >= 2130706432 THEN 2147483647 ELSE p.lon END AS lon,
+  CASE WHEN p.id IS NULL OR p.lon >= 2130706432 THEN 2147483647 ELSE p.lat END AS lat FROM refs r LEFT JOIN pos p ON r.ref = p.id),
+shape AS (SELECT id, count(*) AS n, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1,
+  count(*) >= 3 AND arg_min(lon, place) = arg_max(lon, place) AND arg_min(lat, place) = arg_max(lat, place) AS closed FROM pts GROUP BY id),
+mem AS (SELECT c.id, c.place, c.m.type AS type, c.m.ref AS ref, coalesce(c.m.role, '') AS role, coalesce(t.v, '') AS rtype FROM
+  (SELECT id, unnest(members) AS m, generate_subscripts(members, 1) AS place FROM cr) c LEFT JOIN rt t ON t.id = c.id AND t.k = 'type'
+  WHERE c.m.ref IS NOT NULL AND c.m.type IN ('node', 'way', 'relation')),
+sorted AS (SELECT *, (rtype IN ('multipolygon', 'boundary') AND type = 'way' AND role IN ('outer', 'inner'))
+  OR (rtype IN ('restriction', 'destination_sign') AND (type = 'way' AND role IN ('from', 'to', 'via', 'intersection') OR type = 'node' AND role IN ('via', 'intersection'))) AS used FROM mem),
+rest AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS nr FROM sorted WHERE NOT used),
+sn AS (SELECT id FROM cn WHERE id IN (SELECT id FROM nt) OR id IN (SELECT ref FROM rest WHERE type = 'node')),
+sw AS (SELECT id FROM cw WHERE id IN (SELECT id FROM wt) OR id IN (SELECT ref FROM rest WHERE type = 'way')),
+coll AS (SELECT DISTINCT id FROM rest)
+"""
+
+
+def _grid_sql() -> str:
+    """Every rectangle of the shipped grids with its ordinal, by cross joins of ranges."""
+    parts, at = [], 0
+    for g in default_tiles():
+        parts.append(f"SELECT {at} + i * {g.ny} + j AS raw, {g.x0} + i * {g.dx} AS minlon, {g.y0} + j * {g.dy} AS minlat, {g.x0} + (i + 1) * {g.dx} AS maxlon, {g.y0} + (j + 1) * {g.dy} AS maxlat FROM range({g.nx}) a(i), range({g.ny}) b(j)")
+        at += len(g)
+    parts.append(f"SELECT {at}, -1800000000, -900000000, 1800000000, 900000000")
+    return " UNION ALL ".join(parts)
+
+
+_TILES = f"""
+box AS (SELECT min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM cn),
+tl AS (SELECT (row_number() OVER (ORDER BY raw) - 1)::INT AS tile_id, t.* FROM ({_grid_sql()}) t, box
+  WHERE x0 IS NULL OR (maxlon >= x0 AND minlon <= x1 AND maxlat >= y0 AND minlat <= y1) OR raw = {sum(map(len, default_tiles()))}),
+nn AS (SELECT count(*)::INT AS n FROM tl)
+"""
+
+#: Tiles are looked up by 1-degree cells of the point (or first corner), to spare the full comparison.
+_PLACED = """
+el AS (SELECT 'N' AS type, id, coalesce(CASE WHEN lat IS NULL OR lon >= 2130706432 THEN 2147483647 ELSE lon END, 2147483647) AS x0,
+    coalesce(CASE WHEN lon IS NULL OR lon >= 2130706432 THEN 2147483647 ELSE lat END, 2147483647) AS y0, x0 AS x1, y0 AS y1, 1 AS n FROM cn WHERE id IN (SELECT id FROM sn)
+  UNION ALL SELECT 'W', cw.id, s.x0, s.y0, s.x1, s.y1, coalesce(s.n, 0) FROM cw LEFT JOIN shape s ON s.id = cw.id WHERE cw.id IN (SELECT id FROM sw)
+  UNION ALL SELECT 'C', id, 2147483647, 2147483647, 2147483647, 2147483647, 0 FROM coll),
+cell AS (SELECT tile_id, minlon, minlat, maxlon, maxlat, unnest(range(minlon // 10000000 - 1, maxlon // 10000000 + 2)) AS cx FROM tl),
+cells AS (SELECT *, unnest(range(minlat // 10000000 - 1, maxlat // 10000000 + 2)) AS cy FROM cell),
+hit AS (SELECT el.type, el.id, min(tile_id) AS t FROM el JOIN cells c ON el.x0 // 10000000 = c.cx AND el.y0 // 10000000 = c.cy
+  AND el.x0 >= c.minlon AND el.x1 <= c.maxlon AND el.y0 >= c.minlat AND el.y1 <= c.maxlat WHERE el.type <> 'C' GROUP BY ALL),
+placed AS (SELECT el.type, el.id, (CASE WHEN el.type <> 'C' AND el.n = 0 THEN 0 ELSE coalesce(hit.t, nn.n) END)::INT AS chunk_id
+  FROM el LEFT JOIN hit ON hit.type = el.type AND hit.id = el.id, nn)
+"""
+
+
+def _rules(rules: Rules) -> str:
+    spelt, area, odd, listed = [], [], [], []
+    for kind, rs in (("N", rules.node), ("W", rules.way), ("C", rules.collection)):
+        for i, r in enumerate(rs):
+            spelt += [(kind, i, r.key, j, p + r.key, p.rstrip(":")) for j, p in enumerate(rules.prefixes)]
+            area.append((kind, i, r.is_area))
+            odd += [(i, v) for v in r.exceptions]
+            listed += [(kind, i, v, n) for n, v in enumerate(r.values)]
+            if kind == "W":
+                listed += [("A", i, v, n) for n, v in enumerate(r.area_values)]
+    return f"""
+spelt AS {_values(spelt, "kind, key_ord, key, prefix_ord, word, prefix")}, area AS {_values(area, "kind, key_ord, is_area")},
+odd AS {_values(odd, "key_ord, v")}, listed AS {_values(listed, "type, key_ord, v, value_ord")},
+tagged AS (SELECT 'N' AS type, * FROM nt UNION ALL SELECT 'W', * FROM wt UNION ALL SELECT 'C', * FROM rt),
+found AS (SELECT type, id, key_ord, key, min(prefix_ord) AS prefix_ord, arg_min(t.v, prefix_ord) AS v, arg_min(prefix, prefix_ord) AS prefix
+  FROM tagged t JOIN spelt s ON s.kind = t.type AND s.word = t.k GROUP BY type, id, key_ord, key),
+fnd AS (SELECT * FROM found f {{one}}),
+yes AS (SELECT p.type, p.id, p.chunk_id, coalesce(s.closed, false) AS closed, coalesce(a.v, '') AS area FROM placed p
+  LEFT JOIN shape s ON p.type = 'W' AND s.id = p.id LEFT JOIN wt a ON p.type = 'W' AND a.id = p.id AND a.k = 'area'),
+judged AS (SELECT y.*, f.key_ord, f.key, f.v, f.prefix, f.prefix_ord,
+  y.closed AND (y.area = 'yes' OR y.area <> 'no' AND (r.is_area <> (f.prefix_ord = 0 AND EXISTS (SELECT 1 FROM odd o WHERE o.key_ord = f.key_ord AND o.v = f.v)))) AS is_area
+  FROM yes y JOIN fnd f ON f.type = y.type AND f.id = y.id JOIN area r ON r.kind = f.type AND r.key_ord = f.key_ord),
+line AS (SELECT type, id FROM judged WHERE type = 'W' GROUP BY type, id HAVING bool_or(NOT is_area)),
+feat AS (
+  SELECT 'A' AS type, id, chunk_id, key_ord, key, v FROM judged WHERE type = 'W' AND is_area
+  UNION ALL SELECT 'W', id, chunk_id, key_ord, key, v FROM judged WHERE type = 'W' AND id IN (SELECT id FROM line)
+  UNION ALL SELECT type, id, chunk_id, key_ord, key, v FROM judged WHERE type IN ('N', 'C')
+  UNION ALL SELECT CASE WHEN type = 'W' AND closed AND area = 'yes' THEN 'A' ELSE type END, id, chunk_id, 1000000, '', NULL FROM yes y
+    WHERE NOT EXISTS (SELECT 1 FROM fnd f WHERE f.type = y.type AND f.id = y.id)),
+features AS (SELECT f.type, f.id, f.chunk_id, f.key AS block_key, CASE WHEN l.v IS NULL THEN '' ELSE l.v END AS slice_value, f.key_ord, coalesce(l.value_ord, 1073741824) AS value_ord
+  FROM feat f LEFT JOIN listed l ON l.type = f.type AND l.key_ord = f.key_ord AND l.v = f.v)
+"""
+
+
+_FULL = f"WITH {_BASE}, {_TILES}, {_PLACED}, {_rules(default_rules()).replace('{one}', '')} "
+_ONE = f"WITH {_BASE}, {_TILES}, {_PLACED}, {_rules(default_rules()).replace('{one}', 'WHERE key_ord = (SELECT min(key_ord) FROM found g WHERE g.type = f.type AND g.id = f.id)')} "
+_B = f"WITH {_BASE} "
+
+_META = "id, coalesce(version, 0) AS version, 0::BIGINT AS timestamp, 0::BIGINT AS changeset, coalesce(uid, 0) AS uid, coalesce(\"user\", '') AS \"user\""
+
+#: Closed rings of zones as edges.
+_EDGES = """
+z AS (SELECT zone_id, list_concat(ring, ring[1:1]) AS ring FROM zones WHERE len(ring) > 0),
+edges AS (SELECT zone_id, unnest(ring[1:len(ring) - 1]) AS a, unnest(ring[2:len(ring)]) AS b FROM z)
+"""
+
+_SEGMENTS = """
+o AS (SELECT DISTINCT o_custkey AS owner, o_orderkey AS o FROM orders),
+k AS (SELECT owner, o, row_number() OVER (PARTITION BY owner ORDER BY o) - 1 AS k, count(*) OVER (PARTITION BY owner) AS n FROM o)
+"""
+
+_PLAIN_TAGS = f"coalesce((SELECT count(*) FROM (SELECT unnest(map_keys(tags)) AS k) WHERE k NOT IN ({_DISCARD})), 0)::INT"
+
+_SUMMARY = f"""
+SELECT 'n' AS kind, id, coalesce(version, 0) AS version, coalesce(timestamp, 0) AS timestamp, coalesce(uid, 0) AS uid, {_PLAIN_TAGS} AS n_tags,
+  lon::BIGINT * 31 + lat AS place FROM {live("nodes")} WHERE lon IS NOT NULL AND lat IS NOT NULL
+UNION ALL SELECT 'w', id, coalesce(version, 0), coalesce(timestamp, 0), coalesce(uid, 0), {_PLAIN_TAGS},
+  coalesce(list_sum(list_transform(list_filter(nds, lambda x: x IS NOT NULL), lambda x, i: x * i)), 0)::BIGINT FROM {live("ways")}
+UNION ALL SELECT 'r', id, coalesce(version, 0), coalesce(timestamp, 0), coalesce(uid, 0), {_PLAIN_TAGS},
+  coalesce(list_sum(list_transform(list_filter(members, lambda m: m.ref IS NOT NULL AND coalesce(m.type, '') IN ('node', 'way', 'relation')),
+    lambda m, i: i * (m.ref + length(coalesce(m.role, ''))))), 0)::BIGINT FROM {live("relations")}
+"""
+
+SQL: dict[str, str] = {
+    "bbox": f"SELECT min(lon) AS minlon, min(lat) AS minlat, max(lon) AS maxlon, max(lat) AS maxlat FROM {live('nodes')}",
+    "clean_tags": " UNION ALL ".join(f"SELECT id, k AS tag_key, v AS tag_value, '{k}' AS kind FROM {tag_rows(t)}" for k, t in _ALL),
+    "discarded_tags": " UNION ALL ".join(
+        f"SELECT coalesce((SELECT count(*) FROM {tag_rows(t, True)} WHERE k IN ({_DISCARD})), 0) AS n_discarded, (SELECT count(*) FROM {live(t)}) AS n_elements, '{k}' AS kind" for k, t in _ALL
+    ),
+    "project_meta": _each(f"SELECT {_META}, '{{kind}}' AS kind FROM {{table}}"),
+    "resolve_ways": _B + "SELECT cw.id, coalesce(n, 0)::INT AS n_points, coalesce(m, 0)::INT AS n_missing, coalesce(c, 0)::BIGINT AS checksum FROM cw LEFT JOIN "
+    "(SELECT id, count(*) AS n, count(*) FILTER (WHERE lon = 2147483647) AS m, sum(place * (lon::BIGINT + 31 * lat::BIGINT)) AS c FROM pts GROUP BY id) s ON s.id = cw.id",
+    "closed_ways": _B + "SELECT id, (n - 1)::INT AS n_vertices FROM shape WHERE closed",
+    "significant_nodes": _B + "SELECT id FROM sn",
+    "significant_ways": _B + "SELECT id FROM sw",
+    "membership": _B + "SELECT type AS kind, ref, (row_number() OVER (PARTITION BY type, ref ORDER BY id, nr) - 1)::INT AS place, id AS relation_id, role, nr::INT AS nr FROM rest",
+    "relation_kinds": _B + "SELECT cr.id, CASE WHEN t.v IN ('multipolygon', 'boundary') THEN 'area' WHEN t.v IN ('restriction', 'destination_sign') THEN 'turn' ELSE '' END AS kind, "
+    "(SELECT count(*) FROM sorted s WHERE s.id = cr.id AND used)::INT AS n_used, (SELECT count(*) FROM sorted s WHERE s.id = cr.id AND NOT used)::INT AS n_rest "
+    "FROM cr LEFT JOIN rt t ON t.id = cr.id AND t.k = 'type'",
+    "tiles": f"WITH cn AS {live('nodes')}, {_TILES} SELECT tile_id, minlon::INT AS minlon, minlat::INT AS minlat, maxlon::INT AS maxlon, maxlat::INT AS maxlat FROM tl",
+    "tile_elements": f"WITH {_BASE}, {_TILES}, {_PLACED} SELECT type, id, chunk_id FROM placed WHERE type <> 'C'",
+    "chunk_index": f"WITH {_BASE}, {_TILES}, {_PLACED} SELECT type, chunk_id, count(*) AS n FROM placed GROUP BY ALL",
+    "classify_nodes": _FULL + "SELECT f.id, block_key, slice_value, coalesce(l.prefix, t.v, '') AS lifecycle FROM features f "
+    "LEFT JOIN (SELECT id, arg_max(prefix, key_ord) AS prefix FROM found WHERE type = 'N' AND prefix_ord > 0 GROUP BY id) l ON l.id = f.id "
+    "LEFT JOIN nt t ON t.id = f.id AND t.k = 'lifecycle' WHERE f.type = 'N'",
+    "classify_ways": _FULL + "SELECT type, id, block_key, slice_value FROM features WHERE type IN ('W', 'A')",
+    "classify_collections": _FULL + "SELECT id, block_key, slice_value FROM features WHERE type = 'C'",
+    "one_element": _ONE + "SELECT type, id, block_key, slice_value FROM features WHERE type IN ('N', 'W', 'A')",
+    "slice_counts": _FULL + "SELECT type, chunk_id, block_key, slice_value, count(*) AS n FROM features GROUP BY ALL",
+    "block_stats": _FULL + "SELECT type, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT (chunk_id, block_key)) AS n_blocks, count(DISTINCT (chunk_id, block_key, slice_value)) AS n_slices, count(*) AS n_rows FROM features GROUP BY type",
+    "cluster_order": _FULL + "SELECT chunk_id, id, block_key, row_number() OVER (PARTITION BY chunk_id ORDER BY key_ord, value_ord, id)::INT AS place FROM features WHERE type = 'N'",
+    "union_elements": _B + "SELECT 'N' AS type, 'node' AS origin, count(*) AS n, sum(id)::BIGINT AS id_sum, (SELECT count(*) FROM rest WHERE type = 'node' AND ref IN (SELECT id FROM sn)) AS n_links FROM sn HAVING count(*) > 0 "
+    "UNION ALL SELECT 'W', 'way', count(*), sum(id)::BIGINT, (SELECT count(*) FROM rest WHERE type = 'way' AND ref IN (SELECT id FROM sw)) FROM sw HAVING count(*) > 0 "
+    "UNION ALL SELECT 'C', 'collection', count(*), sum(id)::BIGINT, (SELECT count(*) FROM rest WHERE type = 'relation' AND ref IN (SELECT id FROM coll)) FROM coll HAVING count(*) > 0",
+    "point_in_ring": f"WITH {_EDGES}, p AS (SELECT zone_id AS point_of, ring[1].lon::BIGINT AS x, ring[1].lat::BIGINT AS y FROM z) "
+    "SELECT zone_id, point_of FROM p JOIN edges ON point_of <> zone_id WHERE a.lat <> b.lat AND (a.lat <= y) = (y < b.lat) "
+    "AND a.lon + ((b.lon - a.lon)::BIGINT * (y - a.lat)) // (b.lat - a.lat) < x GROUP BY ALL HAVING count(*) % 2 = 1",
+    "orient_areas": _B + ", wrap AS (SELECT p.id, ((b.lon::BIGINT - a.lon + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 AS dx, "
+    "((b.lat::BIGINT + a.lat + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 AS sy, b.lon::BIGINT - a.lon AS ex, b.lat::BIGINT + a.lat AS ey "
+    "FROM (SELECT id, place, n FROM pts JOIN shape USING (id) WHERE closed AND place < n) p JOIN pts a ON a.id = p.id AND a.place = p.place "
+    "JOIN pts b ON b.id = p.id AND b.place = CASE WHEN p.place = p.n - 1 THEN 1 ELSE p.place + 1 END) "
+    "SELECT id, sum(((dx * sy + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) >= 0 AS clockwise, sum(ex * ey) >= 0 AS clockwise_exact FROM wrap GROUP BY id",
+    "ring_assembly": f"WITH {_SEGMENTS} SELECT owner, 1 AS n_rings, (2 * count(*) - 1)::INT AS n_vertices FROM k GROUP BY owner",
+    "from_to": f"WITH {_SEGMENTS} SELECT owner, k::INT AS place, (100000000 + o * 1000)::INT AS lon, (480000000 + (o * 7919 % 100003) * 100)::INT AS lat FROM k WHERE n >= 3 AND k < 3",
+    "lifecycle": _FULL + ", moved AS (SELECT * FROM found WHERE type = 'N' AND prefix_ord > 0 AND id IN (SELECT id FROM sn)), "
+    "last AS (SELECT id, arg_max(prefix, key_ord) AS prefix FROM moved GROUP BY id) "
+    "SELECT id, k AS tag_key, v AS tag_value FROM nt t WHERE id IN (SELECT id FROM moved) AND k <> 'lifecycle' AND NOT EXISTS (SELECT 1 FROM moved m WHERE m.id = t.id AND t.k = m.prefix || ':' || m.key) "
+    "UNION ALL SELECT id, key, v FROM moved UNION ALL SELECT id, 'lifecycle', prefix FROM last",
+    "read_pruned": _FULL + "SELECT f.type, f.id, block_key, slice_value FROM features f JOIN shape s ON s.id = f.id WHERE (f.type = 'A' AND block_key = 'building' OR f.type = 'W' AND block_key = 'highway' AND slice_value = 'track') "
+    "AND s.x1 >= 50000000 AND s.x0 <= 300000000 AND s.y1 >= 400000000 AND s.y0 <= 500000000",
+    "read_xml_files": _SUMMARY,
+    "read_pbf": _SUMMARY,
+    # that format has no author without a time, and no time without a version
+    "read_o5m": f"SELECT kind, id, version, CASE WHEN version = 0 THEN 0 ELSE timestamp END AS timestamp, CASE WHEN version = 0 OR timestamp = 0 THEN 0 ELSE uid END AS uid, n_tags, place FROM ({_SUMMARY})",
+    "p4_found": f"""WITH n AS (SELECT id, lon, lat, radians(lon / 1e7) AS lo, radians(lat / 1e7) AS la FROM {LOCATED}), {_EDGES},
+bb AS (SELECT zone_id, min(a.lon) AS x0, max(a.lon) AS x1, min(a.lat) AS y0, max(a.lat) AS y1 FROM edges GROUP BY zone_id),
+c AS (SELECT zone_id, id, n.lon, n.lat FROM n JOIN bb ON n.lon BETWEEN x0 AND x1 AND n.lat BETWEEN y0 AND y1),
+nb AS (SELECT *, lat // 500 + unnest([-1, 0, 1]) AS band FROM n)
+SELECT 'near' AS rel, a.id AS key_a, b.id AS key_b FROM n a JOIN nb b ON a.lat // 500 = b.band AND a.id < b.id AND abs(a.lat - b.lat) <= 450
+WHERE 2 * 6371008.8 * asin(sqrt(least(1, pow(sin((a.la - b.la) / 2), 2) + cos(a.la) * cos(b.la) * pow(sin((a.lo - b.lo) / 2), 2)))) <= 5
+UNION ALL SELECT 'zone', zone_id, id FROM (SELECT c.zone_id, c.id FROM c JOIN edges e ON e.zone_id = c.zone_id AND (e.a.lat > c.lat) <> (e.b.lat > c.lat)
+AND CASE WHEN e.b.lat > e.a.lat THEN (c.lon - e.a.lon)::BIGINT * (e.b.lat - e.a.lat) < (c.lat - e.a.lat)::BIGINT * (e.b.lon - e.a.lon)
+  ELSE (c.lon - e.a.lon)::BIGINT * (e.b.lat - e.a.lat) > (c.lat - e.a.lat)::BIGINT * (e.b.lon - e.a.lon) END GROUP BY ALL HAVING count(*) % 2 = 1)""",
+}
+
+_JSON = """
+u AS (SELECT row_number() OVER () AS r, upload_id, payload::JSON AS doc FROM (SELECT DISTINCT upload_id, payload FROM uploads) WHERE payload IS NOT NULL AND json_valid(payload)),
+j AS (SELECT u.r, u.upload_id, t.id, t.parent, t.key, t.type, t.value FROM u, json_tree(u.doc) t),
+named AS (SELECT * FROM j WHERE key IN ('node', 'way', 'relation') AND type IN ('OBJECT', 'ARRAY')),
+obj AS (SELECT r, upload_id, id, key AS elem_type, value FROM named WHERE type = 'OBJECT'
+  UNION ALL SELECT j.r, j.upload_id, j.id, a.key, j.value FROM named a JOIN j ON j.r = a.r AND j.parent = a.id AND a.type = 'ARRAY' AND j.type = 'OBJECT'),
+e AS (SELECT *, try_cast(coalesce(value->>'id', value->>'@id') AS BIGINT) AS elem_id FROM obj),
+box AS (SELECT e.r, e.upload_id, e.elem_type, e.elem_id, CASE WHEN j.key = 'tags' THEN 'tag' ELSE j.key END AS child, j.id, j.type, j.value
+  FROM e JOIN j ON j.r = e.r AND j.parent = e.id AND j.key IN ('tag', 'tags', 'nd', 'member')),
+kid AS (SELECT upload_id, elem_type, elem_id, child, 0 AS pos, value FROM box WHERE type = 'OBJECT'
+  UNION ALL SELECT b.upload_id, b.elem_type, b.elem_id, b.child, j.key::INT, j.value FROM box b JOIN j ON j.r = b.r AND j.parent = b.id AND b.type = 'ARRAY' AND j.type = 'OBJECT'),
+tagkey AS (SELECT *, coalesce(value->>'k', value->>'@k') AS k FROM kid WHERE child = 'tag')
+"""
+SQL["p3_found"] = f"""WITH {_JSON} SELECT DISTINCT upload_id, elem_type, elem_id, child, -1 AS pos, k AS child_key FROM tagkey WHERE k IS NOT NULL
+UNION SELECT upload_id, elem_type, elem_id, child, -1, unnest(json_keys(value)) FROM tagkey WHERE k IS NULL
+UNION SELECT upload_id, elem_type, elem_id, child, pos, coalesce(value->>'ref', value->>'@ref')::BIGINT::VARCHAR FROM kid WHERE child = 'nd'
+UNION SELECT upload_id, elem_type, elem_id, child, pos, coalesce(value->>'type', value->>'@type') || '/' || coalesce(value->>'ref', value->>'@ref')::BIGINT FROM kid WHERE child = 'member'"""
+_EITHER = lambda k: f"coalesce(value->>'{k}', value->>'@{k}') AS {k}"
+SQL["p3_elements"] = f"""WITH {_JSON} SELECT DISTINCT upload_id, elem_type, elem_id, {', '.join(_EITHER(k) for k in ('id', 'version', 'timestamp', 'changeset', 'lat', 'lon'))} FROM e"""
+SQL["p3_members"] = f"""WITH {_JSON} SELECT DISTINCT upload_id, elem_type, elem_id, pos, {', '.join(_EITHER(k) for k in ('type', 'ref', 'role'))} FROM kid WHERE child = 'member'"""
+
+_TAGGED = "(" + _each("SELECT '{kind}' AS kind, id, tags FROM {table} WHERE cardinality(tags) > 0") + ")"
+_KEYS = f"(SELECT kind, id, unnest(map_keys(tags)) AS tag_key FROM {_TAGGED})"
+_TILED = f"(SELECT n.id, n.lon, n.lat, min(tile_id) AS tile_id FROM {LOCATED} n LEFT JOIN tiles t ON n.lon BETWEEN t.minlon AND t.maxlon AND n.lat BETWEEN t.minlat AND t.maxlat GROUP BY ALL)"
+
+SQL |= {
+    "p5_found": f"SELECT 'tag_key' AS dim, tag_key AS hot_key FROM {_KEYS} GROUP BY tag_key HAVING count(*) * 20 >= (SELECT count(*) FROM {_TAGGED}) "
+    f"UNION ALL SELECT 'tile', tile_id::VARCHAR FROM {_TILED} WHERE tile_id IS NOT NULL GROUP BY tile_id HAVING count(*) * 20 >= (SELECT count(*) FROM {LOCATED})",
+    "p5_tag_keys": "SELECT tag_key, count(*) AS n_elements, count(*) FILTER (WHERE kind = 'n') AS n_n, count(*) FILTER (WHERE kind = 'w') AS n_w, count(*) FILTER (WHERE kind = 'r') AS n_r, "
+    f"min(id) AS min_id, max(id) AS max_id FROM {_KEYS} GROUP BY tag_key",
+    "p5_tiles": f"SELECT tile_id, count(*) AS n_nodes, min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north FROM {_TILED} GROUP BY tile_id",
+}
+
+_KIND = (("node", "nodes"), ("way", "ways"), ("relation", "relations"))
+_TARGETS = " UNION ALL ".join(
+    f"SELECT '{k}' AS ref_type, c.id AS ref_id, coalesce(c.visible, false) AS live, f.first_loaded FROM {_current(t)} c JOIN (SELECT id, min(loaded_at) AS first_loaded FROM {t} GROUP BY id) f ON f.id = c.id" for k, t in _KIND
+)
+_ORPHANS = f"""
+targets AS ({_TARGETS}),
+refs AS (SELECT DISTINCT 'ways' AS src_table, id AS src_id, loaded_at, 'node' AS ref_type, ref AS ref_id FROM (SELECT id, loaded_at, unnest(nds) AS ref FROM {live("ways")}) WHERE ref IS NOT NULL
+  UNION ALL SELECT DISTINCT 'relations', id, loaded_at, m.type, m.ref FROM (SELECT id, loaded_at, unnest(members) AS m FROM {live("relations")}) WHERE m.ref IS NOT NULL AND m.type IN ('node', 'way', 'relation')),
+direct AS (SELECT * FROM (SELECT r.*, CASE WHEN t.live IS NULL THEN 'missing' WHEN NOT t.live THEN 'deleted' WHEN t.first_loaded > r.loaded_at THEN 'late' END AS ref_state
+  FROM refs r LEFT JOIN targets t USING (ref_type, ref_id)) WHERE ref_state IS NOT NULL)
+"""
+_MONTH = "strftime(loaded_at AT TIME ZONE 'UTC', '%Y-%m')"
+SQL["p6_found"] = f"WITH {_ORPHANS} SELECT src_table, {_MONTH} AS month_key, src_id, ref_type, ref_id, ref_state FROM direct"
+SQL["p6_report"] = f"""WITH RECURSIVE {_ORPHANS},
+bad(ref_type, ref_id) AS (SELECT CASE WHEN src_table = 'ways' THEN 'way' ELSE 'relation' END, src_id FROM direct
+  UNION SELECT 'relation', r.src_id FROM refs r JOIN bad b ON r.ref_type = b.ref_type AND r.ref_id = b.ref_id WHERE NOT EXISTS
+    (SELECT 1 FROM direct d WHERE d.src_table = r.src_table AND d.src_id = r.src_id AND d.ref_type = r.ref_type AND d.ref_id = r.ref_id)),
+al AS (SELECT src_table, src_id, loaded_at, 'direct' AS orphan, ref_state FROM direct
+  UNION ALL SELECT r.src_table, r.src_id, r.loaded_at, 'inherited', 'inherited' FROM refs r JOIN bad b ON r.ref_type = b.ref_type AND r.ref_id = b.ref_id WHERE r.src_table = 'relations' AND NOT EXISTS
+    (SELECT 1 FROM direct d WHERE d.src_table = r.src_table AND d.src_id = r.src_id AND d.ref_type = r.ref_type AND d.ref_id = r.ref_id))
+SELECT src_table, {_MONTH} AS month_key, orphan, ref_state, count(*) AS n_refs, count(DISTINCT src_id) AS n_rows FROM al GROUP BY ALL"""
+
+_LINKS = f"""
+lv AS (SELECT id, members FROM {live("relations")}),
+links AS (SELECT DISTINCT id AS p, m.ref AS c FROM (SELECT id, unnest(members) AS m FROM lv) WHERE m.type = 'relation' AND m.ref IN (SELECT id FROM lv)),
+reach(a, b) AS (SELECT p, c FROM links UNION SELECT r.a, l.c FROM reach r JOIN links l ON r.b = l.p),
+cyc AS (SELECT a AS id FROM reach WHERE a = b),
+walk(root, id, depth, path) AS (SELECT DISTINCT p, p, 0, p::VARCHAR FROM links WHERE p NOT IN (SELECT c FROM links)
+  UNION ALL SELECT w.root, l.c, w.depth + 1, w.path || '>' || l.c FROM walk w JOIN links l ON l.p = w.id WHERE l.c NOT IN (SELECT id FROM cyc))
+"""
+SQL["p7_found"] = f"""WITH RECURSIVE {_LINKS} SELECT 'path' AS kind, root AS root_id, id AS relation_id, depth AS tree_depth, path AS id_path FROM walk
+UNION ALL SELECT 'cycle', min(r.b), r.a, -1, '' FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a GROUP BY r.a"""
+SQL["p7_descendants"] = f"""WITH RECURSIVE {_LINKS}, parts AS (SELECT id, depth, unnest(string_split(path, '>'))::BIGINT AS anc, generate_subscripts(string_split(path, '>'), 1) - 1 AS pos FROM walk),
+pairs AS (SELECT anc, id, max(depth - pos) AS below FROM parts GROUP BY ALL)
+SELECT anc AS ancestor_id, count(*) - 1 AS n_descendants, max(below)::INT AS height FROM pairs GROUP BY anc"""

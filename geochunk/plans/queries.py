@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geochunk.operators import nested
+from geochunk.config import default_rules, default_tiles
+from geochunk.functions.geometry import assemble_rings_udf, in_ring, is_closed, is_clockwise, open_ring, settle_line, turn_lines_udf
+from geochunk.operators import nested, resolve, tags
+from geochunk.operators.classify import classify
 from geochunk.operators.elements import all_live_tags, live, located
 from geochunk.operators.hierarchy import hierarchies
 from geochunk.operators.hotkeys import first_tile, salted_aggregate
 from geochunk.operators.orphans import orphan_cascade
 from geochunk.operators.proximity import near_pairs, points_in_regions
-from geochunk.session import load, materialize
+from geochunk.operators.tiling import assign_tiles, bbox as bbox_of
+from geochunk.plans.convert import convert, data_tiles
+from geochunk.plans.fixtures import cleaned, dataset, segments
+from geochunk.session import load, materialize, work_dir
+from geochunk.sources import encode, sink
+from geochunk.sources.read import read
+from geochunk.sources.xml import read_xml, write_xml
 
 
 # --- nested records ---------------------------------------------------------------------------------------------------
@@ -139,6 +150,287 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("ancestor_id").agg((F.count("*") - 1).alias("n_descendants"), F.max("below").alias("height"))
 
 
+# --- the engine's own operators ---------------------------------------------------------------------------------------
+
+_KINDS = {"n": "nodes", "w": "ways", "r": "relations"}
+
+
+def bbox(spark: SparkSession, d: str) -> DataFrame:
+    return bbox_of(dataset(spark, d).nodes)
+
+
+def _each(spark: SparkSession, d: str, f: Callable[[DataFrame], DataFrame], cleaned_: bool = False) -> DataFrame:
+    """UNION ALL of f over the three tables, with their kind."""
+    x = cleaned(spark, d) if cleaned_ else dataset(spark, d)
+    parts = [f(getattr(x, t)).withColumn("kind", F.lit(k)) for k, t in _KINDS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def clean_tags(spark: SparkSession, d: str) -> DataFrame:
+    return _each(spark, d, lambda t: t.select("id", F.explode("tags").alias("tag_key", "tag_value")), True)
+
+
+def discarded_tags(spark: SparkSession, d: str) -> DataFrame:
+    return _each(spark, d, lambda t: t.agg(F.coalesce(tags.discarded(t), F.lit(0)).alias("n_discarded"), F.count("*").alias("n_elements")))
+
+
+def project_meta(spark: SparkSession, d: str) -> DataFrame:
+    return _each(spark, d, lambda t: tags.preserve(t, ("version", "user")).select("id", "version", "timestamp", "changeset", "uid", "user"))
+
+
+def resolve_ways(spark: SparkSession, d: str) -> DataFrame:
+    x = cleaned(spark, d)
+    w = resolve.resolve_ways(x.ways, x.nodes).withColumn("pts", settle_line("pts"))
+    n_missing = F.size(F.filter("pts", lambda p: p["lon"] == 2147483647))
+    terms = F.transform("pts", lambda p, i: (i + 1) * (p["lon"].cast("long") + 31 * p["lat"].cast("long")))
+    total = F.aggregate(terms, F.lit(0).cast("long"), lambda a, t: a + t)
+    return w.select("id", F.size("pts").alias("n_points"), n_missing.alias("n_missing"), total.alias("checksum"))
+
+
+def closed_ways(spark: SparkSession, d: str) -> DataFrame:
+    x = cleaned(spark, d)
+    w = resolve.resolve_ways(x.ways, x.nodes).withColumn("pts", settle_line("pts"))
+    return w.where(is_closed("pts")).select("id", F.size(open_ring("pts")).alias("n_vertices"))
+
+
+def _significant(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    x = cleaned(spark, d)
+    links = resolve.membership(resolve.kind_of(x.relations))
+    return resolve.significant(resolve.with_members(getattr(x, kind + "s"), kind, links)).select("id")
+
+
+def significant_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _significant(spark, d, "node")
+
+
+def significant_ways(spark: SparkSession, d: str) -> DataFrame:
+    return _significant(spark, d, "way")
+
+
+def membership(spark: SparkSession, d: str) -> DataFrame:
+    m = resolve.membership(resolve.kind_of(cleaned(spark, d).relations))
+    return m.select("kind", "ref", F.posexplode("members").alias("place", "m")).select("kind", "ref", "place", F.col("m.id").alias("relation_id"), "m.role", "m.nr")
+
+
+def relation_kinds(spark: SparkSession, d: str) -> DataFrame:
+    k = resolve.kind_of(cleaned(spark, d).relations)
+    return k.select("id", F.coalesce("kind", F.lit("")).alias("kind"), F.size("used").alias("n_used"), F.size("rest").alias("n_rest"))
+
+
+def tiles(spark: SparkSession, d: str) -> DataFrame:
+    return data_tiles(spark, dataset(spark, d).nodes, default_tiles()).drop("raw_id")
+
+
+def _placed(spark: SparkSession, d: str, *types: str) -> DataFrame:
+    x, grids = cleaned(spark, d), default_tiles()
+    e = resolve.all_elements(x.nodes, x.ways, x.relations)
+    return materialize(assign_tiles(e.where(F.col("origin").isin(*types)), grids, materialize(data_tiles(spark, x.nodes, grids), "tiles")), "placed")
+
+
+def tile_elements(spark: SparkSession, d: str) -> DataFrame:
+    """First containing tile of every node and way."""
+    return _placed(spark, d, "node", "way").select("type", "id", "chunk_id")
+
+
+def chunk_index(spark: SparkSession, d: str) -> DataFrame:
+    return _placed(spark, d, "node", "way", "collection").groupBy("type", "chunk_id").agg(F.count("*").alias("n"))
+
+
+def _classified(spark: SparkSession, d: str, one_element: bool = False) -> DataFrame:
+    return classify(_placed(spark, d, "node", "way", "collection"), default_rules(), one_element)
+
+
+def classify_nodes(spark: SparkSession, d: str) -> DataFrame:
+    c = _classified(spark, d).where("type = 'N'")
+    return c.select("id", "block_key", "slice_value", F.coalesce(F.element_at("tags", "lifecycle"), F.lit("")).alias("lifecycle"))
+
+
+def classify_ways(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).where("type in ('W', 'A')").select("type", "id", "block_key", "slice_value")
+
+
+def classify_collections(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).where("type = 'C'").select("id", "block_key", "slice_value")
+
+
+def one_element(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d, True).where("type in ('N', 'W', 'A')").select("type", "id", "block_key", "slice_value")
+
+
+def slice_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Features per type, tile, key and value: nodes, ways and collections."""
+    return _classified(spark, d).groupBy("type", "chunk_id", "block_key", "slice_value").agg(F.count("*").alias("n"))
+
+
+def block_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, blocks and slices per type."""
+    s = slice_counts(spark, d)
+    return s.groupBy("type").agg(
+        F.countDistinct("chunk_id").alias("n_chunks"), F.countDistinct("chunk_id", "block_key").alias("n_blocks"), F.count("*").alias("n_slices"), F.sum("n").alias("n_rows")
+    )
+
+
+def cluster_order(spark: SparkSession, d: str) -> DataFrame:
+    """Place of each node in its chunk: by key, value, id."""
+    c = _classified(spark, d).where("type = 'N'")
+    w = Window.partitionBy("chunk_id").orderBy("key_ord", "value_ord", "id")
+    return c.select("chunk_id", "id", "block_key", F.row_number().over(w).alias("place"))
+
+
+def union_elements(spark: SparkSession, d: str) -> DataFrame:
+    x = cleaned(spark, d)
+    e = resolve.all_elements(x.nodes, x.ways, x.relations).where("origin in ('node', 'way', 'collection')")
+    return e.groupBy("type", "origin").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"), F.sum(F.coalesce(F.size("member_of"), F.lit(0))).alias("n_links"))
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """The whole conversion, relations' areas and turns included: rows per type, origin and key."""
+    f, _ = convert(cleaned(spark, d))
+    points = F.sum(F.size("pts") + F.aggregate("holes", F.lit(0), lambda a, h: a + F.size(h)))
+    return f.groupBy("type", "origin", "block_key").agg(F.count("*").alias("n"), points.alias("n_points"))
+
+
+def relation_areas(spark: SparkSession, d: str) -> DataFrame:
+    x = cleaned(spark, d)
+    lines = resolve.used_lines(resolve.kind_of(x.relations), resolve.resolve_ways(x.ways, x.nodes), x.nodes)
+    return resolve.relation_areas(lines).select("id", F.size("pts").alias("n_points"), F.size("holes").alias("n_holes"))
+
+
+def _rings(spark: SparkSession, d: str) -> DataFrame:
+    z = load(spark, d, "zones").where(F.size("ring") > 0)
+    return z.select("zone_id", F.concat("ring", F.slice("ring", 1, 1)).alias("ring"))
+
+
+def point_in_ring(spark: SparkSession, d: str) -> DataFrame:
+    """Which zones' first points lie in which other zones (zones are a fixed, small table)."""
+    z = _rings(spark, d)
+    p = z.select(F.col("zone_id").alias("point_of"), F.get("ring", F.lit(0)).alias("p"))
+    j = p.join(F.broadcast(z), F.col("point_of") != F.col("zone_id"))
+    return j.where(in_ring(F.col("p.lon"), F.col("p.lat"), F.col("ring"))).select("zone_id", "point_of")
+
+
+def orient_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Direction of the closed ways' rings, in 32-bit and in 64-bit arithmetic."""
+    x = cleaned(spark, d)
+    w = resolve.resolve_ways(x.ways, x.nodes).withColumn("pts", settle_line("pts")).where(is_closed("pts"))
+    w = w.select("id", open_ring("pts").alias("ring"))
+    return w.select("id", is_clockwise(F.col("ring")).alias("clockwise"), is_clockwise(F.col("ring"), True).alias("clockwise_exact"))
+
+
+def ring_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """Shuffled, partly reversed segments of one ring a customer: rings, and vertices of the ring stored open."""
+    g = segments(spark, d).groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("pos", "o", "line"))).alias("s"))
+    r = g.select("owner", assemble_rings_udf(F.transform("s", lambda e: e["line"])).alias("rings"))
+    return r.select("owner", F.size("rings").alias("n_rings"), F.aggregate("rings", F.lit(0), lambda a, x: a + F.size(x) - 1).alias("n_vertices"))
+
+
+def from_to(spark: SparkSession, d: str) -> DataFrame:
+    """From the first segment of a customer's ring over its shared point into the second, via inferred."""
+    g = segments(spark, d).where("n >= 3").groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("s"))
+    at = lambda i: F.array(F.get("s", F.lit(i))["line"])
+    none = F.slice(at(0), 1, 0)
+    t = g.select("owner", F.explode(turn_lines_udf(at(0), none, at(1))).alias("line"))
+    return t.select("owner", F.posexplode("line").alias("place", "p")).select("owner", "place", "p.lon", "p.lat")
+
+
+def lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of nodes after lifecycle rewrites, where there were any."""
+    c = _classified(spark, d).where("type = 'N'").dropDuplicates(["id"])
+    before = cleaned(spark, d).nodes.select("id", F.map_keys("tags").alias("was"))
+    c = c.join(before, "id").where(F.size(F.array_except(F.map_keys("tags"), "was")) > 0)
+    return c.select("id", F.explode("tags").alias("tag_key", "tag_value"))
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/{uuid.uuid4().hex[:12]}"
+
+
+def read_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Write the layout, then read buildings and highways' tracks inside a box."""
+    x = cleaned(spark, d)
+    rows, t = convert(x)
+    path = _new_folder(spark)
+    sink.write(rows.where("origin in ('node', 'way', 'collection')"), t, path)
+    box = (50_000_000, 400_000_000, 300_000_000, 500_000_000)
+    got = sink.read_features(spark, path, box, ("A",), "building").unionByName(sink.read_features(spark, path, box, ("W",), "highway", "track"))
+    return got.select("type", "id", "block_key", "slice_value")
+
+
+def _plain(df: DataFrame, own: str) -> DataFrame:
+    """Elements as sources give them: no nulls but in lists."""
+    fill = {"version": 0, "timestamp": 0, "changeset": 0, "uid": 0, "user": ""}
+    text = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[\\x00-\\x1f]", " ")
+    df = df.withColumn("tags", F.transform_values("tags", lambda k, v: text(v))).fillna(fill)
+    if own == "nds":
+        df = df.withColumn("nds", F.coalesce(F.filter("nds", lambda x: x.isNotNull()), F.array().cast("array<bigint>")))
+    if own == "members":
+        good = F.filter("members", lambda m: m["ref"].isNotNull() & m["type"].isin("node", "way", "relation"))
+        good = F.transform(good, lambda m: F.struct(m["type"].alias("type"), m["ref"].alias("ref"), F.coalesce(m["role"], F.lit("")).alias("role")))
+        df = df.withColumn("members", F.coalesce(good, F.array().cast(df.schema["members"].dataType)))
+    return df
+
+
+def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    x = cleaned(spark, d)
+    nodes = _plain(x.nodes, "").where("lon is not null and lat is not null")
+    cols = ["id", "version", "timestamp", "changeset", "uid", "user"]
+    return nodes.select(*cols, "lon", "lat", "tags"), _plain(x.ways, "nds").select(*cols, "nds", "tags"), _plain(x.relations, "members").select(*cols, "members", "tags")
+
+
+def _summary(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
+    """One row per element: kind, id, version, timestamp, uid, n_tags, place (a checksum of position or references)."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, t: a + t)
+    place = {
+        "n": F.col("lon").cast("long") * 31 + F.col("lat"),
+        "w": total(F.transform("nds", lambda r, i: (i + 1) * r)),
+        "r": total(F.transform("members", lambda m, i: (i + 1) * (m["ref"] + F.length(m["role"])))),
+    }
+    parts = [t.select(F.lit(k).alias("kind"), "id", "version", "timestamp", "uid", F.size("tags").alias("n_tags"), p.alias("place")) for (k, p), t in zip(place.items(), (nodes, ways, relations))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def read_xml_files(spark: SparkSession, d: str) -> DataFrame:
+    """The live elements, written as XML and read again."""
+    out = []
+    for kind, t in zip(("node", "way", "relation"), _sources(spark, d)):
+        path = _new_folder(spark)
+        write_xml(t, kind, path)
+        out.append(read_xml(spark, path, kind, exact=True))
+    return _summary(*out)
+
+
+def _binary(spark: SparkSession, d: str, format: str) -> DataFrame:
+    """The live elements, written in files of a binary format by each partition and read again."""
+    path = _new_folder(spark)
+    local = path.removeprefix("file://").removeprefix("file:")
+    Path(local).mkdir(parents=True, exist_ok=True)
+    for kind, t in zip(("nodes", "ways", "relations"), _sources(spark, d)):
+
+        def put(batches, kind=kind):
+            for b in batches:
+                (Path(local) / uuid.uuid4().hex).write_bytes(getattr(encode, format)(**{kind: [r | {"tags": dict(r["tags"])} for r in b.to_pylist()]}))
+                yield b.slice(0, 0).select(["id"])
+
+        t.mapInArrow(put, "id bigint").count()
+    x = read(spark, path, format)
+    return _summary(x.nodes, x.ways, x.relations)
+
+
+def read_pbf(spark: SparkSession, d: str) -> DataFrame:
+    return _binary(spark, d, "pbf")
+
+
+def read_o5m(spark: SparkSession, d: str) -> DataFrame:
+    return _binary(spark, d, "o5m")
+
+
+_OWN = [
+    bbox, clean_tags, discarded_tags, project_meta, resolve_ways, closed_ways, significant_nodes, significant_ways, membership, relation_kinds,
+    tiles, tile_elements, chunk_index, classify_nodes, classify_ways, classify_collections, one_element, slice_counts, block_stats, cluster_order,
+    union_elements, features, relation_areas, point_in_ring, orient_areas, ring_assembly, from_to, lifecycle, read_pruned, read_xml_files,
+    read_pbf, read_o5m,
+]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_elements": p3_elements,
@@ -151,4 +443,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_report": p6_report,
     "p7_found": p7_found,
     "p7_descendants": p7_descendants,
+    **{f.__name__: f for f in _OWN},
 }
