@@ -68,10 +68,10 @@ def first_tile(points: DataFrame, tiles: DataFrame, cell: int = CELL) -> DataFra
     rectangle. Points with a null coordinate get null.
     """
     at = lambda c: F.floor(F.col(c).cast("long") / cell).cast("int")
-    p = points.withColumn("cx", at("lon")).withColumn("cy", at("lat"))
+    p = points.withColumn("_cx", at("lon")).withColumn("_cy", at("lat"))
     holds = lambda t: F.col("lon").between(t["minlon"], t["maxlon"]) & F.col("lat").between(t["minlat"], t["maxlat"])
-    j = p.join(broadcast_checked(tile_index(tiles, cell)), ["cx", "cy"], "left")
-    head = F.get("tiles", F.lit(0))
+    j = p.join(broadcast_checked(tile_index(tiles, cell).toDF("_cx", "_cy", "_tiles")), ["_cx", "_cy"], "left")
+    head = F.get("_tiles", F.lit(0))
     # most cells are held by their first tile: no search then
-    found = F.when(head["whole"], head["tile_id"]).otherwise(F.get(F.filter("tiles", holds), F.lit(0))["tile_id"])
-    return j.withColumn("tile_id", found).drop("cx", "cy", "tiles")
+    found = F.when(head["whole"], head["tile_id"]).otherwise(F.get(F.filter("_tiles", holds), F.lit(0))["tile_id"])
+    return j.withColumn("tile_id", found).drop("_cx", "_cy", "_tiles")

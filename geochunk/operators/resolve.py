@@ -18,8 +18,12 @@ AREA_ROLES = ("outer", "inner")
 TURN_ROLES = ("from", "to", "via", "intersection")
 VIA_ROLES = ("via", "intersection")
 
-_NO_HOLES = F.array().cast("array<array<struct<lon:int,lat:int>>>")
-_NO_POINTS = F.array().cast("array<struct<lon:int,lat:int>>")
+_LINE = "array<struct<lon:int,lat:int>>"
+
+
+def _none(kind: str) -> Column:
+    """An empty array (made when called: columns need a session)."""
+    return F.array().cast(kind)
 
 
 def positions(nodes: DataFrame) -> DataFrame:
@@ -40,7 +44,7 @@ def way_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def resolve_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """``ways`` with pts (stand-in positions kept, empty for ways without references) in place of nds."""
-    return ways.drop("nds").join(way_points(ways, nodes), "id", "left").withColumn("pts", F.coalesce("pts", _NO_POINTS))
+    return ways.drop("nds", "pts").join(way_points(ways, nodes), "id", "left").withColumn("pts", F.coalesce("pts", _none(_LINE)))
 
 
 def kind_of(relations: DataFrame) -> DataFrame:
@@ -107,7 +111,7 @@ def membership(kinds: DataFrame) -> DataFrame:
 def with_members(df: DataFrame, kind: str, links: DataFrame) -> DataFrame:
     """``df`` with its reverse members; null where no collection names the element."""
     mine = links.where(F.col("kind") == kind).select(F.col("ref").alias("id"), F.col("members").alias("member_of"))
-    return df.join(mine, "id", "left")
+    return df.drop("member_of").join(mine, "id", "left")
 
 
 def significant(df: DataFrame) -> DataFrame:
@@ -119,8 +123,10 @@ def all_elements(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> Dat
     """UNION ALL of the resolved elements: type, origin, id, metadata, pts, holes, tags, member_of.
 
     type N, W, A or C; origin node, way, turn, area or collection. Insignificant nodes and ways are dropped, what comes
-    of relations never is. Points without position are at NOWHERE from here on.
+    of relations never is. Points without position are at NOWHERE from here on. Further columns are ignored.
     """
+    own = ["id", *(c for c in META if c in nodes.columns), "tags"]
+    nodes, ways, relations = nodes.select(*own, "lon", "lat"), ways.select(*own, "nds"), relations.select(*own, "members")
     kinds = kind_of(relations)
     links = membership(kinds)
     resolved = resolve_ways(ways, nodes)
@@ -128,7 +134,8 @@ def all_elements(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> Dat
     meta = [c for c in META if c in nodes.columns]
     cols = ["type", "origin", "id", *meta, "pts", "holes", "tags", "member_of"]
 
-    def rows(df: DataFrame, kind: str, origin: str, pts: Column, holes: Column = _NO_HOLES) -> DataFrame:
+    def rows(df: DataFrame, kind: str, origin: str, pts: Column, holes: Column | None = None) -> DataFrame:
+        holes = _none(f"array<{_LINE}>") if holes is None else holes
         return df.select(F.lit(kind).alias("type"), F.lit(origin).alias("origin"), "id", *meta, pts.alias("pts"), holes.alias("holes"), "tags", "member_of").select(cols)
 
     at = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull() & (F.col("lon") < MISSING_LON), point(F.col("lon"), F.col("lat"))).otherwise(settle(missing_point(F.lit(0).cast("long"))))
@@ -137,4 +144,4 @@ def all_elements(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> Dat
     out = out.unionByName(rows(significant(with_members(resolved, "way", links)), "W", "way", settle_line("pts")))
     out = out.unionByName(rows(heads.join(turn_ways(lines), "id"), "W", "turn", settle_line("pts")))
     out = out.unionByName(rows(heads.join(relation_areas(lines), "id"), "A", "area", settle_line("pts"), F.transform("holes", settle_line)))
-    return out.unionByName(rows(heads.where(F.size("rest") > 0), "C", "collection", _NO_POINTS))
+    return out.unionByName(rows(heads.where(F.size("rest") > 0), "C", "collection", _none(_LINE)))
