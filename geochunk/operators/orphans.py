@@ -71,17 +71,17 @@ def orphan_cascade(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> D
     bad = direct.select("src_table", "src_id", "ref_type", "ref_id")
     upward = upward.join(bad, ["src_table", "src_id", "ref_type", "ref_id"], "left_anti")
     upward = materialize(upward, "upward")
-    found = [direct.withColumn("orphan", F.lit("direct")).withColumn("level", F.lit(0))]
-    frontier = materialize(as_target(direct), "frontier-0")
+    frontier = materialize(as_target(direct).withColumn("level", F.lit(0)), "frontier-0")
     seen, level = frontier, 0
     while not frontier.isEmpty():
         level += 1
-        step = materialize(upward.join(frontier, ["ref_type", "ref_id"], "left_semi"), f"inherited-{level}")
-        found.append(step.withColumn("ref_state", F.lit("inherited")).withColumn("orphan", F.lit("inherited")).withColumn("level", F.lit(level)))
-        frontier = materialize(as_target(step).join(seen, ["ref_type", "ref_id"], "left_anti"), f"frontier-{level}")
+        hit = upward.join(frontier.select("ref_type", "ref_id"), ["ref_type", "ref_id"], "left_semi")
+        new = as_target(hit).join(seen.select("ref_type", "ref_id"), ["ref_type", "ref_id"], "left_anti")
+        frontier = materialize(new.withColumn("level", F.lit(level)), f"frontier-{level}")
         seen = seen.unionByName(frontier)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    # a row found in round n passes its state on to whatever names it
+    inherited = upward.join(seen, ["ref_type", "ref_id"]).withColumn("level", F.col("level") + 1)
+    inherited = inherited.withColumn("ref_state", F.lit("inherited")).withColumn("orphan", F.lit("inherited"))
+    out = direct.withColumn("orphan", F.lit("direct")).withColumn("level", F.lit(0)).unionByName(inherited)
     month = F.date_format("loaded_at", "yyyy-MM")
     return out.select("src_table", month.alias("month_key"), "src_id", "ref_type", "ref_id", "ref_state", "orphan", "level")
