@@ -35,6 +35,7 @@ def cooccurrence(baskets: DataFrame, items: str = "items", min_count: int = 1, m
     basket) such items, a bound that does not grow with the data.
     """
     clean = baskets.select(F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("items")).where(F.size("items") > 0)
+    clean = materialize(clean, "baskets")  # read twice: for the marginals and for the pairs
     m, n = item_marginals(clean)
     clash = not m.groupBy("h").count().where("count > 1").isEmpty()
     if min_lift > 0:
