@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import logging
 import time
+from decimal import ROUND_HALF_UP, Decimal
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,13 +21,12 @@ LETTERS = "KMGTE"
 
 
 def readable(n: int) -> str:
-    """A number with a letter once it has more than three digits, cut to whole units."""
-    letter = ""
-    for x in LETTERS:
-        if abs(n) < 1000:
-            break
-        n, letter = int(n / 1000), x
-    return f"{n}{letter}"
+    """Numbers from 1000 on in three digits and a letter, rounded half up: 1.23K, 12.3M, 123G."""
+    if n < 1000:
+        return str(n)
+    group, place = divmod(len(str(n)) - 1, 3)
+    shown = Decimal(repr(n / 1000**group)).quantize(Decimal(1).scaleb(place - 2), ROUND_HALF_UP)
+    return f"{shown}{LETTERS[group - 1]}"
 
 
 def from_readable(text: str) -> int:

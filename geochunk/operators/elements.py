@@ -25,7 +25,7 @@ DISCARDABLE = (
 MAX_LON, MAX_LAT = 1_800_000_000, 900_000_000
 
 #: Cut at both ends of a term: blank, tab, no-break space.
-_EDGE = " \t "
+_EDGE = " \t\u00a0"
 
 
 def current_rows(df: DataFrame, cols: Sequence[str], earliest: bool = False) -> DataFrame:

@@ -65,7 +65,7 @@ def test_command_line(spark, tmp_path):
 
 
 def test_small_helpers():
-    assert [cli.readable(n) for n in (7, 999, 1000, 1234567, 5 * 10**9)] == ["7", "999", "1K", "1M", "5G"]
+    assert [cli.readable(n) for n in (7, 999, -5000, 1000, 12345, 123456, 1234567, 5 * 10**9)] == ["7", "999", "-5000", "1.00K", "12.3K", "123K", "1.23M", "5.00G"]
     assert [cli.from_readable(t) for t in ("12", "3k", "5G", "1E")] == [12, 3000, 5 * 10**9, 10**15]
     with pytest.raises(ValueError):
         cli.from_readable("5")
