@@ -48,7 +48,7 @@ def replace_extension(path: str, extension: str) -> str:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="geochunk", description=__doc__)
     p.add_argument("input", help="XML, O5M or PBF extract, a file or a folder")
-    p.add_argument("output", nargs="?", help="folder, or a file when it ends in .oma")
+    p.add_argument("output", nargs="?", help="folder, or a file when it ends in .gch")
     p.add_argument("-b", "--tiles", help="file with tile grids")
     p.add_argument("-t", "--rules", help="file with tag rules")
     p.add_argument("-p", "--preserve", type=parse_preserve, default=(), help="id,version,timestamp,changeset,user, all or none")
@@ -75,10 +75,10 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("geochunk").config(map=conf).getOrCreate()
     began = time.time()
     options = Options(tiles=a.tiles, rules=a.rules, preserve=a.preserve, one_element=a.one_element, compression="none" if a.uncompressed else "zstd")
-    out = a.output or replace_extension(a.input, "oma")
+    out = a.output or replace_extension(a.input, "gch")
     data = read(spark, a.input)
     features, tiles = convert(data, options)
-    if out.endswith(".oma"):
+    if out.endswith(".gch"):
         b = bbox(data.nodes).collect()[0]
         container.write_container(features, tiles, out, options, container.NO_BOUNDS if b[0] is None else tuple(b))
     else:

@@ -28,7 +28,7 @@ def flat(df):
 @pytest.mark.parametrize("compression", ["zstd", "none"])
 def test_container_round_trip(spark, tmp_path, compression, monkeypatch):
     monkeypatch.setattr(C, "CHUNK_ROWS", 1)
-    path = str(tmp_path / "x.oma")
+    path = str(tmp_path / "x.gch")
     options = Options(preserve=("id", "user"), compression=compression)
     f, tiles = convert(data(spark), options)
     C.write_container(f, tiles, path, options, (1, 2, 3, 4))
@@ -58,7 +58,7 @@ def test_command_line(spark, tmp_path):
     src = tmp_path / "in.o5m"
     src.write_bytes(encode.o5m(NODES, WAYS, RELATIONS))
     cli.main(["-p", "all", "-s", str(src)])
-    assert C.read_head(str(tmp_path / "in.oma"))["features"] == 31
+    assert C.read_head(str(tmp_path / "in.gch"))["features"] == 31
     cli.main(["-1", "-0", str(src), str(tmp_path / "folder")])
     assert spark.read.parquet(f"{tmp_path}/folder/features").count() > 0
     assert spark.read.json(f"{tmp_path}/folder/header").collect()[0]["features"] == 32
@@ -69,7 +69,7 @@ def test_small_helpers():
     assert [cli.from_readable(t) for t in ("12", "3k", "5G", "1E")] == [12, 3000, 5 * 10**9, 10**15]
     with pytest.raises(ValueError):
         cli.from_readable("5")
-    assert cli.replace_extension("/a.b/c.osm.pbf", "oma") == "/a.b/c.osm.oma" and cli.replace_extension("/a.b/c", "oma") == "/a.b/c.oma"
+    assert cli.replace_extension("/a.b/c.osm.pbf", "gch") == "/a.b/c.osm.gch" and cli.replace_extension("/a.b/c", "gch") == "/a.b/c.gch"
 
 
 def test_stream(spark, tmp_path):
