@@ -175,6 +175,11 @@ SQL: dict[str, str] = {
     "relation_kinds": _B + "SELECT cr.id, CASE WHEN t.v IN ('multipolygon', 'boundary') THEN 'area' WHEN t.v IN ('restriction', 'destination_sign') THEN 'turn' ELSE '' END AS kind, "
     "(SELECT count(*) FROM sorted s WHERE s.id = cr.id AND used)::INT AS n_used, (SELECT count(*) FROM sorted s WHERE s.id = cr.id AND NOT used)::INT AS n_rest "
     "FROM cr LEFT JOIN rt t ON t.id = cr.id AND t.k = 'type'",
+    "counters": _B + "SELECT 'nodes' AS counter, count(*) AS n FROM cn UNION ALL SELECT 'ways', count(*) FROM cw UNION ALL SELECT 'relations', count(*) FROM cr "
+    "UNION ALL SELECT 'area_relations', count(*) FROM rt WHERE k = 'type' AND v IN ('multipolygon', 'boundary') "
+    "UNION ALL SELECT 'turn_relations', count(*) FROM rt WHERE k = 'type' AND v IN ('restriction', 'destination_sign') UNION ALL SELECT 'collections', count(*) FROM coll "
+    "UNION ALL SELECT 'missing_nodes', count(*) FROM refs WHERE ref NOT IN (SELECT id FROM pos) UNION ALL SELECT 'missing_ways', count(*) FROM sorted WHERE used AND type = 'way' AND ref NOT IN (SELECT id FROM cw) "
+    f"UNION ALL SELECT 'discarded_tags', count(*) FROM ({' UNION ALL '.join(f'SELECT k FROM {tag_rows(t, True)}' for _, t in _ALL)}) WHERE k IN ({_DISCARD})",
     "tiles": f"WITH cn AS {live('nodes')}, {_TILES} SELECT tile_id, minlon::INT AS minlon, minlat::INT AS minlat, maxlon::INT AS maxlon, maxlat::INT AS maxlat FROM tl",
     "tile_elements": f"WITH {_BASE}, {_TILES}, {_PLACED} SELECT type, id, chunk_id FROM placed WHERE type <> 'C'",
     "chunk_index": f"WITH {_BASE}, {_TILES}, {_PLACED} SELECT type, chunk_id, count(*) AS n FROM placed GROUP BY ALL",

@@ -217,6 +217,24 @@ def relation_kinds(spark: SparkSession, d: str) -> DataFrame:
     return k.select("id", F.coalesce("kind", F.lit("")).alias("kind"), F.size("used").alias("n_used"), F.size("rest").alias("n_rest"))
 
 
+def counters(spark: SparkSession, d: str) -> DataFrame:
+    """What a conversion counts: elements read, relations by kind, discarded tags, references that found nothing."""
+    raw, x = dataset(spark, d), cleaned(spark, d)
+    kinds = resolve.kind_of(x.relations)
+    refs = x.ways.select(F.explode(F.filter("nds", lambda r: r.isNotNull())).alias("id"))
+    used = kinds.select(F.explode("used").alias("m")).where("m.type = 'way'").select(F.col("m.ref").alias("id"))
+    number = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
+    parts = [number(t, getattr(x, t)) for t in ("nodes", "ways", "relations")]
+    parts += [number("area_relations", kinds.where("kind = 'area'")), number("turn_relations", kinds.where("kind = 'turn'")), number("collections", kinds.where(F.size("rest") > 0))]
+    parts += [number("missing_nodes", refs.join(resolve.positions(x.nodes), "id", "left_anti")), number("missing_ways", used.join(x.ways, "id", "left_anti"))]
+    gone = [t.agg(F.coalesce(tags.discarded(t), F.lit(0)).alias("n")) for t in (raw.nodes, raw.ways, raw.relations)]
+    gone = gone[0].unionByName(gone[1]).unionByName(gone[2]).agg(F.sum("n").alias("n")).select(F.lit("discarded_tags").alias("counter"), "n")
+    out = gone
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def tiles(spark: SparkSession, d: str) -> DataFrame:
     return data_tiles(spark, dataset(spark, d).nodes, default_tiles()).drop("raw_id")
 
@@ -425,7 +443,7 @@ def read_o5m(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OWN = [
-    bbox, clean_tags, discarded_tags, project_meta, resolve_ways, closed_ways, significant_nodes, significant_ways, membership, relation_kinds,
+    bbox, clean_tags, discarded_tags, project_meta, resolve_ways, closed_ways, significant_nodes, significant_ways, membership, relation_kinds, counters,
     tiles, tile_elements, chunk_index, classify_nodes, classify_ways, classify_collections, one_element, slice_counts, block_stats, cluster_order,
     union_elements, features, relation_areas, point_in_ring, orient_areas, ring_assembly, from_to, lifecycle, read_pruned, read_xml_files,
     read_pbf, read_o5m,
