@@ -4,6 +4,7 @@ arrays summed by identifier range."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -98,7 +99,8 @@ def term_frequencies(records: DataFrame, terms: str = "terms", min_records: int
     )
     arrays = encoded.repartition("rng").sortWithinPartitions("rng")
     totals = arrays.mapInPandas(_sum_arrays, "term_no long, n_occurrences long, n_elements long")
-    mark = F.when(F.col("n_elements") < min_records, "rare").when(F.col("n_elements") > max_share * n, "common").otherwise("kept")
+    most = F.lit(Decimal(str(max_share)) * n)  # exact, so a term at the very share is no common one
+    mark = F.when(F.col("n_elements") < min_records, "rare").when(F.col("n_elements") > most, "common").otherwise("kept")
     return words.join(totals, "term_no").select(
         *fields, "term_no", "n_occurrences", "n_elements", (F.col("n_elements") / F.lit(float(max(n, 1)))).alias("share"), mark.alias("mark")
     )

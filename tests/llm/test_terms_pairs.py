@@ -66,3 +66,8 @@ def test_pairs(spark, clash, monkeypatch):
 def test_one_huge_basket(spark):
     df = spark.createDataFrame([([str(i) for i in range(1500)],)], "items array<string>")
     assert cooccurrence(df).count() == 1500 * 1499 // 2
+
+
+def test_a_term_at_the_very_share_is_kept(spark):
+    df = spark.createDataFrame([(i, [{"tag_key": "k", "term": "all"}] + [{"tag_key": "k", "term": "x"}] * (i < 7)) for i in range(140)], "id int, terms array<struct<tag_key:string,term:string>>")
+    assert {r["term"]: r["mark"] for r in term_frequencies(df).collect()} == {"all": "common", "x": "kept"}
