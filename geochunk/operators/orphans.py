@@ -79,6 +79,8 @@ def orphan_cascade(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> D
         new = as_target(hit).join(seen.select("ref_type", "ref_id"), ["ref_type", "ref_id"], "left_anti")
         frontier = materialize(new.withColumn("level", F.lit(level)), f"frontier-{level}")
         seen = seen.unionByName(frontier)
+        if level % 8 == 0:  # keeps the plan small however deep the references nest
+            seen = materialize(seen, f"seen-{level}")
     # a row found in round n passes its state on to whatever names it
     inherited = upward.join(seen, ["ref_type", "ref_id"]).withColumn("level", F.col("level") + 1)
     inherited = inherited.withColumn("ref_state", F.lit("inherited")).withColumn("orphan", F.lit("inherited"))
