@@ -7,8 +7,10 @@ one machine) a local folder is chosen.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +61,21 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that Python workers find it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        package = Path(__file__).parent
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='geochunk-code-')}/geochunk", "zip", package.parent, package.name))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder; the session time zone is set to UTC, which all timestamp arithmetic assumes."""
+    ship_code(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
