@@ -364,11 +364,13 @@ def _new_folder(spark: SparkSession) -> str:
 
 
 def read_pruned(spark: SparkSession, d: str) -> DataFrame:
-    """Write the layout, then read buildings and highways' tracks inside a box."""
+    """Write the whole layout, then read buildings (closed ways and relations' areas) and highways' tracks inside a box.
+
+    The SQL knows ways only: it lacks the relations' areas."""
     x = cleaned(spark, d)
     rows, t = convert(x)
     path = _new_folder(spark)
-    sink.write(rows.where("origin in ('node', 'way', 'collection')"), t, path)
+    sink.write(rows, t, path)
     box = (50_000_000, 400_000_000, 300_000_000, 500_000_000)
     got = sink.read_features(spark, path, box, ("A",), "building").unionByName(sink.read_features(spark, path, box, ("W",), "highway", "track"))
     return got.select("type", "id", "block_key", "slice_value")
