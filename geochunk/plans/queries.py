@@ -239,44 +239,46 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
     return data_tiles(spark, dataset(spark, d).nodes, default_tiles()).drop("raw_id")
 
 
-def _placed(spark: SparkSession, d: str, *types: str) -> DataFrame:
+def _placed(spark: SparkSession, d: str, *origins: str) -> DataFrame:
+    """Elements with their tiles: those of some origins, or all, what relations' members build included."""
     x, grids = cleaned(spark, d), default_tiles()
     e = resolve.all_elements(x.nodes, x.ways, x.relations)
-    return materialize(assign_tiles(e.where(F.col("origin").isin(*types)), grids, materialize(data_tiles(spark, x.nodes, grids), "tiles")), "placed")
+    e = e.where(F.col("origin").isin(*origins)) if origins else e
+    return materialize(assign_tiles(e, grids, materialize(data_tiles(spark, x.nodes, grids), "tiles")), "placed")
 
 
 def tile_elements(spark: SparkSession, d: str) -> DataFrame:
-    """First containing tile of every node and way."""
-    return _placed(spark, d, "node", "way").select("type", "id", "chunk_id")
+    """First containing tile of every element; an area relation comes once an outer ring, a turn once a line."""
+    return _placed(spark, d).select("type", "id", "chunk_id")
 
 
 def chunk_index(spark: SparkSession, d: str) -> DataFrame:
-    return _placed(spark, d, "node", "way", "collection").groupBy("type", "chunk_id").agg(F.count("*").alias("n"))
+    return _placed(spark, d).groupBy("type", "chunk_id").agg(F.count("*").alias("n"))
 
 
-def _classified(spark: SparkSession, d: str, one_element: bool = False) -> DataFrame:
-    return classify(_placed(spark, d, "node", "way", "collection"), default_rules(), one_element)
+def _classified(spark: SparkSession, d: str, *origins: str, one_element: bool = False) -> DataFrame:
+    return classify(_placed(spark, d, *origins), default_rules(), one_element)
 
 
 def classify_nodes(spark: SparkSession, d: str) -> DataFrame:
-    c = _classified(spark, d).where("type = 'N'")
+    c = _classified(spark, d, "node")
     return c.select("id", "block_key", "slice_value", F.coalesce(F.element_at("tags", "lifecycle"), F.lit("")).alias("lifecycle"))
 
 
 def classify_ways(spark: SparkSession, d: str) -> DataFrame:
-    return _classified(spark, d).where("type in ('W', 'A')").select("type", "id", "block_key", "slice_value")
+    return _classified(spark, d, "way").select("type", "id", "block_key", "slice_value")
 
 
 def classify_collections(spark: SparkSession, d: str) -> DataFrame:
-    return _classified(spark, d).where("type = 'C'").select("id", "block_key", "slice_value")
+    return _classified(spark, d, "collection").select("id", "block_key", "slice_value")
 
 
 def one_element(spark: SparkSession, d: str) -> DataFrame:
-    return _classified(spark, d, True).where("type in ('N', 'W', 'A')").select("type", "id", "block_key", "slice_value")
+    return _classified(spark, d, one_element=True).select("type", "id", "block_key", "slice_value")
 
 
 def slice_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Features per type, tile, key and value: nodes, ways and collections."""
+    """Features per type, tile, key and value, relations' areas and turns included."""
     return _classified(spark, d).groupBy("type", "chunk_id", "block_key", "slice_value").agg(F.count("*").alias("n"))
 
 
@@ -290,14 +292,14 @@ def block_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def cluster_order(spark: SparkSession, d: str) -> DataFrame:
     """Place of each node in its chunk: by key, value, id."""
-    c = _classified(spark, d).where("type = 'N'")
+    c = _classified(spark, d, "node")
     w = Window.partitionBy("chunk_id").orderBy("key_ord", "value_ord", "id")
     return c.select("chunk_id", "id", "block_key", F.row_number().over(w).alias("place"))
 
 
 def union_elements(spark: SparkSession, d: str) -> DataFrame:
     x = cleaned(spark, d)
-    e = resolve.all_elements(x.nodes, x.ways, x.relations).where("origin in ('node', 'way', 'collection')")
+    e = resolve.all_elements(x.nodes, x.ways, x.relations)
     return e.groupBy("type", "origin").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"), F.sum(F.coalesce(F.size("member_of"), F.lit(0))).alias("n_links"))
 
 
@@ -353,7 +355,7 @@ def from_to(spark: SparkSession, d: str) -> DataFrame:
 
 def lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Tags of nodes after lifecycle rewrites, where there were any."""
-    c = _classified(spark, d).where("type = 'N'").dropDuplicates(["id"])
+    c = _classified(spark, d, "node").dropDuplicates(["id"])
     before = cleaned(spark, d).nodes.select("id", F.map_keys("tags").alias("was"))
     c = c.join(before, "id").where(F.size(F.array_except(F.map_keys("tags"), "was")) > 0)
     return c.select("id", F.explode("tags").alias("tag_key", "tag_value"))
