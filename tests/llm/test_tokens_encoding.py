@@ -100,6 +100,19 @@ def test_on_tables(spark, tables):
     assert E.fit(df).sizes["sample"] == 4  # null and very long texts are no part of the sample
 
 
+@pytest.mark.parametrize("lang,true,wrong", [("de", "utf-8", "cp1252"), ("fr", "utf-8", "latin-1"), ("ru", "utf-8", "cp1252"), ("ru", "cp1251", "cp1252"), ("cs", "cp1250", "cp1252")])
+def test_a_third_of_a_language_misread_in_one_way(lang, true, wrong):
+    p, bad, good, n = E.Pair(true, wrong), [], [], 0
+    for g, t in corpus(900, 10):
+        n += g == lang
+        was, t = t, t if g != lang or n % 3 or "\\verb" in t else p.garble(t)
+        (good if t == was else bad).append((g, t))
+    bad = [(g, t) for g, t in bad if t is not None]
+    tables = E.Tables([t for _, t in good + bad], [g for g, _ in good + bad])
+    assert len(bad) > 30 and all(tables.suspicious(t) for _, t in bad)
+    assert not any(tables.suspicious(t) for _, t in good)
+
+
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
 def test_token_counts(spark):
     texts = ["", None, "hello world", "x" * 20000, "Größe 12 <|endoftext|> \n\n ü", "hello world"]
