@@ -116,8 +116,9 @@ def triples(value) -> Iterator[tuple[int, str, int, str, str | None]]:
     """(ancestor, group, ordinal, path, value) of one parsed record, in document order of the elements.
 
     ancestor: number of the repeated ancestor (the element) inside the record; group: ``node``/``way``/``relation`` for
-    the element's own scalars, ``tag``/``nd``/``member`` for its children's; ordinal: place in the list, -1 in a map.
-    A null entry of a list counts as a place; a child without scalars gives none.
+    the element's own scalars, ``tag``/``nd``/``member`` for its children's; ordinal: place in the list, -1 in a map; tags
+    are numbered through, whatever lists and maps of the element they stand in. A null entry of a list of other children
+    counts as a place; a child without scalars gives none.
     """
     count, todo = 0, [(value, "")]
     while todo:
@@ -132,6 +133,7 @@ def triples(value) -> Iterator[tuple[int, str, int, str, str | None]]:
             continue
         me, count = count, count + 1
         yield me, name, -1, "", None
+        tags = 0
         for key, x in v.items():
             group = CHILDREN.get(key)
             if group is None:
@@ -140,18 +142,20 @@ def triples(value) -> Iterator[tuple[int, str, int, str, str | None]]:
                 else:
                     yield me, name, -1, _name(key), _text(x)
             elif group == "tag":
-                for i, t in enumerate(x if isinstance(x, list) else [x]):
+                for t in x if isinstance(x, list) else [x]:
                     if not isinstance(t, dict):
                         continue
                     if k := [a for a in t if _name(a) == "k"]:
-                        yield me, "tag", i, "k", _text(t[k[0]])
+                        yield me, "tag", tags, "k", _text(t[k[0]])
                         for a, b in t.items():
                             if _name(a) == "v":
-                                yield me, "tag", i, "v", _text(b)
+                                yield me, "tag", tags, "v", _text(b)
+                        tags += 1
                     else:  # a map of keys to values
-                        for n, (a, b) in enumerate(t.items()):
-                            yield me, "tag", n, "k", a
-                            yield me, "tag", n, "v", _text(b)
+                        for a, b in t.items():
+                            yield me, "tag", tags, "k", a
+                            yield me, "tag", tags, "v", _text(b)
+                            tags += 1
             else:
                 for i, c in enumerate(x if isinstance(x, list) else [x]):
                     if isinstance(c, dict):

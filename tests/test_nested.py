@@ -26,6 +26,14 @@ def test_children_of_every_shape(spark):
     assert flatten_records(df.limit(0), "upload_id", "payload").count() == 0
 
 
+def test_no_tag_takes_the_place_of_another(spark):
+    doc = {"node": {"id": 1, "tags": [{"a": "1", "b": "2"}, {"c": "3"}, {"k": "d", "v": "4"}], "tag": [{"k": "e", "v": "5"}, {"@k": "f"}]}}
+    df = spark.createDataFrame([(1, json.dumps(doc))], "upload_id bigint, payload string")
+    flat = flatten_records(df, "upload_id", "payload")
+    assert rows(table(flat, "upload_id", "tag").select("k", "v")) == [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("e", "5"), ("f", None)]
+    assert [r[5] for r in rows(children(flat, "upload_id"))] == ["a", "b", "c", "d", "e", "f"]
+
+
 def test_very_deep_and_very_long_records(spark):
     deep = '{"x":' * 20000 + '{"node":{"id":1,"tag":{"k":"a"}}}' + "}" * 20000
     wide = json.dumps({"way": {"id": 2, "nd": [{"ref": i} for i in range(70000)]}})
