@@ -1,245 +1,320 @@
-"""Nested JSON records to flat tables: path-value-ordinal triples, grouped by repeated ancestor, one table per group."""
+"""Nested JSON records to related flat tables: a stream of path-value-ordinal triples, grouped by repeated ancestor.
+
+A record is read unit by unit (a key with its scalar, an opening or a closing bracket); no tree is built. Every scalar
+gives a triple: its path, its place in each list above it, its text. The nearest ancestor that is repeated (an entry of
+a list, or an object whose name is repeated elsewhere) is the row it belongs to, what lies between is its column; all
+rows under one name are one table. Rows keep the number of the row above, so no link is lost, whatever the shape.
+"""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names whose objects are elements, wherever they stand; and the names of their child lists.
+#: Table of the records themselves, and column of entries that are scalars.
+ROOT, VALUE = "$", "value"
+
+#: Names whose objects are elements, wherever they stand; and names of their children by table.
 ELEMENTS = ("node", "way", "relation")
 CHILDREN = {"tag": "tag", "tags": "tag", "nd": "nd", "member": "member"}
 
-_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(true|false|null))')
-_WORDS = {"true": True, "false": False, "null": None}
+#: Most names a set of records may use for lists; more are no schema but keys of a map, which ``maps`` is for.
+MAX_NAMES = 10_000
 
+_STR = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+_WS = r"[ \t\n\r]*+"
+_NUM = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+"
+_WORD = rf"{_NUM}|true|false|null"
+_SCALAR = rf"{_STR}{_WS}:{_WS}(?:{_STR}|{_WORD}){_WS}"
+#: One unit: a comma, a key, and a scalar, an object of scalars, or an opening bracket; or a closing bracket.
+_UNIT = re.compile(
+    rf"{_WS}(,?+){_WS}(?:(?:({_STR}){_WS}:{_WS})?+(?:({_STR})|({_WORD})|(\{{{_WS}(?:{_SCALAR}(?:,{_WS}{_SCALAR})*+)?+\}})|([{{\[]))|([}}\]]))"
+)
+_PAIR = re.compile(rf"({_STR}){_WS}:{_WS}(?:({_STR})|({_WORD}))")
+_BLANK = re.compile(_WS)
 
-def _refuse(word: str):
-    raise json.JSONDecodeError(f"{word} is no JSON", "", 0)
+#: A row: table, number, number of the row above (-1: none), steps from there, place in its list, path, columns.
+TABLE, NUMBER, PARENT, STEP, ORDINAL, PATH, FIELDS = range(7)
 
 
-def parse_deep(text: str):
-    """A JSON parser with its own stack, for records nested deeper than the C parser goes."""
-    root: list = []
-    stack: list = [root]
-    key, state, at, end = None, "value", 0, len(text)
-    opened: list = []
+def _plain(quoted: str) -> str:
+    return json.loads(quoted) if "\\" in quoted else quoted[1:-1]
 
-    def put(v):
-        top = stack[-1]
-        if isinstance(top, dict):
-            top[opened[-1]] = v
-        else:
-            top.append(v)
-
-    while m := _TOKEN.match(text, at):
-        at = m.end()
-        punct, string, number, word = m.groups()
-        if string is not None and state in ("key", "key_or_end"):
-            opened[-1], state = json.loads(string), "colon"
-        elif punct is None or punct in "{[":
-            if state not in ("value", "value_or_end"):
-                _refuse(text[at - 1 : at])
-            if punct is None:
-                put(json.loads(string) if string is not None else _WORDS[word] if word else _number(number))
-                state = "next" if len(stack) > 1 else "done"
-            else:
-                v: dict | list = {} if punct == "{" else []
-                put(v)
-                stack.append(v)
-                opened.append(key)
-                state = "key_or_end" if punct == "{" else "value_or_end"
-        elif punct == ":" and state == "colon":
-            state = "value"
-        elif punct == "," and state == "next":
-            state = "key" if isinstance(stack[-1], dict) else "value"
-        elif punct in "}]" and len(stack) > 1 and state in ("next", "key_or_end" if punct == "}" else "value_or_end") and isinstance(stack[-1], dict) == (punct == "}"):
-            stack.pop()
-            opened.pop()
-            state = "next" if len(stack) > 1 else "done"
-        else:
-            _refuse(punct)
-    if state != "done" or text[at:].strip(" \t\n\r"):
-        _refuse("an incomplete text")
-    return root[0]
 
+def _step(quoted: str, mark: str) -> str:
+    """A key as one step of a path: without ``mark``; ``~`` and ``/`` as in JSON pointers."""
+    name = (json.loads(quoted) if "\\" in quoted else quoted[1:-1]).lstrip(mark)
+    return name.replace("~", "~0").replace("/", "~1") if "~" in name or "/" in name else name
 
-def _number(text: str):
-    try:
-        return int(text) if text.lstrip("-").isdigit() else float(text)
-    except ValueError:  # more digits than int() takes
-        return text
 
+def _name(step: str) -> str:
+    return step.replace("~1", "/").replace("~0", "~") if "~" in step else step
 
-def parse(text: str | None):
-    """(True, value) of a complete JSON text, else (False, None). Of repeated keys the last counts; NaN is no JSON."""
+
+def rows_of(text: str | None, single: Collection[str] = (), scalar: Collection[str] = (), maps: Collection[str] = (), mark: str = "@") -> list[list] | None:
+    """Rows of one record in document order, the record's own first; None unless it is one complete JSON text.
+
+    single: names whose objects are rows even outside a list (a list of one); scalar: names whose scalars are, too, if
+    not null. Entries of lists always are; a scalar entry, null included, has the one column VALUE. maps: names whose
+    objects are one row per key, with columns k and v, unless they have a key k. mark: is cut from the front of names.
+    Of a scalar whose key comes twice in an object the last counts; of objects and lists all do. Any depth is read.
+    """
     if not text:
-        return False, None
-    try:
+        return None
+    root: dict[str, str | None] = {}
+    rows: list[list] = [[ROOT, 0, -1, "", 0, "", root]]
+    stack: list[tuple] = []
+    names: list[str] = []  # the open keys
+    # of the open container: an object (None: the top); nothing in it yet; number, columns and depth of its row; steps
+    # below the row (None: not yet joined); of a list: name, path, place
+    inside, fresh, row, fields, base, steps, name, path, place = None, True, 0, root, 0, "", ROOT, "", 0
+    m = None
+    for m in iter(_UNIT.scanner(text).match, None):
+        comma, key, string, word, flat, opens, closes = m.groups()
+        if closes is not None:
+            if comma or inside is None or inside != (closes == "}"):
+                return None
+            keyed, inside, fresh, row, fields, base, steps, name, path, place = stack.pop()
+            if keyed:
+                names.pop()
+            continue
+        if (comma != "") == fresh or (key is None) == (inside is True) or inside is None and not fresh:
+            return None
+        fresh = False
+        step = None if key is None else _step(key, mark)
+        if steps is None and (opens is None or not inside):  # only where needed: deep records hold many steps
+            steps = "/".join(names[base:]) + "/" * bool(inside)
+        if flat is not None:
+            pairs = {_step(k, mark): _plain(s) if s else None if w == "null" else w for k, s, w in _PAIR.findall(flat)}
+            lone = {c: pairs.pop(c) for c in scalar if c in pairs} if scalar else {}
+            owner, below, at = len(rows), "", path
+            if inside is False:
+                rows.append([name, owner, row, steps, place, path, pairs])
+                place += 1
+            elif inside is None:
+                owner = 0
+                root.update(pairs)
+            else:
+                if steps == "" and rows[row][TABLE] in maps:
+                    fields.setdefault(step, None)
+                at = "/".join([*names, step])
+                if step in single:
+                    rows.append([step, owner, row, steps + step, 0, at, pairs])
+                else:
+                    owner, below = row, f"{steps}{step}/"
+                    fields.update((below + c, v) for c, v in pairs.items())
+            for c, v in lone.items():
+                if v is not None:
+                    rows.append([c, len(rows), owner, below + c, 0, f"{at}/{c}" if at else c, {VALUE: v}])
+        elif opens is not None:
+            stack.append((step is not None, inside, False, row, fields, base, steps, name, path, place + 1))
+            if step is not None:
+                if steps == "" and rows[row][TABLE] in maps:
+                    fields.setdefault(step, None)
+                names.append(step)
+                inside, steps = opens == "{", None
+                if not inside:
+                    name, path, place = step, "/".join(names), 0
+                elif step in single:
+                    path = "/".join(names)
+                    row, fields = len(rows), {}
+                    rows.append([step, row, stack[-1][3], "/".join(names[base:]), 0, path, fields])
+                    base, steps = len(names), ""
+            elif inside is None:
+                inside, steps, place = opens == "{", "" if opens == "{" else ROOT, 0
+            else:
+                fields, above, row = {}, row, len(rows)
+                rows.append([name, row, above, steps, place, path, fields])
+                inside, steps, base, place = opens == "{", "" if opens == "{" else name, len(names), 0
+            fresh = True
+        else:
+            value = _plain(string) if string is not None else None if word == "null" else word
+            if inside is False:
+                rows.append([name, len(rows), row, steps, place, path, {VALUE: value}])
+                place += 1
+            elif step is None:
+                root[VALUE] = value
+            elif step not in scalar:
+                fields[steps + step] = value
+            elif value is not None:
+                rows.append([step, len(rows), row, steps + step, 0, "/".join([*names, step]), {VALUE: value}])
+    if m is None or stack or fresh or _BLANK.match(text, m.end()).end() != len(text):
+        return None
+    return _without_maps(rows, maps) if maps else rows
+
+
+def _without_maps(rows: list[list], maps: Collection[str]) -> list[list]:
+    """``rows`` with those of maps, none of whose keys is k, turned into one row a key. Rows of maps are numbered through
+    below the row above, whatever lists and maps they stand in."""
+    out, count, moved, size = [], {}, {}, len(rows)
+    for r in rows:
+        if r[PARENT] in moved:  # hangs in a map: on the row of its key
+            r[PARENT] = moved[r[PARENT]][r[STEP].partition("/")[0]]
+        if r[TABLE] not in maps:
+            out.append(r)
+            continue
+        n, fields = count.get(r[PARENT], 0), r[FIELDS]
+        if "k" in fields or VALUE in fields and len(fields) == 1:
+            r[ORDINAL] = n
+            out.append(r)
+            count[r[PARENT]] = n + 1
+            continue
+        made: dict[str, list] = {}
+        for path, v in fields.items():
+            head, _, tail = path.partition("/")
+            if head not in made:
+                made[head] = [r[TABLE], size, r[PARENT], r[STEP], n, r[PATH], {"k": _name(head)}]
+                size, n = size + 1, n + 1
+            made[head][FIELDS]["v/" + tail if tail else "v"] = v
+        out.extend(made.values())
+        moved[r[NUMBER]] = {h: x[NUMBER] for h, x in made.items()}
+        count[r[PARENT]] = n
+    return out
+
+
+def triples(text: str | None, **shape) -> Iterator[tuple[str, tuple[int, ...], str | None]]:
+    """(path, ordinals, value) of every scalar of a record, the ordinals being the places of the rows above it from the
+    record down; nothing of a broken text. ``shape`` as in rows_of."""
+    rows = rows_of(text, **shape) or []
+    above = {r[NUMBER]: r for r in rows}
+    for r in rows:
+        places, up = [], r
+        while up[PARENT] >= 0:
+            places.append(up[ORDINAL])
+            up = above[up[PARENT]]
+        for c, v in r[FIELDS].items():
+            yield f"{r[PATH]}/{c}" if r[PATH] else c, tuple(reversed(places)), v
+
+
+def repeated_names(df: DataFrame, text: str, mark: str = "@") -> set[str]:
+    """Names under which some record has a list: all strings are scanned in the JVM, those that open a list are kept.
+
+    These are a schema's names, few at any size; more than MAX_NAMES raise."""
+    strings = F.regexp_extract_all(F.col(text), F.lit(r'"(?:[^"\\]|\\.)*+"(?:\s*+:\s*+\[)?'), F.lit(0))
+    opening = F.transform(F.filter(strings, lambda s: s.endswith("[")), lambda s: F.regexp_replace(s, r"\s*:\s*\[$", ""))
+    names = df.select(F.explode(F.array_distinct(opening)).alias("n")).distinct().limit(MAX_NAMES + 1).collect()
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} names of lists")
+    out = set()
+    for r in names:
         try:
-            return True, json.loads(text, parse_constant=_refuse)
-        except json.JSONDecodeError:
-            return False, None
-        except RecursionError:
-            return True, parse_deep(text)
-        except ValueError:
-            return True, json.loads(text, parse_constant=_refuse, parse_int=_number)
-    except (ValueError, RecursionError):
-        return False, None
+            out.add(_step(r["n"], mark))
+        except ValueError:  # of a broken text
+            pass
+    return out
+
+
+_SCHEMA = "rec long, tbl string, row_id int, parent_id int, parent_tbl string, parent_key string, step string, pos int, path string, fields map<string,string>"
+_FIELDS = pa.map_(pa.string(), pa.string())
+_TYPES = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+
+
+def flatten_records(
+    df: DataFrame,
+    key: str,
+    text: str,
+    single: Collection[str] | None = None,
+    scalar: Collection[str] = (),
+    maps: Collection[str] = (),
+    tables: Collection[str] | None = None,
+    ident: str = "id",
+) -> DataFrame:
+    """One long table of the rows of all tables (or of ``tables``):
+
+    key; rec, a hash of the text, which tells records of one key apart; tbl, the name of the repeated ancestor; row_id
+    and parent_id, numbers inside the record; parent_tbl and parent_key, table and column ``ident`` of the row above;
+    step, the names between the two; pos, the place in its list; path, all names from the record down; fields, the
+    row's columns with their texts. ``single``, ``scalar`` and ``maps`` as in rows_of; ``single`` None takes the names
+    that are lists in any record, which costs one more scan.
+
+    Each record is read on its own inside its task, so nothing is shuffled and memory is bounded by a record. Null,
+    empty or broken texts (anything but one complete JSON text) give no rows; repeated records give repeated rows, alike
+    in rec and all numbers; a null key is kept as null; an empty table gives no rows; further columns are ignored.
+    """
+    single = frozenset(repeated_names(df, text) if single is None else single) | frozenset(scalar) | frozenset(maps)
+    scalar, maps, wanted = frozenset(scalar), frozenset(maps), None if tables is None else frozenset(tables)
+    kind = df.schema[key].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kt = b.schema.field(0).type
+            keys, out, names, values, ends = [], [], [], [], [0]
+            for k, t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                rows = rows_of(t, single, scalar, maps)
+                if rows is None:
+                    continue
+                above = {r[NUMBER]: r for r in rows}
+                n = len(out)
+                for r in rows:
+                    if wanted is not None and r[TABLE] not in wanted:
+                        continue
+                    up = above.get(r[PARENT])
+                    out.append((h, *r[:3], up and up[TABLE], up and up[FIELDS].get(ident), *r[3:6]))
+                    names.extend(r[FIELDS])
+                    values.extend(r[FIELDS].values())
+                    ends.append(len(names))
+                keys.extend([k] * (len(out) - n))
+                if len(out) > 50_000:
+                    yield _batch(kt, keys, out, names, values, ends)
+                    keys, out, names, values, ends = [], [], [], [], [0]
+            if out:
+                yield _batch(kt, keys, out, names, values, ends)
 
-def _name(key: str) -> str:
-    return key.lstrip("@")
+    return df.select(key, text, F.xxhash64(text).alias("_rec")).mapInArrow(run, f"`{key}` {kind}, {_SCHEMA}")
 
 
-def _text(v) -> str | None:
-    if v is None or isinstance(v, str):
-        return v
-    if isinstance(v, (dict, list)):
-        return json.dumps(v, ensure_ascii=False)
-    return str(v).lower() if isinstance(v, bool) else str(v)
+def _batch(key_type, keys: list, out: list, names: list, values: list, ends: list) -> pa.RecordBatch:
+    cols = [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)]
+    fields = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))
+    columns = ["key", "rec", "tbl", "row_id", "parent_id", "parent_tbl", "parent_key", "step", "pos", "path", "fields"]
+    return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *cols, fields.cast(_FIELDS)], names=columns)
 
 
-def _whole(v) -> int | None:
-    try:
-        n = int(v.strip()) if isinstance(v, str) else int(v) if isinstance(v, int) and not isinstance(v, bool) or isinstance(v, float) and v == int(v) else None
-    except (ValueError, OverflowError):
-        return None
-    return n if n is not None and -(2**63) <= n < 2**63 else None
+def table(flat: DataFrame, names: str | Collection[str], columns: Collection[str]) -> DataFrame:
+    """The group of rows under one or several names, pivoted: all of ``flat`` but fields, and a column for each path of
+    ``columns`` (its last step, or the part after ``=``)."""
+    names = [names] if isinstance(names, str) else list(names)
+    pick = [F.element_at("fields", c.partition("=")[0]).alias(c.partition("=")[2] or c.rpartition("/")[2]) for c in columns]
+    return flat.where(F.col("tbl").isin(*names)).select(*(c for c in flat.columns if c != "fields"), *pick)
 
 
-def triples(value) -> Iterator[tuple[int, str, int, str, str | None]]:
-    """(ancestor, group, ordinal, path, value) of one parsed record, in document order of the elements.
+def columns_of(flat: DataFrame) -> DataFrame:
+    """(tbl, column, n): the columns every table has, found from the rows."""
+    return flat.select("tbl", F.explode(F.map_keys("fields")).alias("column")).groupBy("tbl", "column").agg(F.count("*").alias("n"))
 
-    ancestor: number of the repeated ancestor (the element) inside the record; group: ``node``/``way``/``relation`` for
-    the element's own scalars, ``tag``/``nd``/``member`` for its children's; ordinal: place in the list, -1 in a map; tags
-    are numbered through, whatever lists and maps of the element they stand in. A null entry of a list of other children
-    counts as a place; a child without scalars gives none.
-    """
-    count, todo = 0, [(value, "")]
-    while todo:
-        v, name = todo.pop()
-        if isinstance(v, list):
-            todo.extend((x, name) for x in reversed(v) if isinstance(x, (dict, list)))
-            continue
-        if not isinstance(v, dict):
-            continue
-        if name not in ELEMENTS:
-            todo.extend((x, k) for k, x in reversed(v.items()) if isinstance(x, (dict, list)))
-            continue
-        me, count = count, count + 1
-        yield me, name, -1, "", None
-        tags = 0
-        for key, x in v.items():
-            group = CHILDREN.get(key)
-            if group is None:
-                if isinstance(x, (dict, list)):
-                    todo.append((x, key))
-                else:
-                    yield me, name, -1, _name(key), _text(x)
-            elif group == "tag":
-                for t in x if isinstance(x, list) else [x]:
-                    if not isinstance(t, dict):
-                        continue
-                    if k := [a for a in t if _name(a) == "k"]:
-                        yield me, "tag", tags, "k", _text(t[k[0]])
-                        for a, b in t.items():
-                            if _name(a) == "v":
-                                yield me, "tag", tags, "v", _text(b)
-                        tags += 1
-                    else:  # a map of keys to values
-                        for a, b in t.items():
-                            yield me, "tag", tags, "k", a
-                            yield me, "tag", tags, "v", _text(b)
-                            tags += 1
-            else:
-                for i, c in enumerate(x if isinstance(x, list) else [x]):
-                    if isinstance(c, dict):
-                        for a, b in c.items():
-                            yield me, group, i, _name(a), _text(b)
-                    elif c is not None and not isinstance(c, list):
-                        yield me, group, i, "ref", _text(c)
-
-
-#: Columns of each table by path, as pivoted; all text but ids and references.
-TABLES = {
-    "element": ("id", "version", "timestamp", "changeset", "lat", "lon"),
-    "tag": ("k", "v"),
-    "nd": ("ref",),
-    "member": ("type", "ref", "role"),
-}
-_SCHEMA = "tbl string, elem_type string, elem_id bigint, pos int, c0 string, c1 string, c2 string, c3 string, c4 string, c5 string"
-
-
-def _pivoted(value, wanted: frozenset) -> Iterator[tuple]:
-    """Rows (tbl, elem_type, elem_id, pos, c0..c5) of one record: its triples grouped by ancestor, each group pivoted."""
-    last, kind, own, kids = -1, "", {}, {}
-
-    def flush():
-        ident = _whole(own.get("id"))
-        if "element" in wanted:
-            yield ("element", kind, ident, -1, *(own.get(c) for c in TABLES["element"]))
-        for (group, i), c in kids.items():
-            if group in wanted:
-                cols = [c.get(p) for p in TABLES[group]]
-                yield (group, kind, ident, i, *cols, *[None] * (6 - len(cols)))
-
-    for me, group, i, path, v in triples(value):
-        if me != last:
-            if last >= 0:
-                yield from flush()
-            last, own, kids, kind = me, {}, {}, ""
-        if group in ELEMENTS:
-            own[path], kind = v, group
-        else:
-            kids.setdefault((group, i), {})[path] = v
-    if last >= 0:
-        yield from flush()
 
+# --- uploads of map elements ------------------------------------------------------------------------------------------
 
-def flatten_records(df: DataFrame, key: str, text: str, tables: tuple[str, ...] = tuple(TABLES)) -> DataFrame:
-    """One long table of the rows of ``tables``: key, tbl, elem_type, elem_id, pos, c0..c5 (see TABLES for the columns).
 
-    Each record is parsed on its own inside its task, so nothing is shuffled and memory is bounded by a record. Null,
-    empty or broken texts (anything but one complete JSON text) give no rows; repeated records give repeated rows; an
-    element without id has elem_id null; a null key is kept as null; an empty table gives no rows.
-    """
-    wanted = frozenset(tables)
-    kind = df.schema[key].dataType.simpleString()
+def flatten_uploads(df: DataFrame, key: str = "upload_id", text: str = "payload", tables: Collection[str] | None = None) -> DataFrame:
+    """flatten_records for map elements: elements and their children are rows even alone, tags may be maps."""
+    names = {*ELEMENTS, *CHILDREN}
+    return flatten_records(df, key, text, names, {"nd", "member"}, {"tag", "tags"}, tables)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, out = [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ok, v = parse(t)
-                if ok:
-                    n = len(out)
-                    out.extend(_pivoted(v, wanted))
-                    keys.extend([k] * (len(out) - n))
-                if len(out) > 50_000:
-                    yield _batch(b.schema.field(0).type, keys, out)
-                    keys, out = [], []
-            if out:
-                yield _batch(b.schema.field(0).type, keys, out)
 
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, {_SCHEMA}")
+def whole(c: Column) -> Column:
+    """A text as a whole number of 64 bits, with blanks around it or zeros after the point; else null."""
+    t = F.trim(c)
+    return F.coalesce(t.try_cast("bigint"), F.when(t.rlike(r"^-?[0-9]+\.0+$"), F.regexp_replace(t, r"\.0+$", "").try_cast("bigint")))
 
 
-def _batch(key_type, keys: list, out: list) -> pa.RecordBatch:
-    cols = list(zip(*out))
-    types = [pa.string(), pa.string(), pa.int64(), pa.int32()] + [pa.string()] * 6
-    names = ["key", "tbl", "elem_type", "elem_id", "pos", "c0", "c1", "c2", "c3", "c4", "c5"]
-    return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *(pa.array(c, t) for c, t in zip(cols, types))], names=names)
+def elements(flat: DataFrame, columns: Collection[str]) -> DataFrame:
+    """Rows of the element tables, with elem_type, elem_id and ``columns``; entries of lists that are no objects are none."""
+    e = flat.where(~(F.map_contains_key("fields", F.lit(VALUE)) & (F.size("fields") == 1)))
+    e = table(e, ELEMENTS, ["id=_id", *columns])
+    return e.withColumn("elem_type", F.col("tbl")).withColumn("elem_id", whole(F.col("_id"))).drop("_id")
 
 
-def table(flat: DataFrame, key: str, tbl: str) -> DataFrame:
-    """One of the related tables: key, elem_type, elem_id, pos and the columns of TABLES[tbl]."""
-    cols = [F.col(f"c{i}").alias(c) for i, c in enumerate(TABLES[tbl])]
-    return flat.where(F.col("tbl") == tbl).select(key, "elem_type", "elem_id", "pos", *cols)
+def of_elements(rows: DataFrame, direct: bool = True) -> DataFrame:
+    """``rows`` whose row above is an element, with elem_type and elem_id; direct: with nothing in between."""
+    r = rows.where(F.col("parent_tbl").isin(*ELEMENTS))
+    r = r.where(~F.contains("step", F.lit("/"))) if direct else r
+    return r.withColumn("elem_type", F.col("parent_tbl")).withColumn("elem_id", whole(F.col("parent_key")))
 
 
 def children(flat: DataFrame, key: str) -> DataFrame:
@@ -248,12 +323,13 @@ def children(flat: DataFrame, key: str) -> DataFrame:
     pos is -1 for tags; child_key is the tag key, the reference in decimal, or the member's type/ref. A tag without
     key, or an nd whose reference is null or no whole number, gives no row.
     """
-    ref = lambda c: F.trim(c).try_cast("bigint").cast("string")
-    child_key = (
-        F.when(F.col("tbl") == "tag", F.col("c0"))
-        .when(F.col("tbl") == "nd", ref(F.col("c0")))
-        .otherwise(F.concat(F.coalesce("c0", F.lit("")), F.lit("/"), F.coalesce(ref(F.col("c1")), "c1", F.lit(""))))
-    )
-    pos = F.when(F.col("tbl") == "tag", F.lit(-1)).otherwise(F.col("pos"))
-    out = flat.where(F.col("tbl") != "element").select(key, "elem_type", "elem_id", F.col("tbl").alias("child"), pos.alias("pos"), child_key.alias("child_key"))
+    c = of_elements(table(flat, CHILDREN, ["k", "type", "ref", VALUE]))
+    tag, nd = F.col("tbl").isin("tag", "tags"), F.col("tbl") == "nd"
+    ref = F.coalesce("ref", VALUE)
+    number = whole(ref).cast("string")
+    # a null entry is a place without a child
+    there = F.col("k").isNotNull() | F.col("type").isNotNull() | ref.isNotNull()
+    child_key = F.when(tag, F.col("k")).when(nd, number).when(there, F.concat(F.coalesce("type", F.lit("")), F.lit("/"), F.coalesce(number, ref, F.lit(""))))
+    child = F.when(tag, "tag").otherwise(F.col("tbl"))
+    out = c.select(key, "elem_type", "elem_id", child.alias("child"), F.when(tag, -1).otherwise(F.col("pos")).alias("pos"), child_key.alias("child_key"))
     return out.where("child_key is not null").distinct()

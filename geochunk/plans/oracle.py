@@ -228,11 +228,12 @@ AND CASE WHEN e.b.lat > e.a.lat THEN (c.lon - e.a.lon)::BIGINT * (e.b.lat - e.a.
 
 _JSON = """
 u AS (SELECT row_number() OVER () AS r, upload_id, payload::JSON AS doc FROM (SELECT DISTINCT upload_id, payload FROM uploads) WHERE payload IS NOT NULL AND json_valid(payload)),
-j AS (SELECT u.r, u.upload_id, t.id, t.parent, t.key, t.type, t.value FROM u, json_tree(u.doc) t),
+j AS (SELECT u.r, u.upload_id, t.id, t.parent, t.key, t.type, t.value, t.path FROM u, json_tree(u.doc) t),
 named AS (SELECT * FROM j WHERE key IN ('node', 'way', 'relation') AND type IN ('OBJECT', 'ARRAY')),
-obj AS (SELECT r, upload_id, id, key AS elem_type, value FROM named WHERE type = 'OBJECT'
-  UNION ALL SELECT j.r, j.upload_id, j.id, a.key, j.value FROM named a JOIN j ON j.r = a.r AND j.parent = a.id AND a.type = 'ARRAY' AND j.type = 'OBJECT'),
-e AS (SELECT *, try_cast(coalesce(value->>'id', value->>'@id') AS BIGINT) AS elem_id FROM obj),
+obj AS (SELECT r, upload_id, id, key AS elem_type, value, path FROM named WHERE type = 'OBJECT'
+  UNION ALL SELECT j.r, j.upload_id, j.id, a.key, j.value, j.path FROM named a JOIN j ON j.r = a.r AND j.parent = a.id AND a.type = 'ARRAY' AND j.type = 'OBJECT'),
+e AS (SELECT *, try_cast(coalesce(value->>'id', value->>'@id') AS BIGINT) AS elem_id,
+  coalesce(list_filter(string_split(regexp_replace(path, '\\[[0-9]+\\]', '', 'g'), '.'), lambda s: s IN ('create', 'modify', 'delete'))[-1], '') AS action FROM obj),
 box AS (SELECT e.r, e.upload_id, e.elem_type, e.elem_id, CASE WHEN j.key = 'tags' THEN 'tag' ELSE j.key END AS child, j.id, j.type, j.value
   FROM e JOIN j ON j.r = e.r AND j.parent = e.id AND j.key IN ('tag', 'tags', 'nd', 'member')),
 kid AS (SELECT upload_id, elem_type, elem_id, child, 0 AS pos, value FROM box WHERE type = 'OBJECT'
@@ -244,9 +245,18 @@ UNION SELECT upload_id, elem_type, elem_id, child, -1, unnest(json_keys(value))
 UNION SELECT upload_id, elem_type, elem_id, child, pos, coalesce(value->>'ref', value->>'@ref')::BIGINT::VARCHAR FROM kid WHERE child = 'nd'
 UNION SELECT upload_id, elem_type, elem_id, child, pos, coalesce(value->>'type', value->>'@type') || '/' || coalesce(value->>'ref', value->>'@ref')::BIGINT FROM kid WHERE child = 'member'"""
 _EITHER = lambda k: f"coalesce(value->>'{k}', value->>'@{k}') AS {k}"
-SQL["p3_elements"] = f"""WITH {_JSON} SELECT DISTINCT upload_id, elem_type, elem_id, {', '.join(_EITHER(k) for k in ('id', 'version', 'timestamp', 'changeset', 'lat', 'lon'))} FROM e"""
+SQL["p3_elements"] = f"""WITH {_JSON} SELECT DISTINCT upload_id, elem_type, elem_id, {', '.join(_EITHER(k) for k in ('id', 'version', 'timestamp', 'changeset', 'lat', 'lon'))}, action FROM e"""
 SQL["p3_members"] = f"""WITH {_JSON} SELECT DISTINCT upload_id, elem_type, elem_id, pos, {', '.join(_EITHER(k) for k in ('type', 'ref', 'role'))} FROM kid WHERE child = 'member'"""
 
+SQL["p3_meta"] = f"""WITH {_JSON} SELECT DISTINCT upload_id, elem_type, elem_id, uid, name FROM
+(SELECT upload_id, elem_type, elem_id, value->'meta'->'user'->>'uid' AS uid, value->'meta'->'user'->>'name' AS name FROM e) WHERE uid IS NOT NULL OR name IS NOT NULL"""
+_HINTS = """, hint AS (SELECT e.r, e.upload_id, e.elem_type, e.elem_id, i.id, i.key::INT AS pos, i.value FROM e JOIN j m ON m.r = e.r AND m.parent = e.id AND m.key = 'meta'
+JOIN j h ON h.r = m.r AND h.parent = m.id AND h.key = 'hints' AND h.type = 'ARRAY' JOIN j i ON i.r = h.r AND i.parent = h.id)"""
+SQL["p3_hints"] = f"""WITH {_JSON}{_HINTS} SELECT DISTINCT upload_id, elem_type, elem_id, pos, value->>'src' AS src FROM hint"""
+SQL["p3_hint_values"] = f"""WITH {_JSON}{_HINTS} SELECT DISTINCT t.upload_id, elem_type, elem_id, t.pos AS hint_pos, v.key::INT AS pos, v.value->>'$' AS value FROM hint t
+JOIN j a ON a.r = t.r AND a.parent = t.id AND a.key = 'acc' AND a.type = 'ARRAY' JOIN j v ON v.r = a.r AND v.parent = a.id"""
+SQL["p3_uploads"] = f"""WITH {_JSON} SELECT u.upload_id, doc->>'generator' AS generator, doc->'changeset'->>'id' AS changeset_id, doc->'changeset'->>'comment' AS changeset_comment,
+{', '.join(f"count(*) FILTER (WHERE action = '{a}') AS n_{a or 'listed'}" for a in ('create', 'modify', 'delete', ''))} FROM u LEFT JOIN e ON e.r = u.r GROUP BY u.r, u.upload_id, doc"""
 _TAGGED = "(" + _each("SELECT '{kind}' AS kind, id, tags FROM {table} WHERE cardinality(tags) > 0") + ")"
 _KEYS = f"(SELECT kind, id, unnest(map_keys(tags)) AS tag_key FROM {_TAGGED})"
 _TILED = f"(SELECT n.id, n.lon, n.lat, min(tile_id) AS tile_id FROM {LOCATED} n LEFT JOIN tiles t ON n.lon BETWEEN t.minlon AND t.maxlon AND n.lat BETWEEN t.minlat AND t.maxlat GROUP BY ALL)"

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geochunk.config import default_rules, default_tiles
@@ -30,22 +30,67 @@ from geochunk.sources.xml import read_xml, write_xml
 # --- nested records ---------------------------------------------------------------------------------------------------
 
 
+ELEMENT_COLUMNS = ("id", "version", "timestamp", "changeset", "lat", "lon")
+ACTIONS = ("create", "modify", "delete")
+
+
+def _action() -> Column:
+    """The nearest of ACTIONS above a row; '' if none."""
+    return F.coalesce(F.try_element_at(F.filter(F.split("path", "/"), lambda s: s.isin(*ACTIONS)), F.lit(-1)), F.lit(""))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per child of any element of any upload."""
-    flat = nested.flatten_records(load(spark, d, "uploads"), "upload_id", "payload", ("tag", "nd", "member"))
+    flat = nested.flatten_uploads(load(spark, d, "uploads"), tables=tuple(nested.CHILDREN))
     return nested.children(flat, "upload_id")
 
 
 def p3_elements(spark: SparkSession, d: str) -> DataFrame:
-    """The table of elements, each once per upload."""
-    flat = nested.flatten_records(load(spark, d, "uploads"), "upload_id", "payload", ("element",))
-    return nested.table(flat, "upload_id", "element").drop("pos").distinct()
+    """The table of elements, each once per upload, and what was to be done with it."""
+    e = nested.elements(nested.flatten_uploads(load(spark, d, "uploads"), tables=nested.ELEMENTS), ELEMENT_COLUMNS)
+    return e.select("upload_id", "elem_type", "elem_id", *ELEMENT_COLUMNS, _action().alias("action")).distinct()
 
 
 def p3_members(spark: SparkSession, d: str) -> DataFrame:
     """The table of members with their roles."""
-    flat = nested.flatten_records(load(spark, d, "uploads"), "upload_id", "payload", ("member",))
-    return nested.table(flat, "upload_id", "member").distinct()
+    flat = nested.flatten_uploads(load(spark, d, "uploads"), tables=("member",))
+    m = nested.of_elements(nested.table(flat, "member", ("type", "ref", "role")))
+    return m.where(F.coalesce("type", "ref", "role").isNotNull()).select("upload_id", "elem_type", "elem_id", "pos", "type", "ref", "role").distinct()
+
+
+def p3_meta(spark: SparkSession, d: str) -> DataFrame:
+    """Columns that come from objects nested in an element: who made it."""
+    e = nested.elements(nested.flatten_uploads(load(spark, d, "uploads"), tables=nested.ELEMENTS), ("meta/user/uid", "meta/user/name"))
+    return e.where(F.coalesce("uid", "name").isNotNull()).select("upload_id", "elem_type", "elem_id", "uid", "name").distinct()
+
+
+def p3_hints(spark: SparkSession, d: str) -> DataFrame:
+    """A list of objects nested below an element."""
+    flat = nested.flatten_uploads(load(spark, d, "uploads"), tables=("hints",))
+    h = nested.of_elements(nested.table(flat, "hints", ("src",)), direct=False).where("step = 'meta/hints'")
+    return h.select("upload_id", "elem_type", "elem_id", "pos", "src").distinct()
+
+
+def p3_hint_values(spark: SparkSession, d: str) -> DataFrame:
+    """A list of scalars in that list's objects, tied to the element over the row between."""
+    flat = materialize(nested.flatten_uploads(load(spark, d, "uploads"), tables=("hints", "acc")), "hints")
+    h = nested.of_elements(nested.table(flat, "hints", ()), direct=False).select("upload_id", "rec", F.col("row_id").alias("parent_id"), "elem_type", "elem_id", F.col("pos").alias("hint_pos"))
+    v = nested.table(flat, "acc", (nested.VALUE,)).where("parent_tbl = 'hints' and step = 'acc'")
+    keys = ["upload_id", "rec", "parent_id"]
+    return v.select(*keys, "pos", nested.VALUE).distinct().join(h.distinct(), keys).select("upload_id", "elem_type", "elem_id", "hint_pos", "pos", nested.VALUE)
+
+
+def p3_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """The records themselves, and how many elements each creates, modifies, deletes or just lists."""
+    flat = nested.flatten_uploads(load(spark, d, "uploads"), tables=(nested.ROOT, *nested.ELEMENTS))
+    root = F.col("tbl") == nested.ROOT
+    own = {"generator": "generator", "changeset_id": "changeset/id", "changeset_comment": "changeset/comment"}
+    rows = flat.select("upload_id", "rec", root.alias("root"), _action().alias("action"), *(F.when(root, F.element_at("fields", c)).alias(n) for n, c in own.items()))
+    # a record that came twice has each of its rows twice
+    times = F.count_if("root")
+    n = lambda a: F.call_function("div", F.count_if(~F.col("root") & (F.col("action") == a)), times)
+    g = rows.groupBy("upload_id", "rec").agg(*(F.max(c).alias(c) for c in own), *(n(a).alias(f"n_{a or 'listed'}") for a in (*ACTIONS, "")))
+    return g.drop("rec")
 
 
 # --- places -----------------------------------------------------------------------------------------------------------
@@ -457,6 +502,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_elements": p3_elements,
     "p3_members": p3_members,
+    "p3_meta": p3_meta,
+    "p3_hints": p3_hints,
+    "p3_hint_values": p3_hint_values,
+    "p3_uploads": p3_uploads,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_tag_keys": p5_tag_keys,
