@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -99,53 +100,33 @@ def oriented(shell: Column, holes: Column, exact: bool = False) -> tuple[Column,
 def assemble_rings(lines: Sequence[Sequence[Point]]) -> list[list[Point]] | None:
     """Closed rings made of all lines, joined at equal end points; None if that can't be done.
 
-    Depth-first search: a chain starts with the first unused line (a closed one is a ring of its own) and is prolonged
-    by the first unused line that starts, or else ends, at its tail. A step is taken back when it leads nowhere; that a
-    line has begun a chain is not, so on ambiguous input some order of lines may stay from an abandoned branch.
-    Shared end points are kept twice where lines meet; a ring ends whenever its first point comes again.
+    Rings exist just if at every point an even number of open lines ends; then a walk over unused lines can stop nowhere
+    but where it began, so no step is ever taken back and the work grows with the lines. A walk begins with the first
+    unused line (a closed one is a ring of its own), goes on with the first that starts, or else ends, at its tail, and
+    is a ring as soon as it is back. Points where lines meet are kept twice.
     """
     if any(not line for line in lines):
         return None
-    heads, tails = [tuple(x[0]) for x in lines], [tuple(x[-1]) for x in lines]
-    joins: dict[Point, list[tuple[int, bool]]] = {}
-    for i, (h, t) in enumerate(zip(heads, tails)):
-        joins.setdefault(h, []).append((i, False))
-        joins.setdefault(t, []).append((i, True))
-    taken, order = [False] * len(lines), [(0, False)] * len(lines)
-
-    def begin(at: int) -> tuple[int, Point, Point] | None:
-        for i in range(len(lines)):
-            if not taken[i]:
-                taken[i], order[at] = True, (i, False)
-                at += 1
-                if heads[i] != tails[i]:
-                    return at, heads[i], tails[i]
+    lines = [[tuple(p) for p in line] for line in lines]
+    joins: dict[Point, deque[tuple[int, bool]]] = defaultdict(deque)
+    for i, line in enumerate(lines):
+        if line[0] != line[-1]:
+            joins[line[0]].append((i, False))
+            joins[line[-1]].append((i, True))
+    if any(len(ends) % 2 for ends in joins.values()):
         return None
-
-    chain = begin(0)
-    stack = [(*chain, iter(joins.get(chain[2], ())))] if chain else []
-    while stack:
-        at, head, tail, options = stack[-1]
-        step = next((o for o in options if not taken[o[0]]), None)
-        if step is None:
-            stack.pop()
-            if not stack:
-                return None
-            taken[order[stack[-1][0]][0]] = False
+    taken, rings = [False] * len(lines), []
+    for i, line in enumerate(lines):
+        if taken[i]:
             continue
-        taken[step[0]], order[at] = True, step
-        end = heads[step[0]] if step[1] else tails[step[0]]
-        nxt = begin(at + 1) if end == head else (at + 1, head, end)
-        if nxt is None:
-            break
-        stack.append((*nxt, iter(joins.get(nxt[2], ()))))
-
-    rings, ring = [], []
-    for i, back in order:
-        ring.extend(tuple(p) for p in (reversed(lines[i]) if back else lines[i]))
-        if ring[0] == ring[-1]:
-            rings.append(ring)
-            ring = []
+        taken[i], ring = True, list(line)
+        while ring[0] != ring[-1]:
+            ends = joins[ring[-1]]
+            k, back = ends.popleft()
+            if not taken[k]:
+                taken[k] = True
+                ring.extend(reversed(lines[k]) if back else lines[k])
+        rings.append(ring)
     return rings
 
 
@@ -184,68 +165,83 @@ def polygons(outer: Sequence, inner: Sequence) -> list[tuple[list[Point], list[l
 # --- turn lines -------------------------------------------------------------------------------------------------------
 
 
-def _chain(parts: list[list[Point]]) -> list[Point] | None:
-    """All parts in one line: grown at its tail while a part fits there, then once from the other end."""
-    line, left = list(parts[0]), list(range(1, len(parts)))
-    for turn in (False, True):
-        if not left:
-            break
-        if turn:
-            line.reverse()
-        grown = True
-        while grown and left:
-            grown = False
-            for k in list(left):
-                part = parts[k]
-                if line[-1] == part[0]:
-                    line += part[1:]
-                elif line[-1] == part[-1]:
-                    line += part[-2::-1] if len(part) > 1 else []
-                else:
-                    continue
-                left.remove(k)
-                grown = True
-    return None if left else line
-
-
-def turn_lines(from_: Sequence, via: Sequence, to: Sequence) -> list[list[Point]]:
+def _ends(line: Sequence[Point]) -> tuple[Point, Point]:
+    return line[0], line[-1]
+
+
+def via_line(parts: Sequence[Sequence[Point]]) -> list[Point] | None:
+    """All parts as one line, or None if some stay apart.
+
+    The first part is prolonged at its tail: of the parts with an end there by the next in order after the one added
+    last, else by the first. When none is left there, the line is turned round, once, and goes on from its other end; so
+    a line of several parts always comes out turned.
+    """
+    if len(parts) == 1:
+        return list(parts[0])
+    at: dict[Point, set[int]] = defaultdict(set)
+    for k, part in enumerate(parts[1:], 1):
+        for p in _ends(part):
+            at[p].add(k)
+    line, left, last = list(parts[0]), len(parts) - 1, 0
+    for _ in range(2):
+        while here := at[line[-1]]:
+            last = min((k for k in here if k > last), default=None) or min(here)
+            part = parts[last] if parts[last][0] == line[-1] else parts[last][::-1]
+            for p in _ends(part):
+                at[p].discard(last)
+            line.extend(part[1:])
+            left -= 1
+        line.reverse()
+        last = 0
+    return None if left else line[::-1]
+
+
+def turn_lines(from_: Sequence, via: Sequence, to: Sequence, persist: bool = True) -> list[list[Point]]:
     """Lines leading from each ``from`` over ``via`` into each ``to``: last but one point, via points, second point.
 
     Without via, an end point that all lines share takes its place (the first of ``to``'s first line before its last).
-    Without from, the first via point comes twice. What doesn't meet gives no line, nor do lines too short to have the
-    points needed. Lines once turned round stay so for the next.
+    A ``to`` hangs on the via line's first end, or else on its last; the other end is the head, where a ``from`` hangs on.
+    A ``from`` that touches the second point of the ``to`` hangs on there instead, and the line runs backwards. Without
+    from, the head comes twice. What doesn't meet gives no line, nor do lines too short to have the points needed.
+
+    persist: lines once turned round stay so for the next pair. That shows where a closed ``from`` meets several ``to``
+    (it is left by its first and last stretch in turns), and where a ``from`` touches head and second point (it takes
+    the one that the ``from`` before it did not). Otherwise each pair stands for itself.
     """
-    parts = [[[tuple(p) for p in line] for line in lines] for lines in (from_, via, to)]
-    starts, vias, ends = parts
-    if not ends or any(not line for lines in parts for line in lines):
+    starts, vias, ends = ([[tuple(p) for p in line] for line in lines] for lines in (from_, via, to))
+    if not ends or any(not line for line in (*starts, *vias, *ends)):
         return []
     if not vias:
-        first = ends[0]
-        shared = [p for p in (first[0], first[-1]) if all(p in (line[0], line[-1]) for line in ends[1:] + starts)]
-        if not shared:
-            return []
-        vias = [[shared[0]]]
-    base, out = _chain(vias), []
+        shared = next((p for p in _ends(ends[0]) if all(p in _ends(line) for line in ends[1:] + starts)), None)
+        vias = [] if shared is None else [[shared]]
+    base = via_line(vias) if vias else None
     if base is None:
         return []
-    for k, target in enumerate(ends):
-        line = list(base)
-        if line[0] in (target[0], target[-1]):
-            line.reverse()
-        if line[-1] == target[-1]:
-            target = ends[k] = target[::-1]
-        if line[-1] != target[0] or len(target) < 2:
+    out, turned = [], [False] * len(starts)
+    for target in ends:
+        if base[0] in _ends(target):
+            way = base[::-1]
+        elif base[-1] in _ends(target):
+            way = base
+        else:
+            continue
+        if len(target) < 2:
             continue
-        line.append(target[1])
+        way = [*way, target[-2] if target[-1] == way[-1] else target[1]]
         if not starts:
-            out.append([line[0], *line])
-        for i, source in enumerate(starts):
-            if line[-1] in (source[0], source[-1]):
-                line = line[::-1]
-            if line[0] == source[0]:
-                source = starts[i] = source[::-1]
-            if line[0] == source[-1] and len(source) > 1:
-                out.append([source[-2], *line])
+            out.append([way[0], *way])
+        backwards = False
+        for k, source in enumerate(starts):
+            backwards &= persist
+            tail, head = (way[0], way[-1]) if backwards else (way[-1], way[0])
+            if tail in _ends(source):
+                backwards, head = not backwards, tail
+            if head not in _ends(source) or len(source) < 2:
+                continue
+            closed = source[0] == source[-1]
+            first = not turned[k] if closed else source[0] == head  # left by its first stretch
+            turned[k] = closed and persist and first
+            out.append([source[1 if first else -2], *(reversed(way) if backwards else way)])
     return out
 
 

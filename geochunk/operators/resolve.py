@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from geochunk.functions.geometry import missing_point, point, polygons_udf, settle, settle_line, turn_lines_udf
 from geochunk.schema import META, MISSING_LON
+from geochunk.session import materialize
 
 AREA_TYPES = ("multipolygon", "boundary")
 TURN_TYPES = ("restriction", "destination_sign")
@@ -124,13 +125,16 @@ def all_elements(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> Dat
 
     type N, W, A or C; origin node, way, turn, area or collection. Insignificant nodes and ways are dropped, what comes
     of relations never is. Points without position are at NOWHERE from here on. Further columns are ignored.
+
+    ``nodes`` and ``relations`` are read by several branches: written tables are best (see plans.convert.staged). What
+    several branches need besides (resolved ways, memberships, lines used by relations) is written here once.
     """
     own = ["id", *(c for c in META if c in nodes.columns), "tags"]
     nodes, ways, relations = nodes.select(*own, "lon", "lat"), ways.select(*own, "nds"), relations.select(*own, "members")
     kinds = kind_of(relations)
-    links = membership(kinds)
-    resolved = resolve_ways(ways, nodes)
-    lines = used_lines(kinds, resolved, nodes)
+    links = materialize(membership(kinds), "links")
+    resolved = materialize(resolve_ways(ways, nodes), "resolved")
+    lines = materialize(used_lines(kinds, resolved, nodes), "lines")
     meta = [c for c in META if c in nodes.columns]
     cols = ["type", "origin", "id", *meta, "pts", "holes", "tags", "member_of"]
 

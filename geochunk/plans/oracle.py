@@ -63,6 +63,71 @@ sw AS (SELECT id FROM cw WHERE id IN (SELECT id FROM wt) OR id IN (SELECT ref FR
 coll AS (SELECT DISTINCT id FROM rest)
 """
 
+#: Lines that go into relations' geometry. A missing node stands at a place of its own, so that it meets itself only.
+_LINES = """
+raw AS (SELECT r.id, r.place, coalesce(p.lon, 2130706432 + ((r.ref & 72057594037927935) >> 32)) AS lon,
+  coalesce(p.lat, ((r.ref & 4294967295) + 2147483648) % 4294967296 - 2147483648) AS lat FROM refs r LEFT JOIN pos p ON r.ref = p.id),
+way_line AS (SELECT id, list({'x': lon, 'y': lat} ORDER BY place) AS pts FROM raw GROUP BY id),
+piece AS (SELECT m.id, m.rtype, m.role, m.place, 0 AS pass, coalesce(l.pts, []) AS pts FROM sorted m JOIN cw ON cw.id = m.ref LEFT JOIN way_line l ON l.id = m.ref WHERE used AND type = 'way'
+  UNION ALL SELECT m.id, m.rtype, m.role, m.place, 1, [{'x': coalesce(p.lon, 2130706432 + ((m.ref & 72057594037927935) >> 32)), 'y': coalesce(p.lat, ((m.ref & 4294967295) + 2147483648) % 4294967296 - 2147483648)}]
+  FROM sorted m LEFT JOIN pos p ON p.id = m.ref WHERE used AND type = 'node')
+"""
+
+#: Rings by walks over lines with equal ends, depth by containment, each hole to the first shell that holds a vertex of it.
+_AREAS = """
+ln AS (SELECT id, role, row_number() OVER (PARTITION BY id, role ORDER BY place) AS k, pts, len(pts) AS n, pts[1] AS h, pts[-1] AS t FROM piece WHERE rtype IN ('multipolygon', 'boundary')),
+tip AS (SELECT id, role, h AS p FROM ln WHERE h <> t UNION ALL SELECT id, role, t FROM ln WHERE h <> t),
+loose AS (SELECT id, role FROM tip GROUP BY id, role, p HAVING count(*) % 2 = 1 UNION SELECT id, role FROM ln WHERE n = 0),
+good AS (SELECT * FROM ln WHERE (id, role) NOT IN (SELECT (id, role) FROM loose)),
+walk(id, role, step, k, flip, head, tail, taken, ring) AS (
+  SELECT id, role, 1, k, false, h, t, [k], 1 FROM good WHERE k = 1
+  UNION ALL SELECT w.id, w.role, step + 1, g.k, w.head <> w.tail AND g.h <> w.tail, CASE WHEN w.head = w.tail THEN g.h ELSE w.head END,
+    CASE WHEN w.head <> w.tail AND g.h <> w.tail THEN g.h ELSE g.t END, list_append(taken, g.k), ring + (w.head = w.tail)::INT
+  FROM walk w JOIN good g ON g.id = w.id AND g.role = w.role AND NOT list_contains(taken, g.k) AND (w.head = w.tail OR g.h = w.tail OR g.t = w.tail)
+  QUALIFY row_number() OVER (PARTITION BY w.id, w.role ORDER BY g.k) = 1),
+vert AS (SELECT id, role, ring, row_number() OVER (PARTITION BY id, role, ring ORDER BY step, i) AS seq, p.x AS x, p.y AS y FROM
+  (SELECT w.id, w.role, w.ring, w.step, unnest(CASE WHEN flip THEN list_reverse(pts) ELSE pts END) AS p, generate_subscripts(pts, 1) AS i FROM walk w JOIN good g USING (id, role, k))),
+edge AS (SELECT id, role, ring, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS b_y FROM vert WINDOW w AS (PARTITION BY id, role, ring ORDER BY seq)),
+inside AS (SELECT DISTINCT id, role, ring, shell FROM (SELECT v.id, v.role, v.ring, e.ring AS shell, v.seq FROM vert v JOIN edge e ON e.id = v.id AND e.role = 'outer' AND NOT (v.role = 'outer' AND v.ring = e.ring)
+  WHERE ay <> b_y AND (ay <= y) = (y < b_y) AND ax + ((bx - ax)::HUGEINT * (y - ay)) // (b_y - ay) < x GROUP BY ALL HAVING count(*) % 2 = 1)),
+shells AS (SELECT v.id, v.ring, count(*) - 1 AS n, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1,
+  (SELECT count(*) FROM inside i WHERE i.id = v.id AND i.role = 'outer' AND i.ring = v.ring) AS depth FROM vert v WHERE role = 'outer' GROUP BY v.id, v.ring),
+hole AS (SELECT i.id, i.ring, arg_min(i.shell, (-s.depth, s.ring)) AS shell FROM inside i JOIN shells s ON s.id = i.id AND s.ring = i.shell WHERE i.role = 'inner' GROUP BY i.id, i.ring),
+hole_pts AS (SELECT h.id, h.shell, count(DISTINCT h.ring) AS n_holes, count(*) - count(DISTINCT h.ring) AS n, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1
+  FROM hole h JOIN vert v ON v.id = h.id AND v.ring = h.ring AND v.role = 'inner' GROUP BY h.id, h.shell),
+areas AS (SELECT s.id, s.ring AS part, s.n, s.x0, s.y0, s.x1, s.y1, coalesce(h.n_holes, 0) AS n_holes, coalesce(h.n, 0) AS n_hole_points,
+  least(s.x0, h.x0) AS ox0, least(s.y0, h.y0) AS oy0, greatest(s.x1, h.x1) AS ox1, greatest(s.y1, h.y1) AS oy1 FROM shells s LEFT JOIN hole_pts h ON h.id = s.id AND h.shell = s.ring)
+"""
+
+#: Turn lines: the via line is grown part by part, then every to and from hang on its ends. (A closed from is left by its
+#: first and last stretch in turns; from lines that touch both the head and the far point are taken each by itself.)
+_TURNS = """
+tp AS (SELECT id, CASE role WHEN 'from' THEN 'f' WHEN 'to' THEN 't' ELSE 'v' END AS part, pts, row_number() OVER (PARTITION BY id, CASE role WHEN 'from' THEN 'f' WHEN 'to' THEN 't' ELSE 'v' END ORDER BY pass, place) AS k
+  FROM piece WHERE rtype IN ('restriction', 'destination_sign')),
+fine AS (SELECT * FROM tp WHERE id NOT IN (SELECT id FROM tp WHERE len(pts) = 0)),
+fr AS (SELECT * FROM fine WHERE part = 'f'), tt AS (SELECT * FROM fine WHERE part = 't'),
+guess AS (SELECT id, o, p FROM (SELECT id, 1 AS o, pts[1] AS p FROM tt WHERE k = 1 UNION ALL SELECT id, 2, pts[-1] FROM tt WHERE k = 1) g WHERE id NOT IN (SELECT id FROM fine WHERE part = 'v')
+  AND NOT EXISTS (SELECT 1 FROM fine x WHERE x.id = g.id AND NOT (x.part = 't' AND x.k = 1) AND x.pts[1] <> p AND x.pts[-1] <> p)),
+tv AS (SELECT id, k, pts FROM fine WHERE part = 'v' UNION ALL SELECT id, 1, [arg_min(p, o)] FROM guess GROUP BY id),
+grown(id, step, line, taken, last, turned) AS (
+  SELECT id, 1, pts, [k], 1, false FROM tv WHERE k = 1
+  UNION ALL SELECT g.id, step + 1, CASE WHEN v.k IS NULL THEN list_reverse(line) WHEN v.pts[1] = line[-1] THEN list_concat(line, v.pts[2:]) ELSE list_concat(line, list_reverse(v.pts)[2:]) END,
+    CASE WHEN v.k IS NULL THEN taken ELSE list_append(taken, v.k) END, coalesce(v.k, 0), turned OR v.k IS NULL
+  FROM grown g LEFT JOIN tv v ON v.id = g.id AND NOT list_contains(taken, v.k) AND (v.pts[1] = line[-1] OR v.pts[-1] = line[-1]) WHERE NOT (v.k IS NULL AND turned)
+  QUALIFY row_number() OVER (PARTITION BY g.id ORDER BY v.k IS NULL, v.k <= g.last, v.k) = 1),
+vias AS (SELECT id, count(*) AS n FROM tv GROUP BY id),
+base AS (SELECT g.id, CASE WHEN n = 1 THEN arg_min(line, step) ELSE arg_max(line, step) END AS line FROM grown g JOIN vias USING (id) GROUP BY g.id, n HAVING arg_max(len(taken), step) = n),
+into_ AS (SELECT t.id, t.k, way, CASE WHEN t.pts[-1] = way[-1] THEN t.pts[-2] ELSE t.pts[2] END AS far FROM
+  (SELECT t.id, t.k, t.pts, CASE WHEN line[1] = t.pts[1] OR line[1] = t.pts[-1] THEN list_reverse(line) ELSE line END AS way FROM tt t JOIN base b USING (id) WHERE len(t.pts) > 1) t WHERE way[-1] = t.pts[1] OR way[-1] = t.pts[-1]),
+met AS (SELECT i.id, i.k AS tk, f.k AS fk, way, far, f.pts, far = f.pts[1] OR far = f.pts[-1] AS back FROM into_ i JOIN fr f ON f.id = i.id AND len(f.pts) > 1),
+hung AS (SELECT *, row_number() OVER (PARTITION BY id, fk ORDER BY tk) AS nth, CASE WHEN back THEN far ELSE way[1] END AS spot FROM met WHERE back OR way[1] = pts[1] OR way[1] = pts[-1]),
+turn_line AS (
+  SELECT id, list_concat([CASE WHEN pts[1] = spot AND (pts[-1] <> spot OR nth % 2 = 1) THEN pts[2] ELSE pts[-2] END], CASE WHEN back THEN list_concat([far], list_reverse(way)) ELSE list_append(way, far) END) AS pts FROM hung
+  UNION ALL SELECT id, list_concat([way[1]], list_append(way, far)) FROM into_ WHERE id NOT IN (SELECT id FROM fr)),
+turn AS (SELECT id, row_number() OVER () AS part, len(pts) AS n, list_min([q.x for q in pts]) AS x0, list_min([q.y for q in pts]) AS y0, list_max([q.x for q in pts]) AS x1, list_max([q.y for q in pts]) AS y1,
+  pts[1] = pts[-1] OR pts[1].x >= 2130706432 AND pts[-1].x >= 2130706432 AS closed, pts FROM turn_line)
+"""
+
 
 def _grid_sql() -> str:
     """Every rectangle of the shipped grids with its ordinal, by cross joins of ranges."""
@@ -81,18 +146,21 @@ tl AS (SELECT (row_number() OVER (ORDER BY raw) - 1)::INT AS tile_id, t.* FROM (
 nn AS (SELECT count(*)::INT AS n FROM tl)
 """
 
+#: Elements of all origins with their envelope (with holes: ox0 to oy1; of the shell alone: x0 to y1), n points in it.
 #: Tiles are looked up by 1-degree cells of the point (or first corner), to spare the full comparison.
 _PLACED = """
-el AS (SELECT 'N' AS type, id, coalesce(CASE WHEN lat IS NULL OR lon >= 2130706432 THEN 2147483647 ELSE lon END, 2147483647) AS x0,
-    coalesce(CASE WHEN lon IS NULL OR lon >= 2130706432 THEN 2147483647 ELSE lat END, 2147483647) AS y0, x0 AS x1, y0 AS y1, 1 AS n FROM cn WHERE id IN (SELECT id FROM sn)
-  UNION ALL SELECT 'W', cw.id, s.x0, s.y0, s.x1, s.y1, coalesce(s.n, 0) FROM cw LEFT JOIN shape s ON s.id = cw.id WHERE cw.id IN (SELECT id FROM sw)
-  UNION ALL SELECT 'C', id, 2147483647, 2147483647, 2147483647, 2147483647, 0 FROM coll),
+el AS (SELECT 'N' AS type, 'node' AS origin, id, 0 AS part, coalesce(CASE WHEN lat IS NULL OR lon >= 2130706432 THEN 2147483647 ELSE lon END, 2147483647) AS x0,
+    coalesce(CASE WHEN lon IS NULL OR lon >= 2130706432 THEN 2147483647 ELSE lat END, 2147483647) AS y0, x0 AS x1, y0 AS y1, x0 AS ox0, y0 AS oy0, x0 AS ox1, y0 AS oy1, 1 AS n, 0 AS n_hole_points, false AS closed FROM cn WHERE id IN (SELECT id FROM sn)
+  UNION ALL SELECT 'W', 'way', cw.id, 0, s.x0, s.y0, s.x1, s.y1, s.x0, s.y0, s.x1, s.y1, coalesce(s.n, 0), 0, coalesce(s.closed, false) FROM cw LEFT JOIN shape s ON s.id = cw.id WHERE cw.id IN (SELECT id FROM sw)
+  UNION ALL SELECT 'W', 'turn', id, part, x0, y0, x1, y1, x0, y0, x1, y1, n, 0, closed FROM turn
+  UNION ALL SELECT 'A', 'area', id, part, x0, y0, x1, y1, ox0, oy0, ox1, oy1, n, n_hole_points, false FROM areas
+  UNION ALL SELECT 'C', 'collection', id, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, false FROM coll),
 cell AS (SELECT tile_id, minlon, minlat, maxlon, maxlat, unnest(range(minlon // 10000000 - 1, maxlon // 10000000 + 2)) AS cx FROM tl),
 cells AS (SELECT *, unnest(range(minlat // 10000000 - 1, maxlat // 10000000 + 2)) AS cy FROM cell),
-hit AS (SELECT el.type, el.id, min(tile_id) AS t FROM el JOIN cells c ON el.x0 // 10000000 = c.cx AND el.y0 // 10000000 = c.cy
-  AND el.x0 >= c.minlon AND el.x1 <= c.maxlon AND el.y0 >= c.minlat AND el.y1 <= c.maxlat WHERE el.type <> 'C' GROUP BY ALL),
-placed AS (SELECT el.type, el.id, (CASE WHEN el.type <> 'C' AND el.n = 0 THEN 0 ELSE coalesce(hit.t, nn.n) END)::INT AS chunk_id
-  FROM el LEFT JOIN hit ON hit.type = el.type AND hit.id = el.id, nn)
+hit AS (SELECT el.origin, el.id, el.part, min(tile_id) AS t FROM el JOIN cells c ON el.ox0 // 10000000 = c.cx AND el.oy0 // 10000000 = c.cy
+  AND el.ox0 >= c.minlon AND el.ox1 <= c.maxlon AND el.oy0 >= c.minlat AND el.oy1 <= c.maxlat GROUP BY ALL),
+placed AS (SELECT el.*, (CASE WHEN el.type <> 'C' AND el.n = 0 THEN 0 ELSE coalesce(hit.t, nn.n) END)::INT AS chunk_id
+  FROM el LEFT JOIN hit ON hit.origin = el.origin AND hit.id = el.id AND hit.part = el.part, nn)
 """
 
 
@@ -109,29 +177,31 @@ def _rules(rules: Rules) -> str:
     return f"""
 spelt AS {_values(spelt, "kind, key_ord, key, prefix_ord, word, prefix")}, area AS {_values(area, "kind, key_ord, is_area")},
 odd AS {_values(odd, "key_ord, v")}, listed AS {_values(listed, "type, key_ord, v, value_ord")},
-tagged AS (SELECT 'N' AS type, * FROM nt UNION ALL SELECT 'W', * FROM wt UNION ALL SELECT 'C', * FROM rt),
-found AS (SELECT type, id, key_ord, key, min(prefix_ord) AS prefix_ord, arg_min(t.v, prefix_ord) AS v, arg_min(prefix, prefix_ord) AS prefix
-  FROM tagged t JOIN spelt s ON s.kind = t.type AND s.word = t.k GROUP BY type, id, key_ord, key),
+tagged AS (SELECT 'node' AS origin, 'N' AS kind, * FROM nt UNION ALL SELECT 'way', 'W', * FROM wt UNION ALL SELECT 'turn', 'W', * FROM rt
+  UNION ALL SELECT 'area', 'W', * FROM rt UNION ALL SELECT 'collection', 'C', * FROM rt),
+found AS (SELECT origin, t.kind, id, key_ord, key, min(prefix_ord) AS prefix_ord, arg_min(t.v, prefix_ord) AS v, arg_min(prefix, prefix_ord) AS prefix
+  FROM tagged t JOIN spelt s ON s.kind = t.kind AND s.word = t.k GROUP BY origin, t.kind, id, key_ord, key),
 fnd AS (SELECT * FROM found f {{one}}),
-yes AS (SELECT p.type, p.id, p.chunk_id, coalesce(s.closed, false) AS closed, coalesce(a.v, '') AS area FROM placed p
-  LEFT JOIN shape s ON p.type = 'W' AND s.id = p.id LEFT JOIN wt a ON p.type = 'W' AND a.id = p.id AND a.k = 'area'),
-judged AS (SELECT y.*, f.key_ord, f.key, f.v, f.prefix, f.prefix_ord,
+yes AS (SELECT p.*, coalesce(a.v, '') AS area FROM placed p LEFT JOIN tagged a ON a.origin = p.origin AND a.id = p.id AND a.k = 'area'),
+judged AS (SELECT y.*, f.key_ord, f.key, f.v, f.prefix, f.prefix_ord, y.type = 'A' OR y.type = 'W' AND
   y.closed AND (y.area = 'yes' OR y.area <> 'no' AND (r.is_area <> (f.prefix_ord = 0 AND EXISTS (SELECT 1 FROM odd o WHERE o.key_ord = f.key_ord AND o.v = f.v)))) AS is_area
-  FROM yes y JOIN fnd f ON f.type = y.type AND f.id = y.id JOIN area r ON r.kind = f.type AND r.key_ord = f.key_ord),
-line AS (SELECT type, id FROM judged WHERE type = 'W' GROUP BY type, id HAVING bool_or(NOT is_area)),
+  FROM yes y JOIN fnd f ON f.origin = y.origin AND f.id = y.id JOIN area r ON r.kind = f.kind AND r.key_ord = f.key_ord),
+line AS (SELECT origin, id, part FROM judged WHERE type = 'W' GROUP BY ALL HAVING bool_or(NOT is_area)),
 feat AS (
-  SELECT 'A' AS type, id, chunk_id, key_ord, key, v FROM judged WHERE type = 'W' AND is_area
-  UNION ALL SELECT 'W', id, chunk_id, key_ord, key, v FROM judged WHERE type = 'W' AND id IN (SELECT id FROM line)
-  UNION ALL SELECT type, id, chunk_id, key_ord, key, v FROM judged WHERE type IN ('N', 'C')
-  UNION ALL SELECT CASE WHEN type = 'W' AND closed AND area = 'yes' THEN 'A' ELSE type END, id, chunk_id, 1000000, '', NULL FROM yes y
-    WHERE NOT EXISTS (SELECT 1 FROM fnd f WHERE f.type = y.type AND f.id = y.id)),
-features AS (SELECT f.type, f.id, f.chunk_id, f.key AS block_key, CASE WHEN l.v IS NULL THEN '' ELSE l.v END AS slice_value, f.key_ord, coalesce(l.value_ord, 1073741824) AS value_ord
+  SELECT * REPLACE ('A' AS type) FROM judged WHERE is_area
+  UNION ALL SELECT * FROM judged WHERE type = 'W' AND (origin, id, part) IN (SELECT (origin, id, part) FROM line)
+  UNION ALL SELECT * FROM judged WHERE type IN ('N', 'C')
+  UNION ALL SELECT y.* REPLACE (CASE WHEN closed AND area = 'yes' THEN 'A' ELSE type END AS type), 1000000, '', NULL, NULL, NULL, NULL FROM yes y
+    WHERE NOT EXISTS (SELECT 1 FROM fnd f WHERE f.origin = y.origin AND f.id = y.id)),
+features AS (SELECT f.*, f.key AS block_key, CASE WHEN l.v IS NULL THEN '' ELSE l.v END AS slice_value, coalesce(l.value_ord, 1073741824) AS value_ord
   FROM feat f LEFT JOIN listed l ON l.type = f.type AND l.key_ord = f.key_ord AND l.v = f.v)
 """
 
 
-_FULL = f"WITH {_BASE}, {_TILES}, {_PLACED}, {_rules(default_rules()).replace('{one}', '')} "
-_ONE = f"WITH {_BASE}, {_TILES}, {_PLACED}, {_rules(default_rules()).replace('{one}', 'WHERE key_ord = (SELECT min(key_ord) FROM found g WHERE g.type = f.type AND g.id = f.id)')} "
+_GEOMETRY = f"{_BASE}, {_LINES}, {_AREAS}, {_TURNS}"
+_EVERY = f"WITH RECURSIVE {_GEOMETRY}, {_TILES}, {_PLACED} "
+_FULL = f"{_EVERY}, {_rules(default_rules()).replace('{one}', '')} "
+_ONE = f"{_EVERY}, {_rules(default_rules()).replace('{one}', 'WHERE key_ord = (SELECT min(key_ord) FROM found g WHERE g.origin = f.origin AND g.id = f.id)')} "
 _B = f"WITH {_BASE} "
 
 _META = "id, coalesce(version, 0) AS version, 0::BIGINT AS timestamp, 0::BIGINT AS changeset, coalesce(uid, 0) AS uid, coalesce(\"user\", '') AS \"user\""
@@ -181,20 +251,24 @@ SQL: dict[str, str] = {
     "UNION ALL SELECT 'missing_nodes', count(*) FROM refs WHERE ref NOT IN (SELECT id FROM pos) UNION ALL SELECT 'missing_ways', count(*) FROM sorted WHERE used AND type = 'way' AND ref NOT IN (SELECT id FROM cw) "
     f"UNION ALL SELECT 'discarded_tags', count(*) FROM ({' UNION ALL '.join(f'SELECT k FROM {tag_rows(t, True)}' for _, t in _ALL)}) WHERE k IN ({_DISCARD})",
     "tiles": f"WITH cn AS {live('nodes')}, {_TILES} SELECT tile_id, minlon::INT AS minlon, minlat::INT AS minlat, maxlon::INT AS maxlon, maxlat::INT AS maxlat FROM tl",
-    "tile_elements": f"WITH {_BASE}, {_TILES}, {_PLACED} SELECT type, id, chunk_id FROM placed WHERE type <> 'C'",
-    "chunk_index": f"WITH {_BASE}, {_TILES}, {_PLACED} SELECT type, chunk_id, count(*) AS n FROM placed GROUP BY ALL",
+    "tile_elements": _EVERY + "SELECT type, id, chunk_id FROM placed",
+    "chunk_index": _EVERY + "SELECT type, chunk_id, count(*) AS n FROM placed GROUP BY ALL",
     "classify_nodes": _FULL + "SELECT f.id, block_key, slice_value, coalesce(l.prefix, t.v, '') AS lifecycle FROM features f "
-    "LEFT JOIN (SELECT id, arg_max(prefix, key_ord) AS prefix FROM found WHERE type = 'N' AND prefix_ord > 0 GROUP BY id) l ON l.id = f.id "
+    "LEFT JOIN (SELECT id, arg_max(prefix, key_ord) AS prefix FROM found WHERE origin = 'node' AND prefix_ord > 0 GROUP BY id) l ON l.id = f.id "
     "LEFT JOIN nt t ON t.id = f.id AND t.k = 'lifecycle' WHERE f.type = 'N'",
-    "classify_ways": _FULL + "SELECT type, id, block_key, slice_value FROM features WHERE type IN ('W', 'A')",
+    "classify_ways": _FULL + "SELECT type, id, block_key, slice_value FROM features WHERE origin = 'way'",
     "classify_collections": _FULL + "SELECT id, block_key, slice_value FROM features WHERE type = 'C'",
-    "one_element": _ONE + "SELECT type, id, block_key, slice_value FROM features WHERE type IN ('N', 'W', 'A')",
+    "one_element": _ONE + "SELECT type, id, block_key, slice_value FROM features",
     "slice_counts": _FULL + "SELECT type, chunk_id, block_key, slice_value, count(*) AS n FROM features GROUP BY ALL",
     "block_stats": _FULL + "SELECT type, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT (chunk_id, block_key)) AS n_blocks, count(DISTINCT (chunk_id, block_key, slice_value)) AS n_slices, count(*) AS n_rows FROM features GROUP BY type",
     "cluster_order": _FULL + "SELECT chunk_id, id, block_key, row_number() OVER (PARTITION BY chunk_id ORDER BY key_ord, value_ord, id)::INT AS place FROM features WHERE type = 'N'",
-    "union_elements": _B + "SELECT 'N' AS type, 'node' AS origin, count(*) AS n, sum(id)::BIGINT AS id_sum, (SELECT count(*) FROM rest WHERE type = 'node' AND ref IN (SELECT id FROM sn)) AS n_links FROM sn HAVING count(*) > 0 "
-    "UNION ALL SELECT 'W', 'way', count(*), sum(id)::BIGINT, (SELECT count(*) FROM rest WHERE type = 'way' AND ref IN (SELECT id FROM sw)) FROM sw HAVING count(*) > 0 "
-    "UNION ALL SELECT 'C', 'collection', count(*), sum(id)::BIGINT, (SELECT count(*) FROM rest WHERE type = 'relation' AND ref IN (SELECT id FROM coll)) FROM coll HAVING count(*) > 0",
+    "union_elements": f"WITH RECURSIVE {_GEOMETRY}, lk AS (SELECT type, ref, count(*) AS n FROM rest GROUP BY ALL), "
+    "un AS (SELECT 'N' AS type, 'node' AS origin, 'node' AS kind, id FROM sn UNION ALL SELECT 'W', 'way', 'way', id FROM sw UNION ALL SELECT 'W', 'turn', 'relation', id FROM turn "
+    "UNION ALL SELECT 'A', 'area', 'relation', id FROM areas UNION ALL SELECT 'C', 'collection', 'relation', id FROM coll) "
+    "SELECT un.type, origin, count(*) AS n, sum(id)::BIGINT AS id_sum, coalesce(sum(lk.n), 0)::BIGINT AS n_links FROM un LEFT JOIN lk ON lk.type = un.kind AND lk.ref = un.id GROUP BY un.type, origin",
+    "features": _FULL + "SELECT type, origin, block_key, count(*) AS n, sum(n + n_hole_points - (type = 'A' AND origin <> 'area')::INT)::BIGINT AS n_points FROM features GROUP BY ALL",
+    "relation_areas": f"WITH RECURSIVE {_GEOMETRY} SELECT id, n::INT AS n_points, n_holes::INT AS n_holes, n_hole_points::INT AS n_hole_points FROM areas",
+    "turns": f"WITH RECURSIVE {_GEOMETRY} SELECT id, n::INT AS n_points, " + ", ".join(f"CASE WHEN pts[{i}].x >= 2130706432 THEN 2147483647 ELSE pts[{i}].{v} END::INT AS {n}_{c}" for i, n in ((1, "from"), (-1, "to")) for v, c in (("x", "lon"), ("y", "lat"))) + " FROM turn",
     "point_in_ring": f"WITH {_EDGES}, p AS (SELECT zone_id AS point_of, ring[1].lon::BIGINT AS x, ring[1].lat::BIGINT AS y FROM z) "
     "SELECT zone_id, point_of FROM p JOIN edges ON point_of <> zone_id WHERE a.lat <> b.lat AND (a.lat <= y) = (y < b.lat) "
     "AND a.lon + ((b.lon - a.lon)::BIGINT * (y - a.lat)) // (b.lat - a.lat) < x GROUP BY ALL HAVING count(*) % 2 = 1",
@@ -205,12 +279,12 @@ SQL: dict[str, str] = {
     "SELECT id, sum(((dx * sy + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) >= 0 AS clockwise, sum(ex * ey) >= 0 AS clockwise_exact FROM wrap GROUP BY id",
     "ring_assembly": f"WITH {_SEGMENTS} SELECT owner, 1 AS n_rings, (2 * count(*) - 1)::INT AS n_vertices FROM k GROUP BY owner",
     "from_to": f"WITH {_SEGMENTS} SELECT owner, k::INT AS place, (100000000 + o * 1000)::INT AS lon, (480000000 + (o * 7919 % 100003) * 100)::INT AS lat FROM k WHERE n >= 3 AND k < 3",
-    "lifecycle": _FULL + ", moved AS (SELECT * FROM found WHERE type = 'N' AND prefix_ord > 0 AND id IN (SELECT id FROM sn)), "
+    "lifecycle": _FULL + ", moved AS (SELECT * FROM found WHERE origin = 'node' AND prefix_ord > 0 AND id IN (SELECT id FROM sn)), "
     "last AS (SELECT id, arg_max(prefix, key_ord) AS prefix FROM moved GROUP BY id) "
     "SELECT id, k AS tag_key, v AS tag_value FROM nt t WHERE id IN (SELECT id FROM moved) AND k <> 'lifecycle' AND NOT EXISTS (SELECT 1 FROM moved m WHERE m.id = t.id AND t.k = m.prefix || ':' || m.key) "
     "UNION ALL SELECT id, key, v FROM moved UNION ALL SELECT id, 'lifecycle', prefix FROM last",
-    "read_pruned": _FULL + "SELECT f.type, f.id, block_key, slice_value FROM features f JOIN shape s ON s.id = f.id WHERE (f.type = 'A' AND block_key = 'building' OR f.type = 'W' AND block_key = 'highway' AND slice_value = 'track') "
-    "AND s.x1 >= 50000000 AND s.x0 <= 300000000 AND s.y1 >= 400000000 AND s.y0 <= 500000000",
+    "read_pruned": _FULL + "SELECT type, id, block_key, slice_value FROM features f WHERE (type = 'A' AND block_key = 'building' OR type = 'W' AND block_key = 'highway' AND slice_value = 'track') "
+    "AND x1 >= 50000000 AND x0 <= 300000000 AND y1 >= 400000000 AND y0 <= 500000000",
     "read_xml_files": _SUMMARY,
     "read_pbf": _SUMMARY,
     # that format has no author without a time, and no time without a version

@@ -19,7 +19,7 @@ from geochunk.operators.hotkeys import first_tile, salted_aggregate
 from geochunk.operators.orphans import orphan_cascade
 from geochunk.operators.proximity import near_pairs, points_in_regions
 from geochunk.operators.tiling import assign_tiles, bbox as bbox_of
-from geochunk.plans.convert import convert, data_tiles
+from geochunk.plans.convert import convert, data_tiles, staged
 from geochunk.plans.fixtures import cleaned, dataset, segments
 from geochunk.session import load, materialize, work_dir
 from geochunk.sources import encode, sink
@@ -286,7 +286,7 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
 
 def _placed(spark: SparkSession, d: str, *origins: str) -> DataFrame:
     """Elements with their tiles: those of some origins, or all, what relations' members build included."""
-    x, grids = cleaned(spark, d), default_tiles()
+    x, grids = staged(cleaned(spark, d)), default_tiles()
     e = resolve.all_elements(x.nodes, x.ways, x.relations)
     e = e.where(F.col("origin").isin(*origins)) if origins else e
     return materialize(assign_tiles(e, grids, materialize(data_tiles(spark, x.nodes, grids), "tiles")), "placed")
@@ -343,7 +343,7 @@ def cluster_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def union_elements(spark: SparkSession, d: str) -> DataFrame:
-    x = cleaned(spark, d)
+    x = staged(cleaned(spark, d))
     e = resolve.all_elements(x.nodes, x.ways, x.relations)
     return e.groupBy("type", "origin").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"), F.sum(F.coalesce(F.size("member_of"), F.lit(0))).alias("n_links"))
 
@@ -355,10 +355,23 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("type", "origin", "block_key").agg(F.count("*").alias("n"), points.alias("n_points"))
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    x = staged(cleaned(spark, d))
+    return resolve.used_lines(resolve.kind_of(x.relations), materialize(resolve.resolve_ways(x.ways, x.nodes), "resolved"), x.nodes)
+
+
 def relation_areas(spark: SparkSession, d: str) -> DataFrame:
-    x = cleaned(spark, d)
-    lines = resolve.used_lines(resolve.kind_of(x.relations), resolve.resolve_ways(x.ways, x.nodes), x.nodes)
-    return resolve.relation_areas(lines).select("id", F.size("pts").alias("n_points"), F.size("holes").alias("n_holes"))
+    """One row per area of a relation: points of its shell, holes and their points."""
+    lines = _lines(spark, d)
+    points = F.aggregate("holes", F.lit(0), lambda a, h: a + F.size(h))
+    return resolve.relation_areas(lines).select("id", F.size("pts").alias("n_points"), F.size("holes").alias("n_holes"), points.alias("n_hole_points"))
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    """One row per line of a turn relation: its points, and where it begins and ends."""
+    t = resolve.turn_ways(_lines(spark, d)).withColumn("pts", settle_line("pts"))
+    end = lambda i, c: F.element_at("pts", i)[c]
+    return t.select("id", F.size("pts").alias("n_points"), *(end(i, c).alias(f"{n}_{c}") for i, n in ((1, "from"), (-1, "to")) for c in ("lon", "lat")))
 
 
 def _rings(spark: SparkSession, d: str) -> DataFrame:
@@ -494,7 +507,7 @@ def read_o5m(spark: SparkSession, d: str) -> DataFrame:
 _OWN = [
     bbox, clean_tags, discarded_tags, project_meta, resolve_ways, closed_ways, significant_nodes, significant_ways, membership, relation_kinds, counters,
     tiles, tile_elements, chunk_index, classify_nodes, classify_ways, classify_collections, one_element, slice_counts, block_stats, cluster_order,
-    union_elements, features, relation_areas, point_in_ring, orient_areas, ring_assembly, from_to, lifecycle, read_pruned, read_xml_files,
+    union_elements, features, relation_areas, turns, point_in_ring, orient_areas, ring_assembly, from_to, lifecycle, read_pruned, read_xml_files,
     read_pbf, read_o5m,
 ]
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from itertools import permutations
 
 import pytest
@@ -6,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from geochunk.functions.geometry import assemble_rings, in_ring, is_clockwise, is_closed, missing_point, open_ring, polygons, ring_in_ring, settle, turn_lines
+from geochunk.functions.geometry import assemble_rings, in_ring, is_clockwise, is_closed, missing_point, open_ring, polygons, ring_in_ring, settle, turn_lines, via_line
 from geochunk.functions.geometry import _inside as inside
 
 SQUARE = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
@@ -54,17 +55,42 @@ def test_rings_don_t_depend_on_the_order_of_lines(n, rnd):
     assert sorted(ring) == sorted(p for x in lines for p in x) and ring[0] == ring[-1]
 
 
-def test_ambiguous_junction_is_searched():
+def test_ambiguous_junction():
     a, b, c, d = (0, 0), (10, 0), (10, 10), (0, 10)
     lines = [[a, b], [b, (50, 50), b], [b, c], [c, d], [d, a]]
     for order in permutations(lines):
         got = assemble_rings(list(order))
         assert got is not None and sum(map(len, got)) == sum(map(len, lines))
-    # a wrong turn at b leads to a dead end and is taken back
     got = assemble_rings([[a, b], [b, d], [b, c], [c, d], [d, a], [d, b]])
     assert got is not None and all(r[0] == r[-1] for r in got)
 
 
+def test_many_lines_at_one_point():
+    star = [[(0, 0), (i, 1)] for i in range(40)]
+    assert assemble_rings(star) is None  # every far end is loose
+    assert assemble_rings([[(0, 0), (0, 1)]] * 41) is None
+    (*rings,) = assemble_rings([[(0, 0), (0, 1)]] * 40)
+    assert len(rings) == 20 and all(r[0] == r[-1] for r in rings)
+    petals = [[(0, 0), (i, 1)] for i in range(5000)] + [[(i, 1), (0, 0)] for i in reversed(range(5000))]
+    assert len(assemble_rings(petals)) == 5000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), max_size=7))
+def test_rings_exist_as_brute_force_says(pairs):
+    lines = [[(a, 0), (a, b + 9), (b, 0)] for a, b in pairs]
+
+    def closable(left, head, tail):
+        if head == tail:
+            return not left or closable(left[1:], left[0][0], left[0][-1])
+        return any(closable(left[:k] + left[k + 1 :], head, x[-1] if x[0] == tail else x[0]) for k, x in enumerate(left) if tail in (x[0], x[-1]))
+
+    got = assemble_rings(lines)
+    assert (got is not None) == closable(lines, 0, 0)
+    if got is not None:
+        assert all(r[0] == r[-1] for r in got) and sorted(p for r in got for p in r) == sorted(p for x in lines for p in x)
+
+
 def test_missing_nodes_join_only_themselves(spark):
     df = spark.createDataFrame([(5,), (6,), (-5,), (2**40,)], "ref bigint")
     p = [tuple(r[0]) for r in df.select(missing_point(F.col("ref"))).collect()]
@@ -106,6 +132,46 @@ def test_turns():
     assert turn_lines([[A, B]], [[]], [[B, C]]) == []
 
 
+points = st.integers(0, 4).map(lambda x: (x, 0))
+long_lines = st.lists(points, min_size=2, max_size=4)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(long_lines, max_size=3), st.lists(st.lists(points, min_size=1, max_size=3), min_size=1, max_size=3), st.lists(long_lines, min_size=1, max_size=3))
+def test_turns_are_a_product_of_their_parts(f, v, t):
+    base = via_line(v)
+    got = turn_lines(f, v, t, persist=False)
+    if base is None:
+        assert got == []
+        return
+    assert sorted(Counter(tuple(x) for part in v for x in part).keys()) == sorted(set(base))
+    want = []
+    for target in t:  # each pair by itself
+        for source in f or [None]:
+            want += turn_lines([source] if f else [], [base], [target]) if f else turn_lines([], [base], [target])
+    assert got == want
+    assert [len(x) for x in got] == [len(base) + 2] * len(got)
+    assert len(turn_lines(f, v, t)) == len(got) or any(x[0] != x[-1] for x in f)
+
+
+def test_via_lines():
+    assert via_line([[A, B]]) == [A, B]
+    assert via_line([[A, B], [B, C]]) == [C, B, A]  # several parts come out turned
+    assert via_line([[B, C], [A, B]]) == [C, B, A]  # goes on from the other end
+    assert via_line([[A, B], [D, C], [C, B]]) == [D, C, B, A] and via_line([[A, B], [C, D]]) is None
+    assert via_line([[A], [A]]) == [A] and via_line([[A], [B]]) is None
+    assert via_line([[A, B], [B, D], [B, C], [C, B]]) is None  # the next in order leads away from the others
+
+
+def test_turns_that_persist():
+    loop = [B, (9, 9), (8, 8), B]
+    assert turn_lines([loop], [[B]], [[B, C], [B, D]]) == [[(9, 9), B, C], [(8, 8), B, D]]
+    assert turn_lines([loop], [[B]], [[B, C], [B, D]], persist=False) == [[(9, 9), B, C], [(9, 9), B, D]]
+    back = [B, (5, 5), C]
+    assert turn_lines([back, back], [[B]], [[B, C]]) == [[(5, 5), C, B], [(5, 5), B, C]]
+    assert turn_lines([back, back], [[B]], [[B, C]], persist=False) == [[(5, 5), C, B]] * 2
+
+
 def test_closing_and_direction(spark):
     lines = [SQUARE, SQUARE[::-1], SQUARE[:-1], [(1, 1), (1, 1)], [], [(1, 1), (2, 2), (1, 1)]]
     big = [(x * 90000000, y * 40000000 + 100) for x, y in SQUARE]
