@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geochunk.config import Rule, Rules
@@ -17,17 +17,19 @@ def _text(word: str) -> str:
     return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _array(words) -> Column:
-    """A literal array; written as SQL, since a literal a call costs far more."""
-    return F.expr(f"array({', '.join(map(_text, words))})") if words else F.array().cast("array<string>")
+def _array(words) -> str:
+    return f"array({', '.join(map(_text, words))})" if words else "cast(array() as array<string>)"
 
 
-def _among(column: str, words) -> Column:
-    return F.expr(f"{column} IN ({', '.join(map(_text, words))})") if words else F.lit(False)
+def _among(column: str, words) -> str:
+    return f"{column} IN ({', '.join(map(_text, words))})" if words else "false"
 
 
-def _lookup(words: dict[str, int]) -> Column:
-    return F.expr(f"map({', '.join(f'{_text(k)}, {v}' for k, v in words.items())})")
+def _lookup(words: dict[str, int]) -> str:
+    return f"map({', '.join(f'{_text(k)}, {v}' for k, v in words.items())})"
+
+
+# Expressions over rules are written as SQL: a lambda or a literal made call by call costs far more planning than work.
 
 
 def matches(df: DataFrame, tags: str, rules: tuple[Rule, ...], prefixes: tuple[str, ...], out: str, one_element: bool) -> DataFrame:
@@ -38,62 +40,51 @@ def matches(df: DataFrame, tags: str, rules: tuple[Rule, ...], prefixes: tuple[s
     place = {p + r.key: i * _STEP + j for i, r in reversed(list(enumerate(rules))) for j, p in reversed(list(enumerate(prefixes)))}
     if not place:
         return df.withColumn(out, F.array().cast(_MATCHES))
-    listed = ", ".join(map(_text, place))
-    df = df.withColumn("_hits", F.expr(f"filter(map_keys({tags}), k -> k IN ({listed}))"))
-    spelt = _lookup(place)
-    df = df.withColumn("_hits", F.when(F.size("_hits") > 0, F.array_sort(F.transform("_hits", lambda k: F.element_at(spelt, k)))).otherwise(F.array().cast(_MATCHES)))
-    first = F.filter("_hits", lambda m, i: (i == 0) | (_key_ord(F.get("_hits", i - 1)) != _key_ord(m)))
-    return df.withColumn(out, F.slice(first, 1, 1) if one_element else first).drop("_hits")
-
-
-def _key_ord(m: Column) -> Column:
-    return F.floor(m / _STEP).cast("int")
+    df = df.withColumn("_hits", F.expr(f"filter(map_keys({tags}), k -> {_among('k', place)})"))
+    df = df.withColumn("_hits", F.expr(f"if(size(_hits) > 0, array_sort(transform(_hits, k -> element_at({_lookup(place)}, k))), cast(array() as {_MATCHES}))"))
+    first = f"filter(_hits, (m, i) -> i = 0 OR get(_hits, i - 1) div {_STEP} <> m div {_STEP})"
+    return df.withColumn(out, F.expr(f"slice({first}, 1, 1)" if one_element else first)).drop("_hits")
 
 
-def rewrite(df: DataFrame, found: Column, rules: tuple[Rule, ...], prefixes: tuple[str, ...]) -> DataFrame:
+def rewrite(df: DataFrame, found: str, rules: tuple[Rule, ...], prefixes: tuple[str, ...]) -> DataFrame:
     """``df`` with tags after the lifecycle rewrites of ``found``: ``pfx:key=v`` becomes ``key=v`` and ``lifecycle=pfx``,
     the last rewrite giving the lifecycle."""
     if not rules:
         return df
-    df = df.withColumn("_moved", F.filter(found, lambda m: m % _STEP > 0))
     keys, pre = _array([r.key for r in rules]), _array(prefixes)
-    names = F.transform("_moved", lambda m: F.struct(F.get(keys, _key_ord(m)).alias("key"), F.get(pre, m % _STEP).alias("prefix")))
-    df = df.withColumn("_moved", F.when(F.size("_moved") > 0, names))
-    gone = F.concat(F.transform("_moved", lambda n: F.concat(n["prefix"], n["key"])), F.transform("_moved", lambda n: n["key"]), F.array(F.lit("lifecycle")))
-    df = df.withColumn("_gone", gone)
-    kept = F.map_filter("tags", lambda k, v: ~F.array_contains("_gone", k))
-    put = F.map_from_entries(F.transform("_moved", lambda n: F.struct(n["key"], F.element_at("tags", F.concat(n["prefix"], n["key"])))))
-    last = F.rtrim(F.element_at("_moved", -1)["prefix"], F.lit(":"))
-    new = F.map_concat(kept, put, F.create_map(F.lit("lifecycle"), last))
-    return df.withColumn("tags", F.when(F.col("_moved").isNull(), F.col("tags")).otherwise(new)).drop("_moved", "_gone")
-
-
-def is_area_match(m: Column, tags: Column, rules: tuple[Rule, ...]) -> Column:
-    """Whether a match makes a closed way an area: area=yes or no decide, else the rule, turned round by its exceptions
+    name = f"named_struct('key', get({keys}, cast(m div {_STEP} as int)), 'prefix', get({pre}, m % {_STEP}))"
+    df = df.withColumn("_moved", F.expr(f"filter({found}, m -> m % {_STEP} > 0)"))
+    df = df.withColumn("_moved", F.expr(f"if(size(_moved) > 0, transform(_moved, m -> {name}), null)"))
+    df = df.withColumn("_gone", F.expr("concat(transform(_moved, n -> concat(n.prefix, n.key)), transform(_moved, n -> n.key), array('lifecycle'))"))
+    kept = "map_filter(tags, (k, v) -> NOT array_contains(_gone, k))"
+    put = "map_from_entries(transform(_moved, n -> named_struct('key', n.key, 'value', element_at(tags, concat(n.prefix, n.key)))))"
+    new = f"map_concat({kept}, {put}, map('lifecycle', rtrim(':', element_at(_moved, -1).prefix)))"
+    return df.withColumn("tags", F.expr(f"if(_moved IS NULL, tags, {new})")).drop("_moved", "_gone")
+
+
+def is_area_match(tags: str, rules: tuple[Rule, ...]) -> str:
+    """Whether a match m makes a closed way an area: area=yes or no decide, else the rule, turned round by its exceptions
     (which look at the plain key only)."""
-    key = F.get(_array([r.key for r in rules]), _key_ord(m))
+    key = f"get({_array([r.key for r in rules])}, cast(m div {_STEP} as int))"
     odd = [r.key + "=" + v for r in rules for v in r.exceptions]
-    exception = F.coalesce(F.array_contains(_array(odd), F.concat(key, F.lit("="), F.element_at(tags, key))), F.lit(False))
-    flagged = F.expr(f"array({', '.join(str(i) for i, r in enumerate(rules) if r.is_area)})").cast(_MATCHES)
-    area = F.coalesce(F.element_at(tags, "area"), F.lit(""))
-    return F.when(area == "yes", True).when(area == "no", False).otherwise(F.array_contains(flagged, _key_ord(m)) != exception)
+    exception = f"coalesce({_among(f"concat({key}, '=', element_at({tags}, {key}))", odd)}, false)"
+    flagged = [str(i) for i, r in enumerate(rules) if r.is_area]
+    area = f"m div {_STEP} IN ({', '.join(flagged)})" if flagged else "false"
+    return f"CASE coalesce(element_at({tags}, 'area'), '') WHEN 'yes' THEN true WHEN 'no' THEN false ELSE ({area}) <> {exception} END"
 
 
 def _blocks(df: DataFrame, kind: str, found: str, rules: tuple[Rule, ...], prefixes: tuple[str, ...]) -> DataFrame:
     """One row per match (or one for the ``other`` block) with block_key, slice_value, key_ord, value_ord and new tags."""
     values = {r.key + "=" + v: n for r in rules for n, v in enumerate(r.area_values if kind == "A" else r.values)}
-    df = rewrite(df, F.col(found), rules, prefixes)
-    ords = F.transform(found, _key_ord)
-    df = df.withColumn("key_ord", F.explode(F.when(F.size(found) > 0, ords).otherwise(F.array(F.lit(len(rules))))))
-    df = df.withColumn("block_key", F.get(_array([*(r.key for r in rules), ""]), F.col("key_ord"))).drop(found)
-    value = F.when(F.col("key_ord") < len(rules), F.element_at("tags", F.col("block_key")))
-    last = F.lit(1 << 30)
+    df = rewrite(df, found, rules, prefixes)
+    df = df.withColumn("key_ord", F.expr(f"explode(if(size({found}) > 0, transform({found}, m -> cast(m div {_STEP} as int)), array({len(rules)})))"))
+    df = df.withColumn("block_key", F.expr(f"get({_array([*(r.key for r in rules), ''])}, key_ord)")).drop(found)
     if not values:
-        return df.withColumn("slice_value", F.lit("")).withColumn("value_ord", last)
-    df = df.withColumn("_v", F.concat("block_key", F.lit("="), value))
-    df = df.withColumn("_listed", F.coalesce(_among("_v", values), F.lit(False)))
-    df = df.withColumn("slice_value", F.when(F.col("_listed"), value).otherwise(""))
-    return df.withColumn("value_ord", F.when(F.col("_listed"), F.element_at(_lookup(values), F.col("_v"))).otherwise(last)).drop("_v", "_listed")
+        return df.withColumns({"slice_value": F.lit(""), "value_ord": F.lit(1 << 30)})
+    df = df.withColumn("_v", F.expr(f"if(key_ord < {len(rules)}, element_at(tags, block_key), null)"))
+    df = df.withColumn("_listed", F.expr(f"coalesce({_among("concat(block_key, '=', _v)", values)}, false)"))
+    ordinal = f"if(_listed, element_at({_lookup(values)}, concat(block_key, '=', _v)), {1 << 30})"
+    return df.withColumns({"slice_value": F.expr("if(_listed, _v, '')"), "value_ord": F.expr(ordinal)}).drop("_v", "_listed")
 
 
 def classify(elements: DataFrame, rules: Rules, one_element: bool = False) -> DataFrame:
@@ -113,17 +104,18 @@ def classify(elements: DataFrame, rules: Rules, one_element: bool = False) -> Da
         plain.append(_blocks(d, kind, "_m", rs, pre))
     ways = matches(elements.where("type = 'W'"), "tags", w, pre, "_m", one_element)
     closed, none = is_closed("pts"), F.size("_m") == 0
-    ways = ways.withColumn("_a", F.when(closed, F.filter("_m", lambda m: is_area_match(m, F.col("tags"), w))).otherwise(F.array().cast(_MATCHES)))
+    area = F.expr(f"filter(_m, m -> {is_area_match('tags', w)})") if w else F.col("_m")
+    ways = ways.withColumn("_a", F.when(closed, area).otherwise(F.array().cast(_MATCHES)))
     other_area = none & closed & F.coalesce(F.element_at("tags", "area") == "yes", F.lit(False))
 
     areas = ways.where((F.size("_a") > 0) | other_area)
     areas = areas.withColumn("type", F.lit("A")).withColumn("pts", open_ring("pts")).drop("_m")
     areas = _blocks(areas, "A", "_a", w, pre)
 
-    first_line = _key_ord(F.get(F.array_except("_m", "_a"), F.lit(0)))
     lines = ways.where((F.size("_m") > F.size("_a")) | none & ~other_area)
-    lines = lines.withColumn("_a", F.when(none, F.array().cast(_MATCHES)).otherwise(F.filter("_a", lambda m: _key_ord(m) < first_line)))
-    lines = rewrite(lines, F.col("_a"), w, pre).drop("_m", "_a")
+    before = f"filter(_a, m -> m div {_STEP} < get(array_except(_m, _a), 0) div {_STEP})"
+    lines = lines.withColumn("_a", F.expr(f"if(size(_m) = 0, cast(array() as {_MATCHES}), {before})"))
+    lines = rewrite(lines, "_a", w, pre).drop("_m", "_a")
     lines = _blocks(matches(lines, "tags", w, pre, "_m", one_element), "W", "_m", w, pre)
     out = areas.unionByName(lines)
     for p in plain:

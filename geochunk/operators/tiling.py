@@ -27,28 +27,26 @@ def expand(spark: SparkSession, grids: Sequence[Grid]) -> DataFrame:
         x0, dx, nx, y0, dy, ny = (g.x0, g.dx, g.nx, g.y0, g.dy, g.ny) if g else (WORLD[0], WORLD[2] - WORLD[0], 1, WORLD[1], WORLD[3] - WORLD[1], 1)
         if nx * ny == 0:
             continue
-        n = F.col("id")
-        i, j = F.floor(n / ny).cast("long"), n % ny
-        t = spark.range(nx * ny).select(
-            (n + at).alias("raw_id"), *((c.cast("int").alias(a)) for c, a in ((i * dx + x0, "minlon"), (j * dy + y0, "minlat"), (i * dx + (x0 + dx), "maxlon"), (j * dy + (y0 + dy), "maxlat")))
-        )
+        edges = {"minlon": f"{x0} + (id div {ny}) * {dx}", "minlat": f"{y0} + (id % {ny}) * {dy}", "maxlon": f"{x0 + dx} + (id div {ny}) * {dx}", "maxlat": f"{y0 + dy} + (id % {ny}) * {dy}"}
+        t = spark.range(nx * ny).selectExpr(f"id + {at} raw_id", *(f"cast({e} as int) {n}" for n, e in edges.items()))
         out, at = t if out is None else out.unionByName(t), at + nx * ny
     return out
 
 
-def raw_tile(grids: Sequence[Grid], x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Ordinal of the first rectangle of the expanded grids that contains an envelope, inclusive on all sides; null if
+def raw_tile(grids: Sequence[Grid]) -> Column:
+    """Of the whole-number columns x0, y0, x1, y1 (bigint): ordinal of the first rectangle of the expanded grids that contains an envelope, inclusive on all sides; null if
     none does. Pure arithmetic: in a grid the first column (row) that ends at or after the envelope is the only one
     that can contain it."""
-    x0, y0, x1, y1 = (c.cast("long") for c in (x0, y0, x1, y1))
     tries, at = [], 0
     for g in (*grids, Grid(WORLD[0], WORLD[2] - WORLD[0], 1, WORLD[1], WORLD[3] - WORLD[1], 1)):
-        i = F.greatest(F.call_function("div", x1 - (g.x0 + 1), F.lit(g.dx).cast("long")), F.lit(0).cast("long"))
-        j = F.greatest(F.call_function("div", y1 - (g.y0 + 1), F.lit(g.dy).cast("long")), F.lit(0).cast("long"))
-        fits = (i < g.nx) & (j < g.ny) & (x0 >= g.x0 + i * g.dx) & (y0 >= g.y0 + j * g.dy) & (x1 <= g.x0 + (i + 1) * g.dx) & (y1 <= g.y0 + (j + 1) * g.dy)
-        tries.append(F.when(fits, at + i * g.ny + j))
+        i, j = f"greatest((x1 - {g.x0 + 1}L) div {g.dx}L, 0L)", f"greatest((y1 - {g.y0 + 1}L) div {g.dy}L, 0L)"
+        fits = (
+            f"{i} < {g.nx} AND {j} < {g.ny} AND x0 >= {g.x0} + {i} * {g.dx} AND y0 >= {g.y0} + {j} * {g.dy}"
+            f" AND x1 <= {g.x0} + ({i} + 1) * {g.dx} AND y1 <= {g.y0} + ({j} + 1) * {g.dy}"
+        )
+        tries.append(f"CASE WHEN {fits} THEN {at} + {i} * {g.ny} + {j} END")
         at += len(g)
-    return F.coalesce(*tries)
+    return F.expr(f"coalesce({', '.join(tries)})")
 
 
 def useful_tiles(spark: SparkSession, grids: Sequence[Grid], box: tuple[int, int, int, int] | None) -> DataFrame:
@@ -78,9 +76,10 @@ def assign_tiles(elements: DataFrame, grids: Sequence[Grid], tiles: DataFrame) -
     """
     n = tiles.count()
     box = envelope(F.col("pts"), F.coalesce(F.col("holes"), F.array().cast(elements.schema["holes"].dataType)))
-    e = elements.withColumns(dict(zip(("_x0", "_y0", "_x1", "_y1"), box)))
-    raw = F.when((F.col("type") != "C") & (F.col("_x1") < NOWHERE), raw_tile(grids, *map(F.col, ("_x0", "_y0", "_x1", "_y1"))))
-    e = e.withColumn("_raw", raw).drop("_x0", "_y0", "_x1", "_y1")
+    names = ("x0", "y0", "x1", "y1")
+    # in a struct of their own, so that no column of the elements is taken for one of them
+    e = elements.select(F.struct("*").alias("e"), *(c.cast("long").alias(n) for n, c in zip(names, box)))
+    e = e.select("e.*", F.when((F.col("e.type") != "C") & (F.col("x1") < NOWHERE), raw_tile(grids)).alias("_raw"))
     j = e.join(broadcast_checked(tiles.select(F.col("raw_id").alias("_raw"), "tile_id")), "_raw", "left").drop("_raw")
     empty = (F.col("type") != "C") & (F.size("pts") == 0)
     return j.withColumn("chunk_id", F.when(empty, F.lit(0)).otherwise(F.coalesce("tile_id", F.lit(n))).cast("int")).drop("tile_id")
