@@ -2,10 +2,14 @@
 
 1. Splitters are the nodes with other than one parent, and every ``every``-th of the rest by hash. A node between has
    one parent: its walk up to the next splitter is a pointer chain, followed by pointer doubling.
-2. Links into splitters, with those walks, are the reduced graph. Its cycles are found there (trimming, then colouring);
-   a cycle without any splitter shows as a walk that meets itself and is handled on its own.
+2. Links into splitters, with those walks, are the reduced graph. Its cycles are found there: stretches of nodes with one
+   link in are contracted by pointer doubling, again and again, since a link from what is known to lie on no cycle counts
+   no more; what is left, nodes all with several links from unknown ones, is trimmed and coloured. A cycle without any
+   splitter shows as a walk that meets itself and is handled on its own.
 3. Paths from the roots are solved on the reduced graph by path doubling and expanded by the walks.
-All rounds are joins on tables; nothing is gathered in one task or on the driver.
+All rounds are joins on tables; nothing is gathered in one task or on the driver. Doubling takes as many rounds as the
+logarithm of the longest stretch. Only the last resort of 2 takes a round per layer: layers of nodes that all have several
+links from nodes on, or below, cycles. (Above none, such layers double the number of paths, so they are few.)
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 from geochunk.session import materialize
 
 
-def _walks(graph: DataFrame, splitters: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _walks(graph: DataFrame, splitters: DataFrame, rounds: list[str]) -> tuple[DataFrame, DataFrame]:
     """For nodes with one parent that are no splitters: (node, top, path) with path from below the splitter ``top`` down
     to the node; and (node, loop) for nodes on a cycle without splitter. Nodes that hang below such a cycle are in neither.
     """
@@ -29,6 +33,7 @@ def _walks(graph: DataFrame, splitters: DataFrame) -> tuple[DataFrame, DataFrame
     active = state.where("not done and not loop")
     ready = state.where("not loop")
     while not active.isEmpty():
+        rounds.append("walk")
         up = ready.select(F.col("node").alias("u"), F.col("top").alias("t2"), F.col("path").alias("p2"), F.col("done").alias("d2"))
         j = active.join(up, active["top"] == up["u"]).select("node", F.col("t2").alias("top"), F.concat("p2", "path").alias("path"), F.col("d2").alias("done"))
         again = F.size(F.array_distinct("path")) < F.size("path")
@@ -47,10 +52,11 @@ def _walks(graph: DataFrame, splitters: DataFrame) -> tuple[DataFrame, DataFrame
     return materialize(walks, "walks"), materialize(on, "loops")
 
 
-def _trim(edges: DataFrame) -> DataFrame:
+def _trim(edges: DataFrame, rounds: list[str]) -> DataFrame:
     """Edges (s, t) among nodes that have links in and out, recursively; self links stay."""
     n = edges.count()
     while n:
+        rounds.append("trim")
         ins, outs = edges.select(F.col("s").alias("k")).distinct(), edges.select(F.col("t").alias("k")).distinct()
         edges = edges.join(outs, edges["s"] == outs["k"], "left_semi").join(ins, edges["t"] == ins["k"], "left_semi")
         edges = materialize(edges, "trim")
@@ -61,18 +67,19 @@ def _trim(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _components(edges: DataFrame) -> DataFrame:
+def _core(edges: DataFrame, rounds: list[str]) -> DataFrame:
     """(node, scc) of all nodes on cycles of the links s -> t, scc being the smallest node of the component.
 
-    Colouring: every node takes the smallest node that reaches it; those of one colour that reach its origin back are a
+    Trimming, then colouring: every node takes the smallest node that reaches it; those of one colour that reach its origin back are a
     component. What is found is removed, the rest trimmed and coloured again.
     """
     found = edges.select(F.col("s").alias("node"), F.col("s").alias("scc")).limit(0)
-    edges = _trim(edges.select("s", "t").distinct())
+    edges = _trim(edges, rounds)
     while not edges.isEmpty():
         nodes = edges.select(F.col("s").alias("node")).union(edges.select("t")).distinct()
         color = materialize(nodes.withColumn("c", F.col("node")), "color")
         while True:
+            rounds.append("color")
             pushed = edges.join(color, edges["s"] == color["node"]).groupBy("t").agg(F.min("c").alias("m"))
             new = color.join(pushed, color["node"] == pushed["t"], "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved"))
             new = materialize(new, "color")
@@ -85,6 +92,7 @@ def _components(edges: DataFrame) -> DataFrame:
         inside = materialize(color.where("node = c"), "back")
         frontier = inside
         while not frontier.isEmpty():
+            rounds.append("back")
             f = frontier.select(F.col("node").alias("fn"), F.col("c").alias("fc"))
             up = same.join(f, (same["t"] == F.col("fn")) & (same["c"] == F.col("fc"))).select(F.col("s").alias("node"), "c").distinct()
             frontier = materialize(up.join(inside, ["node", "c"], "left_anti"), "back")
@@ -96,11 +104,59 @@ def _components(edges: DataFrame) -> DataFrame:
         found = materialize(found.unionByName(scc), "scc")
         gone = inside.select(F.col("node").alias("k"))
         edges = edges.join(gone, edges["s"] == gone["k"], "left_anti").join(gone, edges["t"] == gone["k"], "left_anti")
-        edges = _trim(materialize(edges, "rest"))
+        edges = _trim(materialize(edges, "rest"), rounds)
     return found
 
 
-def hierarchies(links: DataFrame, parent: str = "parent", child: str = "child", every: int = 8) -> DataFrame:
+def _cyclic(edges: DataFrame, rounds: list[str]) -> DataFrame:
+    """(node, scc) of all nodes on cycles of the distinct links s -> t (a written table); nodes of one cycle, or of cycles
+    that meet, share scc, which is one of them.
+
+    Nodes with one link in are stretches: doubled pointers lead up to a root (no cycle then), to a node with several
+    links in, or for ever round (a cycle, all of whose nodes have one link in; after more steps than there are nodes,
+    every pointer stands on it). Between nodes with several links in, each stretch counts as one link; links from roots,
+    and from cycles already found, lie on no further cycle and are dropped. So fewer links are left, treated the same way.
+    """
+    ins = materialize(edges.groupBy("t").agg(F.count("*").alias("n"), F.min("s").alias("up")), "links-in")
+    one = ins.where("n = 1").select(F.col("t").alias("node"), "up")
+    is_one = one.select(F.col("node").alias("o"))
+    start = one.join(is_one, one["up"] == F.col("o"), "left").select("node", "up", F.col("node").alias("low"), F.col("o").isNull().alias("done"))
+    state = materialize(start, "stretch")
+    jumps, steps = [], 1
+    active = state.where("not done")
+    n_active = active.count()
+    while n_active and steps <= 2 * n_active:
+        rounds.append("stretch")
+        jumps.append(active.select(F.col("node").alias("k"), "up"))
+        above = state.select(F.col("node").alias("a"), F.col("up").alias("up2"), F.col("low").alias("low2"), F.col("done").alias("done2"))
+        moved = active.join(above, active["up"] == above["a"]).select("node", F.col("up2").alias("up"), F.least("low", "low2").alias("low"), F.col("done2").alias("done"))
+        state = materialize(state.where("done").unionByName(moved), "stretch")
+        active, steps = state.where("not done"), steps * 2
+        n_active = active.count()
+    round_ = active.select(F.col("up").alias("k")).distinct()
+    found = active.join(round_, active["node"] == round_["k"]).select("node", F.col("low").alias("scc"))
+
+    many = ins.where("n > 1").select(F.col("t").alias("m"))
+    into = edges.join(many, edges["t"] == many["m"]).select("s", "t")
+    tops = state.where("done").select("node", "up")
+    through = into.join(tops, into["s"] == tops["node"], "left").select(F.coalesce("up", "s").alias("s"), "t", F.when(F.col("node").isNotNull(), F.col("s")).alias("via"))
+    through = materialize(through.join(many.withColumnRenamed("m", "m2"), F.col("s") == F.col("m2"), "left_semi"), "through")
+    rest = materialize(through.select("s", "t").distinct(), "rest")
+    n_rest = rest.count()
+    if not n_rest:
+        return found
+    sub = materialize((_cyclic if 10 * n_rest < 9 * edges.count() else _core)(rest, rounds), "scc")
+    a, b = sub.select(F.col("node").alias("s"), F.col("scc").alias("cs")), sub.select(F.col("node").alias("t"), F.col("scc").alias("ct"))
+    on = through.where("via is not null").join(a, "s").join(b, "t").where("cs = ct").select(F.col("via").alias("node"), F.col("cs").alias("scc")).distinct()
+    on = materialize(on, "on")
+    if not on.isEmpty():
+        for j in jumps:  # a stretch lies on the cycle from its link down up to its top
+            rounds.append("mark")
+            on = materialize(on.unionByName(on.join(j, on["node"] == j["k"]).select(F.col("up").alias("node"), "scc")).distinct(), "on")
+    return found.unionByName(sub).unionByName(on)
+
+
+def hierarchies(links: DataFrame, parent: str = "parent", child: str = "child", every: int = 8, rounds: list[str] | None = None) -> DataFrame:
     """(kind, root_id, node_id, depth, path) of all nodes that have a link.
 
     kind ``path``: a root is a node with links down and none up, not on a cycle; one row per downward path from it to
@@ -108,7 +164,9 @@ def hierarchies(links: DataFrame, parent: str = "parent", child: str = "child",
     cycle; a node reached by several paths has a row for each. kind ``cycle``: each node that can reach itself;
     root_id is the smallest id it can reach and be reached from, depth -1, path empty.
     Repeated links are one link; links with a null end are none; empty input gives no rows; further columns are ignored.
+    Each round of joins adds its name to ``rounds``.
     """
+    rounds = [] if rounds is None else rounds
     g = links.select(F.col(parent).alias("parent"), F.col(child).alias("child")).dropna().distinct()
     g = materialize(g, "links")
     if g.isEmpty():
@@ -118,7 +176,7 @@ def hierarchies(links: DataFrame, parent: str = "parent", child: str = "child",
     chosen = F.col("n").isNull() | (F.col("n") > 1) | (F.pmod(F.xxhash64("s"), F.lit(every)) == 0)
     marked = materialize(nodes.where(chosen).select("s", F.col("n").isNull().alias("root")), "splitters")
     splitters = marked.select("s")
-    walks, loops = _walks(g, splitters)
+    walks, loops = _walks(g, splitters, rounds)
 
     # the reduced graph: child splitter s, parent splitter t, path from below t down to s
     into = g.join(splitters, g["child"] == splitters["s"]).select("s", "parent")
@@ -129,7 +187,7 @@ def hierarchies(links: DataFrame, parent: str = "parent", child: str = "child",
     ).where("t is not null")
     reduced = materialize(reduced, "reduced")
 
-    scc = _components(reduced.select("t", "s").toDF("s", "t"))
+    scc = materialize(_cyclic(materialize(reduced.select("t", "s").toDF("s", "t").distinct(), "edges"), rounds), "scc")
     a, b = scc.select(F.col("node").alias("s"), F.col("scc").alias("cs")), scc.select(F.col("node").alias("t"), F.col("scc").alias("ct"))
     between = reduced.join(a, "s").join(b, "t").where("cs = ct").select(F.explode("path").alias("node"), F.col("cs").alias("scc"))
     cyclic = scc.unionByName(between).distinct()
@@ -146,6 +204,7 @@ def hierarchies(links: DataFrame, parent: str = "parent", child: str = "child",
     done = [state.where("done").select("s", "t", "path")]
     active = state.where("not done")
     while not active.isEmpty():
+        rounds.append("path")
         up = state.select(F.col("s").alias("u"), F.col("t").alias("t2"), F.col("path").alias("p2"), F.col("done").alias("d2"))
         new = active.join(up, active["t"] == up["u"]).select("s", F.col("t2").alias("t"), F.concat("p2", "path").alias("path"), F.col("d2").alias("done"))
         new = materialize(new, "paths")

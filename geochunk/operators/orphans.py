@@ -37,53 +37,78 @@ def references(ways: DataFrame, relations: DataFrame) -> DataFrame:
     return w.unionByName(r)
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """``df``, never to be broadcast: it grows with the data, however small its compressed file looks to the planner."""
+    return df.hint("shuffle_merge")
+
+
 def orphan_references(refs: DataFrame, known: DataFrame) -> DataFrame:
     """References whose target is ``missing``, ``deleted`` or ``late`` (loaded first after the referring row).
 
     First the distinct targets are made from all references, combined map-side with their earliest referring time, and
     joined with ``known``: both sides have unique keys, so a target named by a third of all rows is one row there. Only
-    targets that are bad for some reference (few, at any size) then meet the references again.
-    A null loaded_at is never late.
+    targets that are bad for some reference (few, at any size) then meet the references again, by a shuffle join whose
+    hot partitions AQE splits. A null loaded_at is never late.
     """
     named = refs.groupBy("ref_type", "ref_id").agg(F.min("loaded_at").alias("named_at"))
-    j = named.join(known, ["ref_type", "ref_id"], "left")
+    j = named.join(_apart(known), ["ref_type", "ref_id"], "left")
     state = F.when(F.col("live").isNull(), "missing").when(~F.col("live"), "deleted").when(F.col("first_loaded") > F.col("named_at"), "late")
     bad = materialize(j.withColumn("ref_state", state).where("ref_state is not null").select("ref_type", "ref_id", "ref_state", "first_loaded"), "bad-targets")
-    hit = refs.join(bad, ["ref_type", "ref_id"])
+    hit = refs.join(_apart(bad), ["ref_type", "ref_id"])
     return hit.where((F.col("ref_state") != "late") | (F.col("first_loaded") > F.col("loaded_at"))).drop("first_loaded")
 
 
-def orphan_cascade(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
-    """All orphaned references of live rows: src_table, month_key, src_id, ref_type, ref_id, ref_state, orphan, level.
+class OrphanCascade:
+    """Orphaned references of live rows, level by level; each level is worked out when it is asked for.
 
     ``direct`` (level 0): the target is missing, deleted or late. ``inherited``: the target exists but is itself a row
     with an orphaned reference; ref_state is then ``inherited`` and level the number of links down to the nearest direct
-    orphan. The cascade goes up the reference graph by one semi-join a round until no row is new; a round handles only
-    rows found in the one before, so circular references end it too. month_key is YYYY-MM of the referring current
-    row's loaded_at, null where that is null. Empty tables give no rows; further columns are ignored.
+    orphan. ``rows``: both. Columns: src_table, month_key (YYYY-MM of the referring current row's loaded_at, null where
+    that is null), src_id, ref_type, ref_id, ref_state, orphan, level. Empty tables give no rows; further columns are
+    ignored.
     """
-    refs = materialize(references(ways, relations), "references")
-    direct = materialize(orphan_references(refs, targets(nodes, ways, relations)), "direct")
-    # only relations name ways or relations, so only those references can carry a state upward
-    upward = refs.where("ref_type <> 'node'")
-    source = F.when(F.col("src_table") == "ways", "way").otherwise("relation")
-    as_target = lambda d: d.select(source.alias("ref_type"), F.col("src_id").alias("ref_id")).distinct()
-    bad = direct.select("src_table", "src_id", "ref_type", "ref_id")
-    upward = upward.join(bad, ["src_table", "src_id", "ref_type", "ref_id"], "left_anti")
-    upward = materialize(upward, "upward")
-    frontier = materialize(as_target(direct).withColumn("level", F.lit(0)), "frontier-0")
-    seen, level = frontier, 0
-    while not frontier.isEmpty():
-        level += 1
-        hit = upward.join(frontier.select("ref_type", "ref_id"), ["ref_type", "ref_id"], "left_semi")
-        new = as_target(hit).join(seen.select("ref_type", "ref_id"), ["ref_type", "ref_id"], "left_anti")
-        frontier = materialize(new.withColumn("level", F.lit(level)), f"frontier-{level}")
-        seen = seen.unionByName(frontier)
-        if level % 8 == 0:  # keeps the plan small however deep the references nest
-            seen = materialize(seen, f"seen-{level}")
-    # a row found in round n passes its state on to whatever names it
-    inherited = upward.join(seen, ["ref_type", "ref_id"]).withColumn("level", F.col("level") + 1)
-    inherited = inherited.withColumn("ref_state", F.lit("inherited")).withColumn("orphan", F.lit("inherited"))
-    out = direct.withColumn("orphan", F.lit("direct")).withColumn("level", F.lit(0)).unionByName(inherited)
-    month = F.date_format("loaded_at", "yyyy-MM")
-    return out.select("src_table", month.alias("month_key"), "src_id", "ref_type", "ref_id", "ref_state", "orphan", "level")
+
+    def __init__(self, nodes: DataFrame, ways: DataFrame, relations: DataFrame):
+        self._refs = materialize(references(ways, relations), "references")
+        self._direct = orphan_references(self._refs, targets(nodes, ways, relations))
+
+    @staticmethod
+    def _shown(df: DataFrame) -> DataFrame:
+        month = F.date_format("loaded_at", "yyyy-MM")
+        return df.select("src_table", month.alias("month_key"), "src_id", "ref_type", "ref_id", "ref_state", "orphan", "level")
+
+    def direct(self) -> DataFrame:
+        return self._shown(self._direct.withColumn("orphan", F.lit("direct")).withColumn("level", F.lit(0)))
+
+    def inherited(self) -> DataFrame:
+        """The fixpoint: one semi-join a round goes up the reference graph until no row is new. A round handles only
+        rows found in the one before, so circular references end it too; there are as many as references nest."""
+        self._direct = materialize(self._direct, "direct")
+        source = F.when(F.col("src_table") == "ways", "way").otherwise("relation")
+        as_target = lambda d: d.select(source.alias("ref_type"), F.col("src_id").alias("ref_id")).distinct()
+        bad = self._direct.select("src_table", "src_id", "ref_type", "ref_id")
+        # only relations name ways or relations, so only those references can carry a state upward
+        upward = self._refs.where("ref_type <> 'node'").join(_apart(bad), ["src_table", "src_id", "ref_type", "ref_id"], "left_anti")
+        upward = materialize(upward, "upward")
+        frontier = materialize(as_target(self._direct).withColumn("level", F.lit(0)), "frontier-0")
+        seen, level = frontier, 0
+        while not frontier.isEmpty():
+            level += 1
+            hit = upward.join(_apart(frontier.select("ref_type", "ref_id")), ["ref_type", "ref_id"], "left_semi")
+            new = as_target(hit).join(_apart(seen.select("ref_type", "ref_id")), ["ref_type", "ref_id"], "left_anti")
+            frontier = materialize(new.withColumn("level", F.lit(level)), f"frontier-{level}")
+            seen = seen.unionByName(frontier)
+            if level % 8 == 0:  # keeps the plan small however deep the references nest
+                seen = materialize(seen, f"seen-{level}")
+        # a row found in round n passes its state on to whatever names it
+        out = upward.join(_apart(seen), ["ref_type", "ref_id"]).withColumn("level", F.col("level") + 1)
+        return self._shown(out.withColumn("ref_state", F.lit("inherited")).withColumn("orphan", F.lit("inherited")))
+
+    def rows(self) -> DataFrame:
+        inherited = self.inherited()
+        return self.direct().unionByName(inherited)
+
+
+def orphan_cascade(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
+    """All rows of the cascade, direct and inherited (see OrphanCascade)."""
+    return OrphanCascade(nodes, ways, relations).rows()

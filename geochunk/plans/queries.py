@@ -16,7 +16,7 @@ from geochunk.operators.classify import classify
 from geochunk.operators.elements import all_live_tags, live, located
 from geochunk.operators.hierarchy import hierarchies
 from geochunk.operators.hotkeys import first_tile, salted_aggregate
-from geochunk.operators.orphans import orphan_cascade
+from geochunk.operators.orphans import OrphanCascade
 from geochunk.operators.proximity import near_pairs, points_in_regions
 from geochunk.operators.tiling import assign_tiles, bbox as bbox_of
 from geochunk.plans.convert import convert, data_tiles, staged
@@ -153,19 +153,19 @@ def p5_tiles(spark: SparkSession, d: str) -> DataFrame:
 # --- orphans ----------------------------------------------------------------------------------------------------------
 
 
-def _cascade(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_cascade(load(spark, d, "nodes"), load(spark, d, "ways"), load(spark, d, "relations"))
+def _cascade(spark: SparkSession, d: str) -> OrphanCascade:
+    return OrphanCascade(load(spark, d, "nodes"), load(spark, d, "ways"), load(spark, d, "relations"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """The direct orphans of the cascade."""
-    return _cascade(spark, d).where("orphan = 'direct'").select("src_table", "month_key", "src_id", "ref_type", "ref_id", "ref_state")
+    """Level 0 of the cascade; what is inherited from it is no case here and is not worked out."""
+    return _cascade(spark, d).direct().select("src_table", "month_key", "src_id", "ref_type", "ref_id", "ref_state")
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Direct and inherited orphans per table, month and state: references, and rows that hold them."""
     by = ["src_table", "month_key", "orphan", "ref_state"]
-    rows = _cascade(spark, d).groupBy(*by, "src_id").agg(F.count("*").alias("n"))
+    rows = _cascade(spark, d).rows().groupBy(*by, "src_id").agg(F.count("*").alias("n"))
     return rows.groupBy(*by).agg(F.sum("n").alias("n_refs"), F.count("*").alias("n_rows"))
 
 

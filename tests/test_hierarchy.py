@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -69,3 +70,24 @@ def test_long_chain_and_nothing(spark):
     assert len(got) == 301 and max(r["depth"] for r in got) == 300
     assert [r["path"] for r in got if r["depth"] == 300] == [list(range(301))]
     assert hierarchies(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1000])
+def test_rounds_grow_with_the_logarithm(spark, n):
+    def run(links):
+        rounds = []
+        got = hierarchies(spark.createDataFrame(links, "parent bigint, child bigint"), rounds=rounds)
+        return got.groupBy("kind").count().collect(), rounds
+
+    most = 2 * math.log2(n) + 10  # besides, the walks between splitters: some ten nodes
+    got, rounds = run([(i, i + 1) for i in range(n)])
+    assert got == [("path", n + 1)] and len(rounds) <= most
+    got, rounds = run([(i, (i + 1) % (5 * n)) for i in range(5 * n)])
+    assert got == [("cycle", 5 * n)] and len(rounds) <= most
+    # a long tail below a cycle, a cycle of two stretches, and a chain in which every node has a root of its own besides
+    got, rounds = run([(i, (i + 1) % 3) for i in range(3)] + [(i, i + 1) for i in range(2, n)])
+    assert got == [("cycle", 3)] and len(rounds) <= most
+    got, rounds = run([(i, (i + 1) % n) for i in range(n)] + [(0, n // 2)])
+    assert got == [("cycle", n)] and len(rounds) <= 2 * most
+    got, rounds = run([(i, i + 1) for i in range(200)] + [(1000 + i, i + 1) for i in range(200)])
+    assert got == [("path", 200 + 201 * 202 // 2)] and len(rounds) <= most
