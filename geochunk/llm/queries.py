@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geochunk.llm.encoding import fit, garbled_documents
-from geochunk.llm.mixing import mix_sources, shares_reached
+from geochunk.llm.mixing import BLOCK, mix_sources, shares_reached
 from geochunk.llm.packing import fill_containers
 from geochunk.llm.pairs import cooccurrence
 from geochunk.llm.terms import term_frequencies
 from geochunk.llm.tokens import token_counts
 from geochunk.operators.elements import all_live_tags, with_terms
-from geochunk.session import load
+from geochunk.session import load, materialize
 
 
 def _live_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +63,22 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return c.select("capacity_tokens", "n_tokens", "n_containers", least.alias("least"), (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("filled"))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the packing, per container size: documents packed, and how many of them are not there whole and
+    once or are split though they would fit; containers overfull; and whether at most one container isn't over half full."""
+    sizes = materialize(token_counts(load(spark, d, "documents")), "sized")
+    packed = materialize(fill_containers(sizes, load(spark, d, "containers")), "packed")
+    docs = packed.groupBy("capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("n"), F.countDistinct("piece_no").alias("pieces"))
+    docs = docs.join(sizes.withColumnRenamed("n_tokens", "size"), "doc_id", "full")
+    c = F.col("capacity_tokens")
+    wrong = F.coalesce((F.col("got") != F.col("size")) | (F.col("n") != F.col("pieces")), F.lit(True))
+    split = (F.col("size") <= c) & (F.col("n") > 1)
+    a = docs.groupBy(c).agg(F.count("*").alias("n_documents"), F.count_if(wrong).alias("n_wrong"), F.count_if(split).alias("n_split"))
+    full = packed.where("container_no is not null").groupBy(c, "container_no").agg(F.sum("n_tokens").alias("filled"))
+    b = full.groupBy(c).agg(F.count_if(F.col("filled") > c).alias("n_overfull"), (F.count_if(2 * F.col("filled") <= c) <= 1).alias("tight"))
+    return a.join(b, "capacity_tokens")
+
+
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(token_counts(load(spark, d, "documents"), ("doc_id", "source")), load(spark, d, "mix_targets"))
 
@@ -77,6 +93,24 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares_reached(_mixture(spark, d), load(spark, d, "mix_targets"))
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mixture, per source wanted: whether it takes part (it has text), whether its documents are
+    its own and none comes more often than allowed, and whether its share is met within a few blocks or long documents."""
+    sizes = materialize(token_counts(load(spark, d, "documents"), ("doc_id", "source")), "sized")
+    targets = load(spark, d, "mix_targets")
+    mix = materialize(mix_sources(sizes, targets), "mixture")
+    own = sizes.select("doc_id", F.col("source").alias("true_source"), F.col("n_tokens").alias("size"))
+    times = mix.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.max("n_tokens").alias("n_tokens")).join(own, "doc_id")
+    rows = times.groupBy("source").agg(F.max("n").alias("most"), F.bool_and((F.col("source") == F.col("true_source")) & (F.col("size") == F.col("n_tokens"))).alias("own"), F.max("size").alias("longest"))
+    j = shares_reached(mix, targets).join(targets.groupBy("source").agg(F.max("max_repeat").alias("max_repeat")), "source").join(rows, "source", "left")
+    part = F.col("n_tokens") > 0
+    alone = j.agg(F.sum("n_tokens").alias("total"), F.sum(F.when(part, F.col("target_share"))).alias("weight"))  # one row
+    j = j.join(F.broadcast(alone))
+    off = F.abs(F.col("n_tokens") - F.col("total") * F.col("target_share") / F.col("weight"))
+    met = ~part | (off <= 3 * F.greatest(F.col("longest"), F.lit(BLOCK)) + F.col("total") * 0.01)
+    return j.select("source", part.alias("takes_part"), (~part | F.col("own") & (F.col("most") <= F.col("max_repeat"))).alias("sound"), met.alias("met"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents some of whose text was decoded wrongly."""
     docs = load(spark, d, "documents")
@@ -96,8 +130,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_pairs": p2_pairs,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_checks": p8_checks,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_checks": p9_checks,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }

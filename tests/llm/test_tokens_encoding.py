@@ -5,6 +5,7 @@ import pytest
 
 from geochunk.llm import encoding as E
 from geochunk.llm.tokens import VOCABULARY, count_tokens, encoder, token_counts
+from tests.llm.heldout import measure
 
 LINES = {
     "en": ["The naïve estimate by Ødegård and Müller holds for every Čech complex – see the résumé.", "Costs rose from 3 € to 5 € per unit, £2 net of ¥ and ¢.", "A façade of Señor Žižek’s café."],
@@ -76,10 +77,51 @@ def test_gain_is_where_viterbi_leaves_the_clean_state(tables):
     texts = [t for _, t in corpus(60, 7)] + [E.PAIRS[rnd.randrange(len(E.PAIRS))].garble(t) or t for _, t in corpus(60, 8)]
     for t in texts:
         _, p, c = E.symbols(E.hide_quotes(t))
-        assert (tables.gain(tables.rows(p, c)) > 0) == any(n != "lost" for *_, n in tables.spans(t))
+        assert (tables.gain(tables.rows(p, c)) > 0) == bool(tables.spans(t))
     assert [bool(x) for x in E._flag(tables, [*texts, None, ""])] == [tables.suspicious(t) for t in texts] + [False, False]
 
 
+def test_blocks_give_what_the_whole_gives(tables, monkeypatch):
+    texts = [t for _, t in corpus(15, 11)] + [E.PAIRS[i].garble(t) or t for i, (_, t) in enumerate(corpus(40, 12))] + ["a\ufffdb\ufffd\ufffd " + t for _, t in corpus(5, 13)]
+    want = [(round(tables.gain(tables.rows(*E.symbols(t)[1:])), 6), tables.spans(t)) for t in texts]
+    for steps in (1, 7, 64):
+        monkeypatch.setattr(E, "_STEPS", steps)
+        assert [(round(tables.gain(tables.rows(*E.symbols(t)[1:])), 6), tables.spans(t)) for t in texts] == want
+
+
+def test_lost_characters_are_a_state(tables):
+    assert tables.spans("one \ufffd\ufffd two \ufffd") == [(4, 6, "lost"), (11, 12, "lost")]
+    assert tables.restored("K. Vel\ufffdn") == ("K. Vel\ufffdn", [])
+    assert not tables.suspicious(r"\verb|\ufffd|".replace(r"\ufffd", "\ufffd"))
+    bare = E.Tables([t for _, t in corpus(200, 1)], quoted="")
+    assert bare.suspicious(r"\verb|x|".replace("x", "\ufffd"))
+
+
+@pytest.mark.parametrize("char", ["\u00a0", "\u00a9", "\u00ab", "\u00b0", "\U0001f600", "\U0001d49c", "\u2013"])
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "cp1251"])
+def test_first_bytes_the_sample_lacks(tables, char, wrong):
+    p = E.Pair("utf-8", wrong)
+    text = f"a note {char} of the year"
+    garbled = p.garble(text)
+    assert tables.suspicious(garbled)
+    if len(char.encode()) > 2:  # of a lone character that clean text lacks, two bytes may have come of many pairs
+        assert char in tables.restored(garbled)[0]
+
+
+def test_misread_many_times(tables):
+    p, text = E.Pair("utf-8", "cp1252"), LINES["de"][0]
+    many = text
+    for _ in range(6):
+        many = p.garble(many)
+    assert tables.suspicious(many) and tables.restored(many)[0] == text
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_recall_and_precision_held_out():
+    m = measure("/root/testdata/sf0.01")
+    assert m["garbled"] > 150 and m["clean"] > 150 and m["recall"] >= 0.9 and m["precision"] >= 0.9
+
+
 def test_pairs_undo_themselves():
     for p in E.PAIRS:
         if not p.stripped:
