@@ -90,30 +90,6 @@ class Rules:
         return True
 
 
-def _is_indented(text: str) -> bool:
-    return any(line.strip() in ("NODE", "WAY", "COLLECTION", "LIFECYCLE") for line in text.splitlines())
-
-
-def parse_rules(text: str) -> Rules:
-    """Rules in either notation: the shipped one ([kind] and lines ``key | flags | exceptions | values | area values``),
-    or blocks by indentation under NODE, WAY, COLLECTION and LIFECYCLE."""
-    if _is_indented(text):
-        return _parse_indented(text)
-    kinds: dict[str, list] = {"node": [], "way": [], "collection": [], "lifecycle": []}
-    kind = ""
-    for line in text.splitlines():
-        if not line.strip() or line.startswith("#"):
-            continue
-        if line.startswith("["):
-            kind = line.strip("[] \t")
-        elif kind == "lifecycle":
-            kinds[kind].append(line.strip() + ":")
-        else:
-            key, flags, exceptions, values, areas = ([x.strip() for x in line.split("|")] + [""] * 5)[:5]
-            kinds[kind].append(Rule(key, "area" in flags.split(), *(tuple(x.split()) for x in (exceptions, values, areas))))
-    return Rules(*(tuple(kinds[k]) for k in ("node", "way", "collection")), ("", *kinds["lifecycle"]))
-
-
 @dataclass
 class _Open:
     key: str
@@ -124,7 +100,9 @@ class _Open:
         return Rule(self.key, self.is_area, tuple(self.lists["EXCEPTIONS"]), tuple(self.lists[""] + self.lists["WAY"]), tuple(self.lists["AREA"]))
 
 
-def _parse_indented(text: str) -> Rules:
+def parse_rules(text: str) -> Rules:
+    """Blocks by indentation under NODE, WAY, COLLECTION and LIFECYCLE: keys, and under a key its values; under a key of
+    ways IS_AREA, and the values below EXCEPTIONS, WAY and AREA. Blank lines and lines starting with # are skipped."""
     kinds: dict[str, list] = {"NODE": [], "WAY": [], "COLLECTION": [], "LIFECYCLE": []}
     kind, part, steps = "", "", {}
     for line in text.splitlines():

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geochunk.config import Rule, Rules
 from geochunk.functions.geometry import is_closed, open_ring
@@ -92,10 +94,11 @@ def classify(elements: DataFrame, rules: Rules, one_element: bool = False) -> Da
 
     An element comes once for each key it matches. Closed ways are split: matches that make them areas give rows of type
     A (ring open, tags with those matches' rewrites), any other match, or none, one pass as a way with the tags rewritten
-    so far. Areas of relations match by key alone.
+    so far. Areas of relations match by key alone. Where a lifecycle rewrite can make or undo the match of another rule
+    (a key that starts with a prefix, is ``lifecycle`` or is listed twice), rules are taken one after the other instead.
     """
     if not rules.independent():
-        raise ValueError("rules whose lifecycle rewrites touch other rules are not supported: a key may not start with a prefix, be 'lifecycle' or be listed twice")
+        return _classify_in_order(elements, rules, one_element)
     pre, w = rules.prefixes, rules.way
     plain = []
     for kind in ("N", "A", "C"):
@@ -121,3 +124,71 @@ def classify(elements: DataFrame, rules: Rules, one_element: bool = False) -> Da
     for p in plain:
         out = out.unionByName(p)
     return out
+
+
+# --- rules that touch each other --------------------------------------------------------------------------------------
+
+
+def fold(tags: dict[str, str], rules: tuple[Rule, ...], prefixes: tuple[str, ...], one_element: bool, closed: bool | None) -> tuple[list[int], dict | None]:
+    """Rules applied in order, each to the tags its predecessors left: ordinals of those that took the element in (of the
+    ``other`` block len(rules)), and the tags of the line it passes on as, or None. ``tags`` are changed in place.
+
+    closed: None takes everything that matches; else, of a way, only what makes it an area."""
+    taken, line, matched = [], None, False
+    area = tags.get("area")
+    for j, r in enumerate(rules):
+        prefix = next((p for p in prefixes if p + r.key in tags), None)
+        if prefix is None:
+            continue
+        matched = True
+        if closed is not None and not (closed and (area == "yes" or area != "no" and r.is_area != (tags.get(r.key) in r.exceptions))):
+            line = dict(tags) if line is None else line
+        else:
+            if prefix:
+                tags["lifecycle"] = prefix[:-1]
+                tags[r.key] = tags[prefix + r.key]
+                del tags[prefix + r.key]
+            taken.append(j)
+        if one_element:
+            break
+        area = tags.get("area")
+    if not matched:
+        if closed is None or closed and area == "yes":
+            taken.append(len(rules))
+        else:
+            line = dict(tags)
+    return taken, line
+
+
+def _classify_in_order(elements: DataFrame, rules: Rules, one_element: bool) -> DataFrame:
+    """classify by an Arrow UDF over the tags, for rules that touch each other."""
+    entry = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("ords", T.ArrayType(T.IntegerType())), T.StructField("tags", T.MapType(T.StringType(), T.StringType()))]))
+    kind = pa.list_(pa.struct([("type", pa.string()), ("ords", pa.list_(pa.int32())), ("tags", pa.map_(pa.string(), pa.string()))]))
+    pre = rules.prefixes
+
+    @F.arrow_udf(entry)
+    def folded(types: pa.Array, tags: pa.Array, closed: pa.Array) -> pa.Array:
+        out = []
+        for t, m, c in zip(types.to_pylist(), tags.to_pylist(), closed.to_pylist()):
+            own, rows = dict(m or ()), []
+            taken, line = fold(own, rules.of(t), pre, one_element, c if t == "W" else None)
+            if taken:
+                rows.append({"type": "A" if t == "W" else t, "ords": taken, "tags": list(own.items())})
+            if line is not None:
+                rows.append({"type": "W", "ords": fold(line, rules.way, pre, one_element, None)[0], "tags": list(line.items())})
+            out.append(rows)
+        return pa.array(out, kind)
+
+    e = elements.withColumn("_rows", folded("type", "tags", is_closed("pts"))).withColumn("_was", F.col("type"))
+    e = e.withColumn("_row", F.explode("_rows")).withColumns({"type": F.col("_row.type"), "tags": F.col("_row.tags"), "key_ord": F.explode("_row.ords")})
+    e = e.withColumn("pts", F.when((F.col("_was") == "W") & (F.col("type") == "A"), open_ring("pts")).otherwise(F.col("pts"))).drop("_rows", "_row", "_was")
+    out = None
+    for t in ("N", "W", "A", "C"):
+        rs = rules.of(t)
+        values = {f"{j}={v}": n for j, r in enumerate(rs) for n, v in reversed(list(enumerate(r.area_values if t == "A" else r.values)))}
+        d = e.where(F.col("type") == t).withColumn("block_key", F.expr(f"get({_array([*(r.key for r in rs), ''])}, key_ord)"))
+        d = d.withColumn("_v", F.expr(f"if(key_ord < {len(rs)}, element_at(tags, block_key), null)"))
+        d = d.withColumn("value_ord", F.expr(f"coalesce(try_element_at({_lookup(values)}, concat(key_ord, '=', _v)), {1 << 30})" if values else str(1 << 30)))
+        d = d.withColumn("slice_value", F.expr(f"if(value_ord < {1 << 30}, _v, '')")).drop("_v")
+        out = d if out is None else out.unionByName(d)
+    return out

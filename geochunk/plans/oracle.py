@@ -261,7 +261,7 @@ SQL: dict[str, str] = {
     "one_element": _ONE + "SELECT type, id, block_key, slice_value FROM features",
     "slice_counts": _FULL + "SELECT type, chunk_id, block_key, slice_value, count(*) AS n FROM features GROUP BY ALL",
     "block_stats": _FULL + "SELECT type, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT (chunk_id, block_key)) AS n_blocks, count(DISTINCT (chunk_id, block_key, slice_value)) AS n_slices, count(*) AS n_rows FROM features GROUP BY type",
-    "cluster_order": _FULL + "SELECT chunk_id, id, block_key, row_number() OVER (PARTITION BY chunk_id ORDER BY key_ord, value_ord, id)::INT AS place FROM features WHERE type = 'N'",
+    "cluster_order": _FULL + "SELECT type, chunk_id, id, block_key, rank() OVER (PARTITION BY type, chunk_id ORDER BY key_ord, value_ord, id)::INT AS place FROM (SELECT * REPLACE (CASE WHEN key_ord = 1000000 THEN 1073741824 ELSE key_ord END AS key_ord) FROM features)",
     "union_elements": f"WITH RECURSIVE {_GEOMETRY}, lk AS (SELECT type, ref, count(*) AS n FROM rest GROUP BY ALL), "
     "un AS (SELECT 'N' AS type, 'node' AS origin, 'node' AS kind, id FROM sn UNION ALL SELECT 'W', 'way', 'way', id FROM sw UNION ALL SELECT 'W', 'turn', 'relation', id FROM turn "
     "UNION ALL SELECT 'A', 'area', 'relation', id FROM areas UNION ALL SELECT 'C', 'collection', 'relation', id FROM coll) "
@@ -269,9 +269,9 @@ SQL: dict[str, str] = {
     "features": _FULL + "SELECT type, origin, block_key, count(*) AS n, sum(n + n_hole_points - (type = 'A' AND origin <> 'area')::INT)::BIGINT AS n_points FROM features GROUP BY ALL",
     "relation_areas": f"WITH RECURSIVE {_GEOMETRY} SELECT id, n::INT AS n_points, n_holes::INT AS n_holes, n_hole_points::INT AS n_hole_points FROM areas",
     "turns": f"WITH RECURSIVE {_GEOMETRY} SELECT id, n::INT AS n_points, " + ", ".join(f"CASE WHEN pts[{i}].x >= 2130706432 THEN 2147483647 ELSE pts[{i}].{v} END::INT AS {n}_{c}" for i, n in ((1, "from"), (-1, "to")) for v, c in (("x", "lon"), ("y", "lat"))) + " FROM turn",
-    "point_in_ring": f"WITH {_EDGES}, p AS (SELECT zone_id AS point_of, ring[1].lon::BIGINT AS x, ring[1].lat::BIGINT AS y FROM z) "
-    "SELECT zone_id, point_of FROM p JOIN edges ON point_of <> zone_id WHERE a.lat <> b.lat AND (a.lat <= y) = (y < b.lat) "
-    "AND a.lon + ((b.lon - a.lon)::BIGINT * (y - a.lat)) // (b.lat - a.lat) < x GROUP BY ALL HAVING count(*) % 2 = 1",
+    "point_in_ring": f"WITH {_EDGES}, p AS (SELECT zone_id AS point_of, i, v.lon::BIGINT AS x, v.lat::BIGINT AS y FROM (SELECT zone_id, unnest(ring[1:len(ring) - 1]) AS v, generate_subscripts(ring[1:len(ring) - 1], 1) AS i FROM z)) "
+    "SELECT zone_id, point_of, count(*) AS n_vertices FROM (SELECT zone_id, point_of, i FROM p JOIN edges ON point_of <> zone_id WHERE a.lat <> b.lat AND (a.lat <= y) = (y < b.lat) "
+    "AND a.lon + ((b.lon - a.lon)::BIGINT * (y - a.lat)) // (b.lat - a.lat) < x GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY ALL",
     "orient_areas": _B + ", wrap AS (SELECT p.id, ((b.lon::BIGINT - a.lon + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 AS dx, "
     "((b.lat::BIGINT + a.lat + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 AS sy, b.lon::BIGINT - a.lon AS ex, b.lat::BIGINT + a.lat AS ey "
     "FROM (SELECT id, place, n FROM pts JOIN shape USING (id) WHERE closed AND place < n) p JOIN pts a ON a.id = p.id AND a.place = p.place "
@@ -279,6 +279,10 @@ SQL: dict[str, str] = {
     "SELECT id, sum(((dx * sy + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) >= 0 AS clockwise, sum(ex * ey) >= 0 AS clockwise_exact FROM wrap GROUP BY id",
     "ring_assembly": f"WITH {_SEGMENTS} SELECT owner, 1 AS n_rings, (2 * count(*) - 1)::INT AS n_vertices FROM k GROUP BY owner",
     "from_to": f"WITH {_SEGMENTS} SELECT owner, k::INT AS place, (100000000 + o * 1000)::INT AS lon, (480000000 + (o * 7919 % 100003) * 100)::INT AS lat FROM k WHERE n >= 3 AND k < 3",
+    "turn_cases": f"WITH {_SEGMENTS}, c AS {_values([(kind, least, place, at) for kind, least, points in (('node', 3, (0, 1, 2)), ('ways', 6, (0, 1, 2, 3, 4)), ('no from', 3, (1, 1, 2)), ('far', 4, (3, 2, 1))) for place, at in enumerate(points)], 'kind, least, place, at_k')} "
+    "SELECT kind, owner, place::INT AS place, (100000000 + o * 1000)::INT AS lon, (480000000 + (o * 7919 % 100003) * 100)::INT AS lat FROM k JOIN c ON k = at_k AND n >= least",
+    "nested_rings": "SELECT owner, (100000000 + owner * 1000 - 50 * (n - i))::INT AS west, 5 AS n_points, (i + 1 < n)::INT AS n_holes, "
+    "CASE WHEN i + 1 < n THEN 100000000 + owner * 1000 - 50 * (n - i - 1) ELSE 0 END::INT AS hole_west FROM (SELECT c_custkey AS owner, 1 + c_custkey % 6 AS n, unnest(range(0, 1 + c_custkey % 6, 2)) AS i FROM customer)",
     "lifecycle": _FULL + ", moved AS (SELECT * FROM found WHERE origin = 'node' AND prefix_ord > 0 AND id IN (SELECT id FROM sn)), "
     "last AS (SELECT id, arg_max(prefix, key_ord) AS prefix FROM moved GROUP BY id) "
     "SELECT id, k AS tag_key, v AS tag_value FROM nt t WHERE id IN (SELECT id FROM moved) AND k <> 'lifecycle' AND NOT EXISTS (SELECT 1 FROM moved m WHERE m.id = t.id AND t.k = m.prefix || ':' || m.key) "

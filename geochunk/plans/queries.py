@@ -6,22 +6,23 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geochunk.config import default_rules, default_tiles
-from geochunk.functions.geometry import assemble_rings_udf, in_ring, is_closed, is_clockwise, open_ring, settle_line, turn_lines_udf
+from geochunk.functions.geometry import assemble_rings_udf, in_ring, is_closed, is_clockwise, open_ring, polygons_udf, settle_line, turn_lines_udf
 from geochunk.operators import nested, resolve, tags
 from geochunk.operators.classify import classify
 from geochunk.operators.elements import all_live_tags, live, located
 from geochunk.operators.hierarchy import hierarchies
-from geochunk.operators.hotkeys import first_tile, salted_aggregate
+from geochunk.operators.hotkeys import CELL, first_tile, salted_aggregate
 from geochunk.operators.orphans import OrphanCascade
 from geochunk.operators.proximity import near_pairs, points_in_regions
 from geochunk.operators.tiling import assign_tiles, bbox as bbox_of
 from geochunk.plans.convert import convert, data_tiles, staged
 from geochunk.plans.fixtures import cleaned, dataset, segments
-from geochunk.session import load, materialize, work_dir
+from geochunk.session import broadcast_checked, load, materialize, work_dir
 from geochunk.sources import encode, sink
 from geochunk.sources.read import read
 from geochunk.sources.xml import read_xml, write_xml
@@ -336,10 +337,10 @@ def block_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_order(spark: SparkSession, d: str) -> DataFrame:
-    """Place of each node in its chunk: by key, value, id."""
-    c = _classified(spark, d, "node")
-    w = Window.partitionBy("chunk_id").orderBy("key_ord", "value_ord", "id")
-    return c.select("chunk_id", "id", "block_key", F.row_number().over(w).alias("place"))
+    """Place of each feature in its chunk: by key, value, id. (Equal ones, such as rings of one relation, share a place.)"""
+    c = _classified(spark, d)
+    w = Window.partitionBy("type", "chunk_id").orderBy("key_ord", "value_ord", "id")
+    return c.select("type", "chunk_id", "id", "block_key", F.rank().over(w).alias("place"))
 
 
 def union_elements(spark: SparkSession, d: str) -> DataFrame:
@@ -380,11 +381,17 @@ def _rings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def point_in_ring(spark: SparkSession, d: str) -> DataFrame:
-    """Which zones' first points lie in which other zones (zones are a fixed, small table)."""
+    """How many vertices of each zone lie in which other zones. Zones whose extents don't meet are no candidates."""
     z = _rings(spark, d)
-    p = z.select(F.col("zone_id").alias("point_of"), F.get("ring", F.lit(0)).alias("p"))
-    j = p.join(F.broadcast(z), F.col("point_of") != F.col("zone_id"))
-    return j.where(in_ring(F.col("p.lon"), F.col("p.lat"), F.col("ring"))).select("zone_id", "point_of")
+    lons, lats = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
+    box = z.select("zone_id", "ring", *(f(c).alias(n) for f, c, n in ((F.array_min, lons, "x0"), (F.array_min, lats, "y0"), (F.array_max, lons, "x1"), (F.array_max, lats, "y1"))))
+    v = z.select(F.col("zone_id").alias("point_of"), F.explode(F.slice("ring", 1, F.size("ring") - 1)).alias("p")).select("point_of", "p.lon", "p.lat")
+    # an equi-join on cells of one degree instead of comparing all with all
+    cell = lambda a, b, n: F.explode(F.sequence(F.floor(F.col(a) / CELL), F.floor(F.col(b) / CELL))).alias(n)
+    box = box.select("*", cell("x0", "x1", "cx")).select("*", cell("y0", "y1", "cy"))
+    v = v.withColumns({"cx": F.floor(F.col("lon") / CELL), "cy": F.floor(F.col("lat") / CELL)})
+    j = v.join(broadcast_checked(box), ["cx", "cy"]).where("point_of <> zone_id and lon between x0 and x1 and lat between y0 and y1")
+    return j.where(in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).groupBy("zone_id", "point_of").agg(F.count("*").alias("n_vertices"))
 
 
 def orient_areas(spark: SparkSession, d: str) -> DataFrame:
@@ -411,6 +418,33 @@ def from_to(spark: SparkSession, d: str) -> DataFrame:
     return t.select("owner", F.posexplode("line").alias("place", "p")).select("owner", "place", "p.lon", "p.lat")
 
 
+def turn_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Turns over segments of a customer's ring whose lines are known: over a node, over two ways, without from, and with
+    a from that touches the far end."""
+    g = segments(spark, d).groupBy("owner", "n").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("s"))
+    seg = lambda *at: F.array(*(F.get("s", F.lit(i))["line"] for i in at))
+    nodes = F.array_intersect(F.get("s", F.lit(0))["line"], F.get("s", F.lit(1))["line"])  # the point both share
+    none = F.slice(seg(0), 1, 0)
+    cases = {"node": (3, seg(0), F.array(nodes), seg(1)), "ways": (6, seg(0), seg(2, 1), seg(3)), "no from": (3, none, F.array(nodes), seg(1)), "far": (4, seg(2), F.array(nodes), seg(1))}
+    out = None
+    for name, (least, from_, via, to) in cases.items():
+        t = g.where(F.col("n") >= least).select(F.lit(name).alias("kind"), "owner", F.explode(turn_lines_udf(from_, via, to)).alias("line"))
+        out = t if out is None else out.unionByName(t)
+    return out.select("kind", "owner", F.posexplode("line").alias("place", "p")).select("kind", "owner", "place", "p.lon", "p.lat")
+
+
+def nested_rings(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's nested squares, each of two lines, by turns shells and holes: every hole is in the shell around it."""
+    c = load(spark, d, "customer").selectExpr("c_custkey AS owner", "int(1 + c_custkey % 6) AS n", "int(100000000 + c_custkey * 1000) AS x", "int(480000000) AS y")
+    p = lambda dx, dy: f"named_struct('lon', x {dx} 50 * (n - i), 'lat', y {dy} 50 * (n - i))"
+    a, b, c_, e = p("-", "-"), p("+", "-"), p("+", "+"), p("-", "+")
+    lines = f"array(array({a}, {b}, {c_}), if(owner % 2 = 0, array({a}, {e}, {c_}), array({c_}, {e}, {a})))"
+    of = lambda odd: F.expr(f"flatten(transform(filter(sequence(0, n - 1), i -> i % 2 = {odd}), i -> {lines}))")
+    r = c.select("owner", F.explode(polygons_udf(of(0), of(1))).alias("a"))
+    west = lambda c: F.array_min(F.transform(c, lambda q: q["lon"]))
+    return r.select("owner", west("a.shell").alias("west"), F.size("a.shell").alias("n_points"), F.size("a.holes").alias("n_holes"), F.coalesce(west(F.flatten("a.holes")), F.lit(0)).alias("hole_west"))
+
+
 def lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Tags of nodes after lifecycle rewrites, where there were any."""
     c = _classified(spark, d, "node").dropDuplicates(["id"])
@@ -480,18 +514,27 @@ def read_xml_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _binary(spark: SparkSession, d: str, format: str) -> DataFrame:
-    """The live elements, written in files of a binary format by each partition and read again."""
+    """The live elements, written in files of a binary format by each partition and read again.
+
+    A file is named by kind, partition and batch and put in place when it is whole, so a task run again writes the same
+    files and doubles no rows. The format is written through the file system, which all executors must see."""
     path = _new_folder(spark)
     local = path.removeprefix("file://").removeprefix("file:")
+    if "://" in local:
+        raise ValueError("files of this format can be written to a mounted folder only")
     Path(local).mkdir(parents=True, exist_ok=True)
     for kind, t in zip(("nodes", "ways", "relations"), _sources(spark, d)):
 
         def put(batches, kind=kind):
-            for b in batches:
-                (Path(local) / uuid.uuid4().hex).write_bytes(getattr(encode, format)(**{kind: [r | {"tags": dict(r["tags"])} for r in b.to_pylist()]}))
+            part = TaskContext.get().partitionId()
+            for i, b in enumerate(batches):
+                draft = Path(local) / f".{uuid.uuid4().hex}"
+                draft.write_bytes(getattr(encode, format)(**{kind: [r | {"tags": dict(r["tags"])} for r in b.to_pylist()]}))
+                draft.rename(Path(local) / f"{kind}-{part}-{i}")
                 yield b.slice(0, 0).select(["id"])
 
-        t.mapInArrow(put, "id bigint").count()
+        # written tables give every attempt of a task the same rows
+        materialize(t, kind).mapInArrow(put, "id bigint").count()
     x = read(spark, path, format)
     return _summary(x.nodes, x.ways, x.relations)
 
@@ -507,7 +550,7 @@ def read_o5m(spark: SparkSession, d: str) -> DataFrame:
 _OWN = [
     bbox, clean_tags, discarded_tags, project_meta, resolve_ways, closed_ways, significant_nodes, significant_ways, membership, relation_kinds, counters,
     tiles, tile_elements, chunk_index, classify_nodes, classify_ways, classify_collections, one_element, slice_counts, block_stats, cluster_order,
-    union_elements, features, relation_areas, turns, point_in_ring, orient_areas, ring_assembly, from_to, lifecycle, read_pruned, read_xml_files,
+    union_elements, features, relation_areas, turns, point_in_ring, orient_areas, ring_assembly, from_to, turn_cases, nested_rings, lifecycle, read_pruned, read_xml_files,
     read_pbf, read_o5m,
 ]
 

@@ -10,6 +10,11 @@ _META_FIELDS = "id bigint, version int, timestamp bigint, changeset bigint, uid
 NODES = f"{_META_FIELDS}, lon int, lat int, tags map<string,string>"
 WAYS = f"{_META_FIELDS}, nds array<bigint>, tags map<string,string>"
 RELATIONS = f"{_META_FIELDS}, members array<struct<type:string,ref:bigint,role:string>>, tags map<string,string>"
+ANY = (
+    f"kind string, {_META_FIELDS}, lon int, lat int, nds array<bigint>, "
+    "members array<struct<type:string,ref:bigint,role:string>>, tags map<string,string>"
+)
+BY_KIND = {"node": NODES, "way": WAYS, "relation": RELATIONS, "any": ANY}
 
 POINT = T.StructType([T.StructField("lon", T.IntegerType()), T.StructField("lat", T.IntegerType())])
 LINE = T.ArrayType(POINT)

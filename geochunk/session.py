@@ -1,7 +1,7 @@
 """Session helpers: shared work folder, lineage cuts, size-checked broadcasts.
 
-All intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests,
-one machine) a local folder is chosen.
+All intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``; where that is unset a local folder
+is chosen if the session runs on one machine, and else an error is raised.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder of this run."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="geochunk-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/geochunk-{_RUN}"
@@ -33,12 +36,21 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables made so far. To be called when the results that were asked for are written: frames
+    not worked out yet may read them. Whatever is left is deleted when the process ends."""
+    _delete(spark, work_dir(spark))
+
+
 def _cleanup() -> None:
     for path, spark in _used.items():
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone by now
             pass
 
@@ -46,12 +58,12 @@ def _cleanup() -> None:
 atexit.register(_cleanup)
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, a lost executor costs no recomputation
-    of what lies before, and the planner knows the true size of the result."""
+    of what lies before, and the planner knows the true size of the result. ``by``: columns to keep folders apart by."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,16 +1,21 @@
 """O5M extracts: one stream of delta-coded datasets per file, with a table of recent strings that spans the whole file,
-so a file is one partition (a folder of files is read in parallel)."""
+so a file is one partition (a folder of files is read in parallel), read piece by piece."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from geochunk import schema as S
-from geochunk.sources.pbf import KINDS, input_files
+from geochunk.sources.files import input_files, open_file
+from geochunk.sources.rows import KINDS, batch, with_kind
 from geochunk.sources.varint import Cursor, unsigned
 
+#: Bytes read at a time, and rows of a batch.
+READ_BYTES, BATCH_ROWS = 1 << 20, 10_000
+
 #: Fixed values of the format.
 TABLE_SIZE, LONGEST_PAIR = 15_000, 250
 NODE, WAY, RELATION, RESET, FIRST_BARE = 0x10, 0x11, 0x12, 0xFF, 0xF0
@@ -55,20 +60,45 @@ class _Strings:
         return self.keep((kind, role.decode("utf-8", "replace")), 1 + len(role))
 
 
-def decode(data: bytes, kind: str) -> Iterator[tuple]:
-    """Rows of one kind; the others are read for their deltas and strings."""
-    c, strings = Cursor(data), _Strings()
+def datasets(f) -> Iterator[tuple[int, Cursor]]:
+    """(type, content) of the datasets of an open file, which is read piece by piece; bare ones have no content."""
+    data, at, more = b"", 0, True
+
+    def have(n: int) -> bool:
+        """Whether n bytes stand ready from ``at`` on."""
+        nonlocal data, at, more
+        while more and len(data) - at < n:
+            piece = f.read(max(READ_BYTES, n))
+            more = bool(piece)
+            data, at = data[at:] + piece, 0
+        return len(data) - at >= n
+
+    while have(1):
+        what = data[at]
+        at += 1
+        if what >= FIRST_BARE:
+            yield what, Cursor(b"")
+            continue
+        have(10)  # the longest number
+        head = Cursor(data, at)
+        size = head.unsigned()
+        at = head.at
+        if not have(size):
+            raise EOFError("the data end inside a part")
+        yield what, Cursor(data, at, at + size)
+        at += size
+
+
+def decode(f, kinds: Collection[str]) -> Iterator[tuple[str, tuple]]:
+    """(kind, row) of some kinds from an open file; the others are read for their deltas and strings."""
+    strings = _Strings()
     ident = time = changeset = lon = lat = 0
     refs = [0, 0, 0]
-    while c:
-        what = c.byte()
+    for what, part in datasets(f):
         if what == RESET:
             ident = time = changeset = lon = lat = 0
             refs = [0, 0, 0]
             continue
-        if what >= FIRST_BARE:
-            continue
-        part = c.part(c.unsigned())
         if what not in (NODE, WAY, RELATION):
             continue
         ident += part.signed()
@@ -102,8 +132,8 @@ def decode(data: bytes, kind: str) -> Iterator[tuple]:
         while part:
             k, v = strings.tag(part)
             tags[k] = v
-        if KINDS[what - NODE] == kind:
-            yield (*row, tags)
+        if (kind := KINDS[what - NODE]) in kinds:
+            yield kind, (*row, list(tags.items()))
 
 
 class _File(InputPartition):
@@ -114,15 +144,29 @@ class _File(InputPartition):
 class O5mReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.kind = options["path"], options.get("kind", "node")
-        if self.kind not in KINDS:
-            raise ValueError(f"kind is one of {', '.join(KINDS)}")
+        if self.kind not in S.BY_KIND:
+            raise ValueError(f"kind is one of {', '.join(S.BY_KIND)}")
 
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in input_files(self.path)]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            yield from decode(f.read(), self.kind)
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        kinds = KINDS if self.kind == "any" else (self.kind,)
+        rows: dict[str, list] = {k: [] for k in kinds}
+
+        def flush(kind: str) -> pa.RecordBatch:
+            b = batch(kind, list(zip(*rows[kind])))
+            rows[kind] = []
+            return with_kind(kind, b) if self.kind == "any" else b
+
+        with open_file(partition.path) as f:
+            for kind, row in decode(f, kinds):
+                rows[kind].append(row)
+                if len(rows[kind]) >= BATCH_ROWS:
+                    yield flush(kind)
+        for kind in kinds:
+            if rows[kind]:
+                yield flush(kind)
 
 
 class O5mSource(DataSource):
@@ -133,7 +177,7 @@ class O5mSource(DataSource):
         return "o5m"
 
     def schema(self) -> str:
-        return {"way": S.WAYS, "relation": S.RELATIONS}.get(self.options.get("kind", "node"), S.NODES)
+        return S.BY_KIND.get(self.options.get("kind", "node"), S.NODES)
 
     def reader(self, schema) -> O5mReader:
         return O5mReader(dict(self.options))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 
 class Cursor:
     """A place in a byte string."""
@@ -62,3 +64,16 @@ def unsigned(v: int) -> bytes:
 
 def signed(v: int) -> bytes:
     return unsigned(-2 * v - 1 if v < 0 else 2 * v)
+
+
+def unsigned_array(data: bytes, start: int, end: int) -> np.ndarray:
+    """All numbers of a stretch of bytes, as uint64."""
+    b = np.frombuffer(data, np.uint8, end - start, start)
+    stops = np.flatnonzero(b < 0x80)
+    if not len(b):
+        return np.zeros(0, np.uint64)
+    if not len(stops) or stops[-1] != len(b) - 1:
+        raise EOFError("the data end inside a number")
+    starts = np.concatenate([[0], stops[:-1] + 1])
+    place = np.arange(len(b)) - np.repeat(starts, stops - starts + 1)
+    return np.bitwise_or.reduceat((b & 0x7F).astype(np.uint64) << (7 * place).astype(np.uint64), starts)

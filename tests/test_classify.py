@@ -79,11 +79,26 @@ def test_equals_the_rules_read_in_turn(spark, one):
     assert classify(df.limit(0), rules).count() == 0
 
 
-def test_areas_lose_the_closing_point_and_rules_are_checked(spark):
+@pytest.mark.parametrize("one", [False, True])
+def test_rules_that_touch_are_read_in_turn(spark, one):
+    keys = ["shop", "disused:shop", "lifecycle", "area", "old:disused:shop", "craft", "shop"]
+    rnd, words = random.Random(7), ["yes", "no", "a", "b", "disused", "old"]
+    for _ in range(4):
+        pick = lambda: tuple(rnd.sample(words, rnd.choice([0, 2, 3])))
+        make = lambda: tuple(Rule(k, rnd.random() < 0.5, pick(), pick(), pick()) for k in rnd.sample(keys, 5))
+        rules = Rules(make(), make(), make(), ("", "disused:", "old:"))
+        assert not rules.independent()
+        spelt = sorted({p + k for p in rules.prefixes for k in keys})
+        data = [(rnd.choice("NWWWC"), i, RING if rnd.random() < 0.7 else RING[:2], {k: rnd.choice(words) for k in rnd.sample(spelt, rnd.choice([0, 1, 2, 4, 7]))}) for i in range(250)]
+        df = spark.createDataFrame(data, SCHEMA)
+        got = sorted((r["id"], r["type"], r["block_key"], r["slice_value"], tuple(sorted(r["tags"].items()))) for r in classify(df, rules, one).collect())
+        assert got == sorted((i, *x) for kind, i, pts, tags in data for x in fold(rules, kind, tags, kind == "W" and len(pts) > 2, one))
+
+
+def test_areas_lose_the_closing_point(spark):
     df = spark.createDataFrame([("W", 1, RING, {"building": "yes", "highway": "x"})], SCHEMA)
     got = sorted((r["type"], r["block_key"], len(r["pts"])) for r in classify(df, default_rules()).collect())
     assert got == [("A", "building", 3), ("W", "building", 4), ("W", "highway", 4)]
-    with pytest.raises(ValueError):
-        classify(df, Rules(way=(Rule("lifecycle"),)))
+    assert [(r["type"], len(r["pts"])) for r in classify(df, Rules(way=(Rule("building", True), Rule("building")))).orderBy("type").collect()] == [("A", 3), ("W", 4)]
     empty = classify(df, Rules()).collect()
     assert [(r["type"], r["block_key"]) for r in empty] == [("W", "")]

@@ -45,8 +45,6 @@ LIFECYCLE
 def test_indented_notation():
     want = Rules((Rule("natural", values=("tree",)), Rule("shop")), (Rule("highway", False, ("platform",), ("service",)), Rule("building", True, (), (), ("yes",))), (Rule("route", values=("bus",)),), ("", "disused:"))
     assert parse_rules(INDENTED) == want
-    same = "[node]\nnatural | | | tree\nshop\n[way]\nhighway | | platform | service\nbuilding | area | | | yes\n[collection]\nroute | | | bus\n[lifecycle]\ndisused\n"
-    assert parse_rules(same) == want
 
 
 def test_options():

@@ -1,11 +1,14 @@
+import io
+
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from geochunk import schema as S
-from geochunk.sources import encode
+from geochunk.sources import encode, o5m, pbf
 from geochunk.sources.read import read, sniff
-from geochunk.sources.varint import Cursor, signed, unsigned
+from geochunk.sources.varint import Cursor, signed, unsigned, unsigned_array
 from geochunk.sources.xml import read_xml, write_xml
 
 META = {"version": 2, "timestamp": 1700000000, "changeset": 9, "uid": 3, "user": "ü"}
@@ -34,8 +37,45 @@ def test_binary_formats(spark, tmp_path, format):
     got = read(spark, str(path))
     for df, want in ((got.nodes, NODES), (got.ways, WAYS), (got.relations, RELATIONS)):
         assert dicts(df) == sorted(want, key=lambda r: r["id"])
+    for kind, want in (("node", NODES), ("way", WAYS), ("relation", RELATIONS)):
+        df = spark.read.format({"pbf": "osmpbf"}.get(format, format)).option("kind", kind).load(f"file://{path}")
+        assert dicts(df) == sorted(want, key=lambda r: r["id"])
     path.write_bytes(getattr(encode, format)())
     assert read(spark, str(path)).nodes.count() == 0
+    with pytest.raises(FileNotFoundError):
+        read(spark, str(tmp_path / "none"))
+
+
+def test_o5m_is_read_piece_by_piece(monkeypatch):
+    data = encode.o5m(NODES, WAYS, RELATIONS)
+    whole = list(o5m.decode(io.BytesIO(data), ("node", "way", "relation")))
+    for n in (1, 13, 4096):
+        monkeypatch.setattr(o5m, "READ_BYTES", n)
+        assert list(o5m.decode(io.BytesIO(data), ("node", "way", "relation"))) == whole
+    with pytest.raises(EOFError):
+        list(o5m.decode(io.BytesIO(data[: len(data) // 2 + 3]), ("node",)))
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=40))
+def test_arrays_of_varints(values):
+    data = b"".join(map(unsigned, values))
+    assert unsigned_array(b"\xff" + data, 1, 1 + len(data)).tolist() == values
+    if data:
+        with pytest.raises(EOFError):
+            unsigned_array(data[:-1] + b"\x80", 0, len(data))
+
+
+def test_dense_tags_of_repeated_keys():
+    block = pbf._Block(b"")
+    block.strings = ["", "a", "b", "c"]
+    words = b"".join(map(unsigned, [1, 2, 1, 3, 2, 2, 0, 0, 3, 1, 0]))
+    got = block.dense_tags(Cursor(words), 4, pa.array(block.strings))
+    assert [dict(x) for x in got.to_pylist()] == [{"a": "c", "b": "b"}, {}, {"c": "a"}, {}]
+    words = b"".join(map(unsigned, [1, 2, 0, 1, 0, 0]))  # an empty text as the second node's value
+    assert block.dense_tags(Cursor(words), 2, pa.array(block.strings)).to_pylist() == [[("a", "b")], [("a", "")]]
+    words = b"".join(map(unsigned, [1, 2, 1, 3, 2, 2, 0, 0, 3, 1, 0, 0]))
+    assert [dict(x) for x in block.dense_tags(Cursor(words), 4, pa.array(block.strings)).to_pylist()] == [{"a": "c", "b": "b"}, {}, {"c": "a"}, {}]
+    assert block.dense_tags(None, 2, pa.array(block.strings)).to_pylist() == [[], []]
 
 
 def test_xml_written_and_read(spark, tmp_path):

@@ -1,18 +1,12 @@
 """The engine's own queries cover what is built from relations: areas and turn lines."""
 
 import datetime
-import os
-from collections import Counter
 
 import pytest
 
-from geochunk.operators import resolve
-from geochunk.plans.fixtures import cleaned
-from geochunk.plans.oracle import SQL
 from geochunk.plans.queries import QUERIES
 from geochunk.schema import NODES, RELATIONS, WAYS
 from tests.conftest import rows
-from tests.oracle import SF, connection
 
 META = (1, 1, 1, 1, "u")
 NOW = datetime.datetime(2026, 1, 1)
@@ -84,24 +78,3 @@ def test_blocks_and_slices_of_relations(spark, folder):
     one = rows(QUERIES["one_element"](spark, folder).select("type", "id", "block_key"))
     want = [("A", 2, "building"), ("A", 101, "building"), ("A", 102, "building"), ("A", 103, "building"), ("A", 103, "building")]
     assert one == sorted([*want, ("W", 6, "highway"), ("W", 7, "highway"), ("W", 8, "highway"), ("W", 105, ""), ("C", 106, "route")], key=str)
-
-
-#: Queries over everything whose SQL knows nodes, ways and (but for the last two) collections only; and how they count rows.
-COUNTED = {"chunk_index": "n", "slice_counts": "n", "union_elements": "n", "block_stats": "n_rows", "tile_elements": None, "one_element": None}
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", COUNTED)
-def test_beyond_their_sql_queries_give_what_relations_build(spark, name):
-    def per_type(got):
-        out = Counter()
-        for r in got:
-            out[r["type"]] += r[COUNTED[name]] if COUNTED[name] else 1
-        return out
-
-    sql = connection().sql(SQL[name])
-    more = per_type(QUERIES[name](spark, SF).collect())
-    more.subtract(per_type(dict(zip(sql.columns, r)) for r in sql.fetchall()))
-    x = cleaned(spark, SF)
-    built = Counter(r["type"] for r in resolve.all_elements(x.nodes, x.ways, x.relations).where("origin in ('area', 'turn')").collect())
-    assert built["A"] and built["W"] and {t: more[t] for t in "NWA"} == {t: built[t] for t in "NWA"}
