@@ -77,15 +77,15 @@ def term_frequencies(records: DataFrame, terms: str = "terms", min_records: int
     fields = [f.name for f in records.schema[terms].dataType.elementType.fields]
     block = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")
     held = records.select(block.alias("blk"), F.col(terms).alias("t")).where(F.size("t") > 0)
-    # inside one record: each distinct term with its occurrences; the extra null entry counts the records themselves
-    distinct = F.array_distinct("t")
-    counted = F.transform(distinct, lambda d: F.struct(d.alias("d"), F.size(F.filter("t", lambda x: x.eqNullSafe(d))).cast("long").alias("n")))
-    none = F.array(F.struct(F.lit(None).cast(records.schema[terms].dataType.elementType).alias("d"), F.lit(1).cast("long").alias("n")))
-    rows = held.select("blk", F.explode(F.concat(counted, none)).alias("e")).select(
-        "blk", F.col("e.d").isNull().alias("total"), *(F.col(f"e.d.{f}").alias(f) for f in fields), F.col("e.n").alias("n")
+    # inside one record equal terms stand side by side, the first of them marked; the extra null entry counts the record
+    held = held.withColumn("s", F.array_sort("t"))
+    marked = F.transform("s", lambda x, i: F.struct(x.alias("d"), ((i == 0) | ~F.get("s", i - 1).eqNullSafe(x)).cast("long").alias("first")))
+    none = F.array(F.struct(F.lit(None).cast(records.schema[terms].dataType.elementType).alias("d"), F.lit(1).cast("long").alias("first")))
+    rows = held.select("blk", F.explode(F.concat(marked, none)).alias("e")).select(
+        "blk", F.col("e.d").isNull().alias("total"), *(F.col(f"e.d.{f}").alias(f) for f in fields), F.col("e.first").alias("first")
     )
     partial = materialize(
-        rows.groupBy("blk", "total", *fields).agg(F.sum("n").alias("occ"), F.count("*").alias("has")), "term-blocks"
+        rows.groupBy("blk", "total", *fields).agg(F.count("*").alias("occ"), F.sum("first").alias("has")), "term-blocks"
     )
     n = partial.where("total").agg(F.sum("has")).collect()[0][0] or 0
     partial = partial.where("not total")
