@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 from geochunk.session import broadcast_checked
 
 
-def heavy_keys(rows: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
-    """Keys holding at least ``share`` of all rows: at most 1/share of them, whatever the data. Counts combine map-side."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    total = rows.agg(F.count("*").alias("all"))
-    return counts.join(F.broadcast(total), F.col("n_rows") >= F.col("all") * F.lit(share)).select(*keys)
+#: Keys a sketch of heavy keys tracks, as a multiple of 1/share.
+TRACKED = 16
+
+
+def heavy_hashes(rows: DataFrame, keys: Sequence[str], share: float) -> list[int]:
+    """64-bit hashes of the keys that hold about ``share`` of all rows or more: found by a frequent-items sketch of bounded
+    size, made per partition and merged, so the rows are neither shuffled nor grouped by key. At most 2/share values.
+
+    The sketch may miss by 1/TRACKED of the share; that only decides which keys are salted, no result depends on it."""
+    k = int(2 / share)
+    top = F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(k), F.lit(int(TRACKED / share)))
+    got = rows.agg(top.alias("top"), F.count("*").alias("all")).collect()[0]
+    return [r["item"] for r in got["top"] or [] if r["count"] >= got["all"] * share]
 
 
 def salted_aggregate(
@@ -32,13 +40,8 @@ def salted_aggregate(
     The salt is a hash of the columns ``by``, spread like a random one but the same when a lost task runs again. Rows of
     light keys all have salt 0. Null keys form a key of their own; repeated rows count each; empty input gives no rows.
     """
-    heavy = [r.asDict() for r in heavy_keys(rows, keys, share).collect()]  # at most 1/share rows
-    is_heavy = F.lit(False)
-    for h in heavy:
-        same = F.lit(True)
-        for k in keys:
-            same &= F.col(k).eqNullSafe(F.lit(h[k]))
-        is_heavy |= same
+    heavy = heavy_hashes(rows, keys, share)
+    is_heavy = F.xxhash64(*keys).isin(*heavy) if heavy else F.lit(False)
     salt = F.when(is_heavy, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)
     first = rows.withColumn("_salt", salt).groupBy(*keys, "_salt").agg(*(c.alias(n) for n, c in partial.items()))
     return first.groupBy(*keys).agg(*(c.alias(n) for n, c in merge.items()))

@@ -56,6 +56,16 @@ def near_pairs(points: DataFrame, metres: float, cells: float = 8.0) -> DataFram
     return a.join(b, on).where(distance <= metres).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
 
+def near_spots(points: DataFrame, metres: float) -> tuple[DataFrame, DataFrame]:
+    """near_pairs between places instead of points, for data in which many points share one: (id_a, id_b) of the places'
+    smallest ids, and the membership (id, spot) of every point with a position. Points of one spot are near one another;
+    so n points at one place are n rows here and not n * n pairs."""
+    p = points.select("id", "lon", "lat").dropna()
+    spots = p.groupBy("lon", "lat").agg(F.min("id").alias("spot"))
+    pairs = near_pairs(spots.withColumnRenamed("spot", "id"), metres)
+    return pairs, p.join(spots, ["lon", "lat"]).select("id", "spot")
+
+
 def _touches(e: tuple[int, int, int, int], x0: int, y0: int, x1: int, y1: int) -> bool:
     """Whether an edge meets a closed rectangle: overlapping extents, and corners not all on one side of its line."""
     ax, ay, bx, by = e

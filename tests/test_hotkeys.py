@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from geochunk.operators.hotkeys import first_tile, heavy_keys, salted_aggregate, tile_index
+from geochunk.operators.hotkeys import first_tile, heavy_hashes, salted_aggregate, tile_index
 from tests.conftest import rows
 
 
@@ -15,7 +15,9 @@ def test_salting_changes_nothing(spark):
     plain = df.groupBy("k").agg(*(c.alias(n) for n, c in part.items()))
     for share in (0.0001, 0.2, 1.1):
         assert rows(salted_aggregate(df, ["k"], ["id"], part, merge, share, 8)) == rows(plain)
-    assert rows(heavy_keys(df, ["k"], 0.5)) == [("hot",)]
+    hashes = {r["h"]: r["k"] for r in df.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
+    assert [hashes[h] for h in heavy_hashes(df, ["k"], 0.5)] == ["hot"] and heavy_hashes(df.limit(0), ["k"], 0.5) == []
+    assert None in {hashes[h] for h in heavy_hashes(df.where("k is null or k = 'a'"), ["k"], 0.3)}
     assert salted_aggregate(df.limit(0), ["k"], ["id"], part, merge).count() == 0
 
 

@@ -4,7 +4,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from geochunk.operators.proximity import EARTH_M, cover_ring, near_pairs, points_in_regions
+from geochunk.operators.proximity import EARTH_M, cover_ring, near_pairs, near_spots, points_in_regions
 from tests.conftest import rows
 
 
@@ -34,6 +34,18 @@ def test_same_place(spark):
     assert near_pairs(df, 5.0).count() == 30 * 29 // 2
 
 
+def test_spots_stand_for_their_points(spark):
+    rnd = random.Random(8)
+    pts = [(i, rnd.choice([0, 300, 900]), rnd.choice([0, 200])) for i in range(60)]
+    df = spark.createDataFrame([*pts, (99, None, 1)], "id bigint, lon int, lat int")
+    pairs, members = near_spots(df, 5.0)
+    spot = {r["id"]: r["spot"] for r in members.collect()}
+    linked = {(r["id_a"], r["id_b"]) for r in pairs.collect()}
+    assert spot.keys() == {p[0] for p in pts} and len(set(spot.values())) == 6
+    want = {(r["id_a"], r["id_b"]) for r in near_pairs(df, 5.0).collect()}
+    assert want == {(a, b) for a in spot for b in spot if a < b and (spot[a] == spot[b] or tuple(sorted((spot[a], spot[b]))) in linked)}
+
+
 def holds(ring, x, y):
     odd = False
     for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
