@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,8 @@ ROOT, VALUE = "$", "value"
 #: Names whose objects are elements, wherever they stand; and names of their children by table.
 ELEMENTS = ("node", "way", "relation")
 CHILDREN = {"tag": "tag", "tags": "tag", "nd": "nd", "member": "member"}
+#: What identifies a child.
+CHILD_COLUMNS = ("k", "type", "ref", "value")
 
 #: Most names a set of records may use for lists; more are no schema but keys of a map, which ``maps`` is for.
 MAX_NAMES = 10_000
@@ -209,7 +211,7 @@ def repeated_names(df: DataFrame, text: str, mark: str = "@") -> set[str]:
     return out
 
 
-_SCHEMA = "rec long, tbl string, row_id int, parent_id int, parent_tbl string, parent_key string, step string, pos int, path string, fields map<string,string>"
+_SCHEMA = "rec long, tbl string, row_id int, parent_id int, parent_tbl string, parent_key string, step string, pos int, path string"
 _FIELDS = pa.map_(pa.string(), pa.string())
 _TYPES = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
 
@@ -223,13 +225,14 @@ def flatten_records(
     maps: Collection[str] = (),
     tables: Collection[str] | None = None,
     ident: str = "id",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """One long table of the rows of all tables (or of ``tables``):
 
     key; rec, a hash of the text, which tells records of one key apart; tbl, the name of the repeated ancestor; row_id
     and parent_id, numbers inside the record; parent_tbl and parent_key, table and column ``ident`` of the row above;
     step, the names between the two; pos, the place in its list; path, all names from the record down; fields, the
-    row's columns with their texts. ``single``, ``scalar`` and ``maps`` as in rows_of; ``single`` None takes the names
+    row's columns with their texts; or, if ``columns`` are named, those alone instead of fields. ``single``, ``scalar`` and ``maps`` as in rows_of; ``single`` None takes the names
     that are lists in any record, which costs one more scan.
 
     Each record is read on its own inside its task, so nothing is shuffled and memory is bounded by a record. Null,
@@ -254,33 +257,41 @@ def flatten_records(
                     if wanted is not None and r[TABLE] not in wanted:
                         continue
                     up = above.get(r[PARENT])
+                    f = r[FIELDS]
+                    if columns is not None:
+                        out.append((h, *r[:3], up and up[TABLE], up and up[FIELDS].get(ident), *r[3:6], *map(f.get, columns)))
+                        continue
                     out.append((h, *r[:3], up and up[TABLE], up and up[FIELDS].get(ident), *r[3:6]))
-                    names.extend(r[FIELDS])
-                    values.extend(r[FIELDS].values())
+                    names.extend(f)
+                    values.extend(f.values())
                     ends.append(len(names))
                 keys.extend([k] * (len(out) - n))
                 if len(out) > 50_000:
-                    yield _batch(kt, keys, out, names, values, ends)
+                    yield _batch(kt, keys, out, columns, names, values, ends)
                     keys, out, names, values, ends = [], [], [], [], [0]
             if out:
-                yield _batch(kt, keys, out, names, values, ends)
+                yield _batch(kt, keys, out, columns, names, values, ends)
 
-    return df.select(key, text, F.xxhash64(text).alias("_rec")).mapInArrow(run, f"`{key}` {kind}, {_SCHEMA}")
+    own = "fields map<string,string>" if columns is None else ", ".join(f"`{c}` string" for c in columns)
+    return df.select(key, text, F.xxhash64(text).alias("_rec")).mapInArrow(run, f"`{key}` {kind}, {_SCHEMA}, {own}")
 
 
-def _batch(key_type, keys: list, out: list, names: list, values: list, ends: list) -> pa.RecordBatch:
-    cols = [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)]
-    fields = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))
-    columns = ["key", "rec", "tbl", "row_id", "parent_id", "parent_tbl", "parent_key", "step", "pos", "path", "fields"]
-    return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *cols, fields.cast(_FIELDS)], names=columns)
+def _batch(key_type, keys: list, out: list, columns: Sequence[str] | None, names: list, values: list, ends: list) -> pa.RecordBatch:
+    cols = [pa.array(c, t) for c, t in zip(zip(*out), [*_TYPES, *[pa.string()] * len(columns or ())])]
+    if columns is None:
+        cols.append(pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string())).cast(_FIELDS))
+    title = ["key", "rec", "tbl", "row_id", "parent_id", "parent_tbl", "parent_key", "step", "pos", "path", *(["fields"] if columns is None else columns)]
+    return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *cols], names=title)
 
 
 def table(flat: DataFrame, names: str | Collection[str], columns: Collection[str]) -> DataFrame:
     """The group of rows under one or several names, pivoted: all of ``flat`` but fields, and a column for each path of
     ``columns`` (its last step, or the part after ``=``)."""
     names = [names] if isinstance(names, str) else list(names)
-    pick = [F.element_at("fields", c.partition("=")[0]).alias(c.partition("=")[2] or c.rpartition("/")[2]) for c in columns]
-    return flat.where(F.col("tbl").isin(*names)).select(*(c for c in flat.columns if c != "fields"), *pick)
+    field = (lambda c: F.element_at("fields", c)) if "fields" in flat.columns else (lambda c: F.col(f"`{c}`"))
+    pick = [field(c.partition("=")[0]).alias(c.partition("=")[2] or c.rpartition("/")[2]) for c in columns]
+    kept = [c for c in flat.columns if c != "fields" and c not in columns]
+    return flat.where(F.col("tbl").isin(*names)).select(*(F.col(f"`{c}`") for c in kept), *pick)
 
 
 def columns_of(flat: DataFrame) -> DataFrame:
@@ -291,10 +302,10 @@ def columns_of(flat: DataFrame) -> DataFrame:
 # --- uploads of map elements ------------------------------------------------------------------------------------------
 
 
-def flatten_uploads(df: DataFrame, key: str = "upload_id", text: str = "payload", tables: Collection[str] | None = None) -> DataFrame:
+def flatten_uploads(df: DataFrame, key: str = "upload_id", text: str = "payload", tables: Collection[str] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """flatten_records for map elements: elements and their children are rows even alone, tags may be maps."""
     names = {*ELEMENTS, *CHILDREN}
-    return flatten_records(df, key, text, names, {"nd", "member"}, {"tag", "tags"}, tables)
+    return flatten_records(df, key, text, names, {"nd", "member"}, {"tag", "tags"}, tables, columns=columns)
 
 
 def whole(c: Column) -> Column:
@@ -323,7 +334,7 @@ def children(flat: DataFrame, key: str) -> DataFrame:
     pos is -1 for tags; child_key is the tag key, the reference in decimal, or the member's type/ref. A tag without
     key, or an nd whose reference is null or no whole number, gives no row.
     """
-    c = of_elements(table(flat, CHILDREN, ["k", "type", "ref", VALUE]))
+    c = of_elements(table(flat, CHILDREN, CHILD_COLUMNS))
     tag, nd = F.col("tbl").isin("tag", "tags"), F.col("tbl") == "nd"
     ref = F.coalesce("ref", VALUE)
     number = whole(ref).cast("string")

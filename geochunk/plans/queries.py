@@ -42,7 +42,7 @@ def _action() -> Column:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per child of any element of any upload."""
-    flat = nested.flatten_uploads(load(spark, d, "uploads"), tables=tuple(nested.CHILDREN))
+    flat = nested.flatten_uploads(load(spark, d, "uploads"), tables=tuple(nested.CHILDREN), columns=nested.CHILD_COLUMNS)
     return nested.children(flat, "upload_id")
 
 
@@ -54,7 +54,7 @@ def p3_elements(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_members(spark: SparkSession, d: str) -> DataFrame:
     """The table of members with their roles."""
-    flat = nested.flatten_uploads(load(spark, d, "uploads"), tables=("member",))
+    flat = nested.flatten_uploads(load(spark, d, "uploads"), tables=("member",), columns=("type", "ref", "role"))
     m = nested.of_elements(nested.table(flat, "member", ("type", "ref", "role")))
     return m.where(F.coalesce("type", "ref", "role").isNotNull()).select("upload_id", "elem_type", "elem_id", "pos", "type", "ref", "role").distinct()
 

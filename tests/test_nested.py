@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from geochunk.operators.nested import ROOT, VALUE, children, columns_of, elements, flatten_records, flatten_uploads, of_elements, repeated_names, rows_of, table, triples
+from geochunk.operators.nested import CHILD_COLUMNS, ROOT, VALUE, children, columns_of, elements, flatten_records, flatten_uploads, of_elements, repeated_names, rows_of, table, triples
 from tests.conftest import rows
 
 
@@ -22,6 +22,8 @@ def test_children_of_every_shape(spark):
             (1, "node", 7, "tag", -1, "a"), (1, "node", 7, "tag", -1, "b"), (1, "way", 5, "nd", 0, "1"), (1, "way", 5, "nd", 2, "2"),
             (1, "way", 5, "nd", 3, "9"), (1, "way", 5, "tag", -1, "x"), (1, "relation", -3, "member", 0, "way/4"), (1, "node", 8, "tag", -1, "q"),
         ], key=str)
+    some = flatten_uploads(df, tables=("nd", "tag", "tags", "member"), columns=CHILD_COLUMNS)
+    assert rows(children(some, "upload_id")) == rows(children(flat, "upload_id")) and "fields" not in some.columns
     assert rows(elements(flat, ()).select("elem_type", "elem_id").distinct()) == [("node", 7), ("node", 8), ("relation", -3), ("way", 5)]
     assert {(r["k"], r["v"]) for r in table(flat, ("tag", "tags"), ("k", "v")).collect()} >= {("x", "y"), ("x", "z"), ("a", "1"), ("b", None)}
     assert flatten_uploads(df.limit(0)).count() == 0
