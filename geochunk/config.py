@@ -80,6 +80,8 @@ class Rules:
         """Whether no lifecycle rewrite can make or undo another rule's match, so that matches are a set."""
         for rules in (self.node, self.way, self.collection):
             plain = {r.key for r in rules}
+            if len(plain) < len(rules):
+                return False
             if "lifecycle" in plain or any(p + k in plain for p in self.prefixes[1:] for k in plain):
                 return False
             if any(p + "lifecycle" in plain for p in self.prefixes):

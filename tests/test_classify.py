@@ -31,7 +31,8 @@ def fold(rules, kind, tags, closed, one):
                     else:
                         if p:
                             v = t.pop(p + r.key)
-                            t |= {r.key: v, "lifecycle": p[:-1]}
+                            t |= {"lifecycle": p[:-1]}
+                            t[r.key] = v
                         blocks.append(j)
                     break
             if used and one:
@@ -47,7 +48,7 @@ def fold(rules, kind, tags, closed, one):
         for j in blocks:
             key = rs[j].key if j >= 0 else ""
             values = () if j < 0 else rs[j].area_values if kind == "A" else rs[j].values
-            out.append((kind, key, t[key] if j >= 0 and t[key] in values else "", tuple(sorted(t.items()))))
+            out.append((kind, key, t[key] if j >= 0 and t.get(key) in values else "", tuple(sorted(t.items()))))
 
     t, blocks, line = run(tags, kind == "W")
     rows("A" if kind == "W" else kind, t, blocks)
@@ -99,6 +100,6 @@ def test_areas_lose_the_closing_point(spark):
     df = spark.createDataFrame([("W", 1, RING, {"building": "yes", "highway": "x"})], SCHEMA)
     got = sorted((r["type"], r["block_key"], len(r["pts"])) for r in classify(df, default_rules()).collect())
     assert got == [("A", "building", 3), ("W", "building", 4), ("W", "highway", 4)]
-    assert [(r["type"], len(r["pts"])) for r in classify(df, Rules(way=(Rule("building", True), Rule("building")))).orderBy("type").collect()] == [("A", 3), ("W", 4)]
+    assert [(r["type"], len(r["pts"])) for r in classify(df, Rules(way=(Rule("building", True), Rule("building")))).orderBy("type").collect()] == [("A", 3), ("W", 4), ("W", 4)]
     empty = classify(df, Rules()).collect()
     assert [(r["type"], r["block_key"]) for r in empty] == [("W", "")]
