@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geochunk.operators.elements import current_rows
-from geochunk.session import materialize
+from geochunk.session import apart, materialize
 
 REF_TYPES = ("node", "way", "relation")
 
@@ -37,11 +37,6 @@ def references(ways: DataFrame, relations: DataFrame) -> DataFrame:
     return w.unionByName(r)
 
 
-def _apart(df: DataFrame) -> DataFrame:
-    """``df``, never to be broadcast: it grows with the data, however small its compressed file looks to the planner."""
-    return df.hint("shuffle_merge")
-
-
 def orphan_references(refs: DataFrame, known: DataFrame) -> DataFrame:
     """References whose target is ``missing``, ``deleted`` or ``late`` (loaded first after the referring row).
 
@@ -51,10 +46,10 @@ def orphan_references(refs: DataFrame, known: DataFrame) -> DataFrame:
     hot partitions AQE splits. A null loaded_at is never late.
     """
     named = refs.groupBy("ref_type", "ref_id").agg(F.min("loaded_at").alias("named_at"))
-    j = named.join(_apart(known), ["ref_type", "ref_id"], "left")
+    j = named.join(apart(known), ["ref_type", "ref_id"], "left")
     state = F.when(F.col("live").isNull(), "missing").when(~F.col("live"), "deleted").when(F.col("first_loaded") > F.col("named_at"), "late")
     bad = materialize(j.withColumn("ref_state", state).where("ref_state is not null").select("ref_type", "ref_id", "ref_state", "first_loaded"), "bad-targets")
-    hit = refs.join(_apart(bad), ["ref_type", "ref_id"])
+    hit = refs.join(apart(bad), ["ref_type", "ref_id"])
     return hit.where((F.col("ref_state") != "late") | (F.col("first_loaded") > F.col("loaded_at"))).drop("first_loaded")
 
 
@@ -88,20 +83,20 @@ class OrphanCascade:
         as_target = lambda d: d.select(source.alias("ref_type"), F.col("src_id").alias("ref_id")).distinct()
         bad = self._direct.select("src_table", "src_id", "ref_type", "ref_id")
         # only relations name ways or relations, so only those references can carry a state upward
-        upward = self._refs.where("ref_type <> 'node'").join(_apart(bad), ["src_table", "src_id", "ref_type", "ref_id"], "left_anti")
+        upward = self._refs.where("ref_type <> 'node'").join(apart(bad), ["src_table", "src_id", "ref_type", "ref_id"], "left_anti")
         upward = materialize(upward, "upward")
         frontier = materialize(as_target(self._direct).withColumn("level", F.lit(0)), "frontier-0")
         seen, level = frontier, 0
         while not frontier.isEmpty():
             level += 1
-            hit = upward.join(_apart(frontier.select("ref_type", "ref_id")), ["ref_type", "ref_id"], "left_semi")
-            new = as_target(hit).join(_apart(seen.select("ref_type", "ref_id")), ["ref_type", "ref_id"], "left_anti")
+            hit = upward.join(apart(frontier.select("ref_type", "ref_id")), ["ref_type", "ref_id"], "left_semi")
+            new = as_target(hit).join(apart(seen.select("ref_type", "ref_id")), ["ref_type", "ref_id"], "left_anti")
             frontier = materialize(new.withColumn("level", F.lit(level)), f"frontier-{level}")
             seen = seen.unionByName(frontier)
             if level % 8 == 0:  # keeps the plan small however deep the references nest
                 seen = materialize(seen, f"seen-{level}")
         # a row found in round n passes its state on to whatever names it
-        out = upward.join(_apart(seen), ["ref_type", "ref_id"]).withColumn("level", F.col("level") + 1)
+        out = upward.join(apart(seen), ["ref_type", "ref_id"]).withColumn("level", F.col("level") + 1)
         return self._shown(out.withColumn("ref_state", F.lit("inherited")).withColumn("orphan", F.lit("inherited")))
 
     def rows(self) -> DataFrame:

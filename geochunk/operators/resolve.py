@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geochunk.functions.geometry import missing_point, point, polygons_udf, settle, settle_line, turn_lines_udf
 from geochunk.schema import META, MISSING_LON
-from geochunk.session import materialize
+from geochunk.session import apart, materialize
 
 AREA_TYPES = ("multipolygon", "boundary")
 TURN_TYPES = ("restriction", "destination_sign")
@@ -38,14 +38,14 @@ def way_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     refs = ways.select("id", F.posexplode(F.filter("nds", lambda x: x.isNotNull())).alias("pos", "ref"))
     at = positions(nodes).withColumnRenamed("id", "ref")
     p = F.when(F.col("lon").isNotNull(), point(F.col("lon"), F.col("lat"))).otherwise(missing_point(F.col("ref")))
-    found = refs.join(at, "ref", "left").select("id", F.struct("pos", p.alias("p")).alias("e"))
+    found = refs.join(apart(at), "ref", "left").select("id", F.struct("pos", p.alias("p")).alias("e"))
     ordered = found.groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("es"))
     return ordered.select("id", F.transform("es", lambda e: e["p"]).alias("pts"))
 
 
 def resolve_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """``ways`` with pts (stand-in positions kept, empty for ways without references) in place of nds."""
-    return ways.drop("nds", "pts").join(way_points(ways, nodes), "id", "left").withColumn("pts", F.coalesce("pts", _none(_LINE)))
+    return ways.drop("nds", "pts").join(apart(way_points(ways, nodes)), "id", "left").withColumn("pts", F.coalesce("pts", _none(_LINE)))
 
 
 def kind_of(relations: DataFrame) -> DataFrame:
@@ -75,10 +75,10 @@ def used_lines(kinds: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame
     nodes by left join. ord keeps the members' order, ways before nodes."""
     m = kinds.select("id", "kind", F.posexplode("used").alias("pos", "m")).select("id", "kind", "pos", "m.*")
     lines = ways.select(F.col("id").alias("ref"), F.col("pts").alias("line"))
-    w = m.where("type = 'way'").join(lines, "ref").select("id", "kind", F.struct(F.lit(0).alias("pass"), "pos").alias("ord"), "role", "line")
+    w = m.where("type = 'way'").join(apart(lines), "ref").select("id", "kind", F.struct(F.lit(0).alias("pass"), "pos").alias("ord"), "role", "line")
     at = positions(nodes).withColumnRenamed("id", "ref")
     p = F.when(F.col("lon").isNotNull(), point(F.col("lon"), F.col("lat"))).otherwise(missing_point(F.col("ref")))
-    n = m.where("type = 'node'").join(at, "ref", "left").select("id", "kind", F.struct(F.lit(1).alias("pass"), "pos").alias("ord"), "role", F.array(p).alias("line"))
+    n = m.where("type = 'node'").join(apart(at), "ref", "left").select("id", "kind", F.struct(F.lit(1).alias("pass"), "pos").alias("ord"), "role", F.array(p).alias("line"))
     return w.unionByName(n)
 
 
@@ -112,7 +112,7 @@ def membership(kinds: DataFrame) -> DataFrame:
 def with_members(df: DataFrame, kind: str, links: DataFrame) -> DataFrame:
     """``df`` with its reverse members; null where no collection names the element."""
     mine = links.where(F.col("kind") == kind).select(F.col("ref").alias("id"), F.col("members").alias("member_of"))
-    return df.drop("member_of").join(mine, "id", "left")
+    return df.drop("member_of").join(apart(mine), "id", "left")
 
 
 def significant(df: DataFrame) -> DataFrame:

@@ -73,6 +73,12 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df``, to be joined by a shuffle, never broadcast: it grows with the data, however small its compressed file looks
+    to the planner."""
+    return df.hint("shuffle_merge")
+
+
 _shipped: set[str] = set()
 
 
