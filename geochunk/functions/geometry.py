@@ -249,7 +249,10 @@ def turn_lines(from_: Sequence, via: Sequence, to: Sequence, persist: bool = Tru
 
 AREAS = T.ArrayType(T.StructType([T.StructField("shell", LINE), T.StructField("holes", T.ArrayType(LINE))]))
 LINES = T.ArrayType(LINE)
+#: Lines of made-up points, whose longitudes may take 64 bits.
+WIDE_LINES = T.ArrayType(T.ArrayType(T.StructType([T.StructField("lon", T.LongType()), T.StructField("lat", T.IntegerType())])))
 _LINE = pa.list_(pa.struct([("lon", pa.int32()), ("lat", pa.int32())]))
+_WIDE_LINE = pa.list_(pa.struct([("lon", pa.int64()), ("lat", pa.int32())]))
 _AREAS = pa.list_(pa.struct([("shell", _LINE), ("holes", pa.list_(_LINE))]))
 
 
@@ -268,10 +271,20 @@ def polygons_udf(outer: pa.Array, inner: pa.Array) -> pa.Array:
     return pa.array(out, _AREAS)
 
 
+def _turns(from_: pa.Array, via: pa.Array, to: pa.Array, line: pa.DataType) -> pa.Array:
+    rows = zip(from_.to_pylist(), via.to_pylist(), to.to_pylist())
+    return pa.array([[_dicts(x) for x in turn_lines(*map(_points, r))] for r in rows], pa.list_(line))
+
+
 @F.arrow_udf(LINES)
 def turn_lines_udf(from_: pa.Array, via: pa.Array, to: pa.Array) -> pa.Array:
-    rows = zip(from_.to_pylist(), via.to_pylist(), to.to_pylist())
-    return pa.array([[_dicts(x) for x in turn_lines(*map(_points, r))] for r in rows], pa.list_(_LINE))
+    return _turns(from_, via, to, _LINE)
+
+
+@F.arrow_udf(WIDE_LINES)
+def wide_turn_lines_udf(from_: pa.Array, via: pa.Array, to: pa.Array) -> pa.Array:
+    """turn_lines_udf for lines with bigint longitudes."""
+    return _turns(from_, via, to, _WIDE_LINE)
 
 
 @F.arrow_udf(LINES)

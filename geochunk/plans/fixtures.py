@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geochunk.functions.geometry import point
 from geochunk.operators.elements import live
 from geochunk.operators.tags import clean
 from geochunk.schema import META
@@ -28,11 +27,13 @@ def cleaned(spark: SparkSession, d: str) -> Dataset:
 def segments(spark: SparkSession, d: str) -> DataFrame:
     """(owner, n, k, pos, line): per customer a ring of n segments, one per order, from order k's point to the next one's,
     odd orders' segments turned round; pos shuffles them. The point of order o lies at
-    (100000000 + 1000*o, 480000000 + 100*(7919*o mod 100003))."""
+    (100000000 + 1000*o, 480000000 + 100*(7919*o mod 100003)): its longitude is a bigint, since it leaves 32 bits (and
+    the globe) from order 2,047,484 on."""
     o = load(spark, d, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("o")).distinct()
     g = o.groupBy("owner").agg(F.array_sort(F.collect_list("o")).alias("os"))
     g = g.select("owner", F.size("os").alias("n"), "os", F.posexplode("os").alias("k", "o"))
     nxt = F.get("os", F.pmod(F.col("k") + 1, F.col("n")))
-    at = lambda x: point(100_000_000 + x * 1000, 480_000_000 + (x * 7919 % 100_003) * 100)
+    lat = lambda x: (480_000_000 + (x % 100_003 * 7919 % 100_003) * 100).cast("int")
+    at = lambda x: F.struct((100_000_000 + x * 1000).alias("lon"), lat(x).alias("lat"))
     line = F.array(at(F.col("o")), at(nxt))
-    return g.select("owner", "n", "k", (F.col("o") * 31 % 101).alias("pos"), "o", F.when(F.col("o") % 2 == 1, F.reverse(line)).otherwise(line).alias("line"))
+    return g.select("owner", "n", "k", (F.col("o") % 101 * 31 % 101).alias("pos"), "o", F.when(F.col("o") % 2 == 1, F.reverse(line)).otherwise(line).alias("line"))

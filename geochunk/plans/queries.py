@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geochunk.config import default_rules, default_tiles
-from geochunk.functions.geometry import assemble_rings_udf, in_ring, is_closed, is_clockwise, open_ring, polygons_udf, settle_line, turn_lines_udf
+from geochunk.functions.geometry import assemble_rings_udf, in_ring, is_closed, is_clockwise, open_ring, polygons_udf, settle_line, turn_lines_udf, wide_turn_lines_udf
 from geochunk.operators import nested, resolve, tags
 from geochunk.operators.classify import classify
 from geochunk.operators.elements import all_live_tags, live, located
@@ -414,7 +414,7 @@ def from_to(spark: SparkSession, d: str) -> DataFrame:
     g = segments(spark, d).where("n >= 3").groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("s"))
     at = lambda i: F.array(F.get("s", F.lit(i))["line"])
     none = F.slice(at(0), 1, 0)
-    t = g.select("owner", F.explode(turn_lines_udf(at(0), none, at(1))).alias("line"))
+    t = g.select("owner", F.explode(wide_turn_lines_udf(at(0), none, at(1))).alias("line"))
     return t.select("owner", F.posexplode("line").alias("place", "p")).select("owner", "place", "p.lon", "p.lat")
 
 
