@@ -287,8 +287,8 @@ def wide_turn_lines_udf(from_: pa.Array, via: pa.Array, to: pa.Array) -> pa.Arra
     return _turns(from_, via, to, _WIDE_LINE)
 
 
-@F.arrow_udf(LINES)
+@F.arrow_udf(WIDE_LINES)
 def assemble_rings_udf(lines: pa.Array) -> pa.Array:
-    """Closed rings of each row's lines; null where they don't close."""
+    """Closed rings of each row's lines; null where they don't close. Longitudes may be int or bigint and come out as bigint."""
     rings = (assemble_rings(_points(x)) for x in lines.to_pylist())
-    return pa.array([None if r is None else [_dicts(x) for x in r] for r in rings], pa.list_(_LINE))
+    return pa.array([None if r is None else [_dicts(x) for x in r] for r in rings], pa.list_(_WIDE_LINE))

@@ -22,3 +22,7 @@ def folder(spark, tmp_path_factory):
 
 def test_from_to(spark, folder):
     assert rows(QUERIES["from_to"](spark, folder)) == sorted(((c, k, *at(o)) for c, os in RINGS.items() for k, o in enumerate(os[:3])), key=str)
+
+
+def test_ring_assembly(spark, folder):
+    assert rows(QUERIES["ring_assembly"](spark, folder)) == [(c, 1, 2 * len(os) - 1) for c, os in RINGS.items()]
