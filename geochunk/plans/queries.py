@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geochunk.config import default_rules, default_tiles
-from geochunk.functions.geometry import assemble_rings_udf, in_ring, is_closed, is_clockwise, open_ring, polygons_udf, settle_line, turn_lines_udf, wide_turn_lines_udf
+from geochunk.functions.geometry import assemble_rings_udf, in_ring, is_closed, is_clockwise, open_ring, polygons_udf, settle_line, wide_turn_lines_udf
 from geochunk.operators import nested, resolve, tags
 from geochunk.operators.classify import classify
 from geochunk.operators.elements import all_live_tags, live, located
@@ -428,7 +428,7 @@ def turn_cases(spark: SparkSession, d: str) -> DataFrame:
     cases = {"node": (3, seg(0), F.array(nodes), seg(1)), "ways": (6, seg(0), seg(2, 1), seg(3)), "no from": (3, none, F.array(nodes), seg(1)), "far": (4, seg(2), F.array(nodes), seg(1))}
     out = None
     for name, (least, from_, via, to) in cases.items():
-        t = g.where(F.col("n") >= least).select(F.lit(name).alias("kind"), "owner", F.explode(turn_lines_udf(from_, via, to)).alias("line"))
+        t = g.where(F.col("n") >= least).select(F.lit(name).alias("kind"), "owner", F.explode(wide_turn_lines_udf(from_, via, to)).alias("line"))
         out = t if out is None else out.unionByName(t)
     return out.select("kind", "owner", F.posexplode("line").alias("place", "p")).select("kind", "owner", "place", "p.lon", "p.lat")
 

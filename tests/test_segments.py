@@ -26,3 +26,12 @@ def test_from_to(spark, folder):
 
 def test_ring_assembly(spark, folder):
     assert rows(QUERIES["ring_assembly"](spark, folder)) == [(c, 1, 2 * len(os) - 1) for c, os in RINGS.items()]
+
+
+#: Per kind of turn the least number of segments, and at which points of the ring the line lies.
+CASES = {"node": (3, (0, 1, 2)), "ways": (6, (0, 1, 2, 3, 4)), "no from": (3, (1, 1, 2)), "far": (4, (3, 2, 1))}
+
+
+def test_turn_cases(spark, folder):
+    want = [(kind, c, k, *at(os[i])) for kind, (least, points) in CASES.items() for c, os in RINGS.items() if len(os) >= least for k, i in enumerate(points)]
+    assert rows(QUERIES["turn_cases"](spark, folder)) == sorted(want, key=str)
